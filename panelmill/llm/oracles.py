@@ -5,8 +5,23 @@ from __future__ import annotations
 from .sharding import PRIME, ROUNDS, STEPS
 
 #: CRC-32 of a text's UTF-8 bytes, with its table from the rule.
-CRC = """xor(list_reduce(list_transform(range(octet_length(encode({text}))), i -> CAST(('0x' || substr(hex(encode({text})), 2 * i + 1, 2)) AS BIGINT)),
-  (c, b) -> xor(c >> 8, (SELECT list(list_reduce(range(8), (v, k) -> CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, n) ORDER BY n) FROM range(256) r(n))[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"""
+CRC = """xor(list_reduce(list_transform(range(octet_length(encode({text}))), lambda i: CAST(('0x' || substr(hex(encode({text})), 2 * i + 1, 2)) AS BIGINT)),
+  lambda c, b: xor(c >> 8, crc_table[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"""
+
+CRC_TABLE = "SELECT list(list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, n) ORDER BY n) AS crc_table FROM range(256) r(n)"
+
+OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN s sx ON sx.doc_id = x JOIN s sy ON sy.doc_id = y WHERE 100 * o >= 75 * (len(sx.sh) + len(sy.sh) - o)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM s JOIN r ON s.doc_id = r.x GROUP BY s.doc_id, len(s.sh)
+"""
 
 OP10 = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -36,7 +51,7 @@ def op8(shards: int = 40) -> str:
 WITH rows AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, coalesce(text, '') AS text FROM documents),
 total AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a, CAST(ceil(count(*) / ceil(sqrt(count(*)))) AS BIGINT) AS b FROM rows),
 numbered AS (SELECT doc_id, size, {CRC.format(text='text')} AS text_crc32, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS row_number,
-  row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS v, n, a, b FROM rows, total),
+  row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS v, n, a, b FROM rows, total, ({CRC_TABLE})),
 {", ".join(steps)}
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(v % {shards} AS INTEGER) AS shard, v // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, row_number FROM {last}
 """

@@ -11,6 +11,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_digest
+
+    return bpe_digest(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
 def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -25,6 +43,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op7_bpe_codec": op7_bpe_codec,
         "op8_feistel_sharding": op8_feistel_sharding,
         "op10_exact_dedup": op10_exact_dedup,
     }
@@ -34,6 +54,7 @@ def oracle_sql() -> dict[str, str]:
     from . import oracles
 
     return {
+        "op1_ngram_jaccard_join": oracles.OP1,
         "op8_feistel_sharding": oracles.op8(),
         "op10_exact_dedup": oracles.OP10,
     }
