@@ -23,6 +23,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_digest
 
@@ -44,6 +68,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_quality_discriminant": op2_quality_discriminant,
+        "op3_exact_topk": op3_exact_topk,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_backoff_automaton": op5_backoff_automaton,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_feistel_sharding": op8_feistel_sharding,
         "op10_exact_dedup": op10_exact_dedup,
@@ -55,6 +83,7 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "op1_ngram_jaccard_join": oracles.OP1,
+        "op3_exact_topk": oracles.OP3,
         "op8_feistel_sharding": oracles.op8(),
         "op10_exact_dedup": oracles.OP10,
     }
