@@ -47,6 +47,12 @@ def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op6_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_digest
 
@@ -72,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_topk": op3_exact_topk,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_backoff_automaton": op5_backoff_automaton,
+        "op6_string_kernel_toxicity": op6_string_kernel_toxicity,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_feistel_sharding": op8_feistel_sharding,
         "op10_exact_dedup": op10_exact_dedup,
