@@ -65,6 +65,12 @@ def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
+def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_spans
+
+    return pii_spans(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_string_kernel_toxicity": op6_string_kernel_toxicity,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_feistel_sharding": op8_feistel_sharding,
+        "op9_weak_supervision_pii": op9_weak_supervision_pii,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
