@@ -32,5 +32,5 @@ def components(links: DataFrame) -> DataFrame:
         open_ = edges.join(parents, "u", "left_semi")
         if open_.isEmpty() and edges.count() == edges.select("u").distinct().count():
             roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+            return materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "labels")
     raise RuntimeError("components did not converge")

@@ -8,7 +8,7 @@ when 100 * intersection >= threshold * union.  Steps, all over whole texts:
    hash values; any order gives the same links), then by hash.  Two sets that link share
    a shingle among the first ``n - ceil(t * n) + 1`` of both, so entities that share one
    form a block.  Equal blocks are kept once.
-3. In a first round, each entity is compared with the block neighbour that it shares
+3. In a first round, each entity is compared with the block neighbours that it shares
    most blocks with, and the links found give first components.
 4. Blocks whose entities are all in one component need no more work.  In each other
    block a signature tree is built: leaves hold the bitmap of an entity's shingles and
@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from .common import cut, join_groups, materialize, partitions_of, slices
 from .components import components
@@ -44,6 +45,9 @@ SKETCH = 1 << 20
 FILTER_BITS = 1 << 23
 #: Children of a node, and entities of a block that one task takes at a time.
 FANOUT, CHUNK = 8, 4096
+#: Bits of a node's bitmap, neighbours compared in the first round, and the overlap beyond
+#: the needed one from which a pair is taken to link until it is verified.
+COARSE, NEIGHBOURS, SLACK = 2048, 4, 3
 #: Rows of small blocks that share a task's group.
 TASK_ROWS = 20_000
 U64 = np.uint64
@@ -73,15 +77,19 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def bitmap_bits(n: int) -> int:
-    """Width of a set's bitmap: the power of two from 4 n, at least 64."""
-    return 1 << max(6, int(4 * n - 1).bit_length())
+def signature_width(n: int) -> int:
+    """Values of a leaf's signature: 2^16, or for sets above 4096 the power of two from 16 n."""
+    return max(1 << 16, 1 << int(16 * n - 1).bit_length())
 
 
-def bitmap(sets: np.ndarray) -> bytes:
-    bits = np.zeros(bitmap_bits(len(sets)), dtype=bool)
-    bits[(sets & U64(len(bits) - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+def signature(sets: np.ndarray) -> bytes:
+    """The set bits of a leaf's bitmap, sorted: two bytes each, or four for wide bitmaps."""
+    width = signature_width(len(sets))
+    return np.unique(sets & U64(width - 1)).astype(np.uint16 if width == 1 << 16 else np.uint32).tobytes()
+
+
+def read_signature(n: int, bits: bytes) -> np.ndarray:
+    return np.frombuffer(bits, dtype=np.uint16 if signature_width(n) == 1 << 16 else np.uint32).astype(np.int64)
 
 
 def entities(docs: DataFrame, width: int, threshold: int, classes: np.ndarray) -> DataFrame:
@@ -100,7 +108,7 @@ def entities(docs: DataFrame, width: int, threshold: int, classes: np.ndarray) -
                     keep = n - needed(n, threshold) + 1 if n else 0
                     by = np.argsort(order[off[i] : off[i + 1]], kind="stable")[:keep]
                     firsts.append(own[by])
-                    maps.append(bitmap(own) if n else b"")
+                    maps.append(signature(own) if n else b"")
                 at = np.concatenate(([0], np.cumsum([len(f) for f in firsts])))
                 flat = np.concatenate(firsts) if firsts else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
@@ -163,82 +171,123 @@ def blocks(rows: DataFrame) -> DataFrame:
     return grouped.groupBy("block", "entity", "next").agg(F.sum("weight").alias("weight"))
 
 
-def nearest_pairs(block_rows: DataFrame) -> DataFrame:
-    """a, b: each entity and the neighbour with which it shares most blocks."""
+def neighbour_pairs(block_rows: DataFrame) -> DataFrame:
+    """a, b: each entity and the block neighbours with which it shares most blocks."""
     both = block_rows.select("entity", "next", "weight").unionByName(block_rows.select(F.col("next").alias("entity"), F.col("entity").alias("next"), "weight"))
-    shared = both.groupBy("entity", "next").agg(F.sum("weight").alias("weight"))
-    best = shared.groupBy("entity").agg(F.max(F.struct("weight", "next")).alias("best"))
-    return best.select(F.least("entity", "best.next").alias("a"), F.greatest("entity", "best.next").alias("b")).where("a != b").distinct()
+    shared = both.where("entity != next").groupBy("entity", "next").agg(F.sum("weight").alias("weight"))
+    nth = F.row_number().over(W.Window.partitionBy("entity").orderBy(F.desc("weight"), "next"))
+    best = shared.withColumn("nth", nth).where(F.col("nth") <= NEIGHBOURS)
+    return best.select(F.least("entity", "next").alias("a"), F.greatest("entity", "next").alias("b")).distinct()
 
 
 # the signature tree
 
 
-def _fold(bits: np.ndarray, width: int) -> np.ndarray:
-    """Bitmaps (rows of 64-bit words) folded to a smaller width by OR."""
-    while bits.shape[1] > width:
-        half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
-    return bits
-
-
 class SignatureTree:
-    """Levels of nodes over leaves sorted by size; level 0 are the leaves."""
+    """Levels of nodes over leaves sorted by size.
+
+    A leaf has a fine bitmap, kept as its set bits; all nodes have the OR of their leaves'
+    bitmaps folded to COARSE bits, and the largest number of shingles that a leaf has beyond
+    its coarse bits ("spare"), the range of sizes and the range of components."""
 
     def __init__(self, entity: np.ndarray, size: np.ndarray, label: np.ndarray, bits: list[bytes]):
         by = np.lexsort((label, size))
-        self.entity, size, label = entity[by], size[by], label[by]
-        maps = [np.frombuffer(bits[i], dtype=np.uint64) for i in by]
-        spare = np.array([n - int(np.bitwise_count(m).sum()) for n, m in zip(size.tolist(), maps)], dtype=np.int64)
-        self.levels = [{"maps": maps, "lo": size, "hi": size, "spare": spare, "first": label, "last": label}]
+        self.entity, self.size, self.label = entity[by], size[by], label[by]
+        self.fine = [read_signature(int(size[i]), bits[i]) for i in by]
+        flags = np.zeros((len(by), COARSE), dtype=bool)
+        for i, f in enumerate(self.fine):
+            flags[i, f & (COARSE - 1)] = True
+        maps = np.packbits(flags, axis=1).view(np.uint64)
+        spare = self.size - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
+        self.levels = [{"maps": maps, "lo": self.size, "hi": self.size, "spare": spare, "first": self.label, "last": self.label}]
         while len(self.levels[-1]["lo"]) > FANOUT:
             down = self.levels[-1]
             at = np.arange(0, len(down["lo"]), FANOUT)
-            groups = [down["maps"][i : i + FANOUT] for i in at]
-            up = {k: f.reduceat(down[k], at) for k, f in (("lo", np.minimum), ("hi", np.maximum), ("spare", np.maximum), ("first", np.minimum), ("last", np.maximum))}
-            up["maps"] = [np.bitwise_or.reduce(np.vstack([_fold(m[None], min(map(len, g)))[0] for m in g])) for g in groups]
-            self.levels.append(up)
+            merge = (("maps", np.bitwise_or), ("lo", np.minimum), ("hi", np.maximum), ("spare", np.maximum), ("first", np.minimum), ("last", np.maximum))
+            self.levels.append({k: f.reduceat(down[k], at, axis=0) for k, f in merge})
 
-    def pairs(self, other: SignatureTree, threshold: int) -> list[tuple[int, int]]:
-        """Leaf pairs that may link, from a dual traversal level by level."""
+    def candidates(self, other: SignatureTree, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf pairs that the nodes above can't rule out, from a dual traversal level by level."""
         depth = max(len(self.levels), len(other.levels)) - 1
         x, y = (g.ravel() for g in np.meshgrid(np.arange(len(self.levels[-1]["lo"])), np.arange(len(other.levels[-1]["lo"])), indexing="ij"))
         while True:
             a, b = self.levels[min(depth, len(self.levels) - 1)], other.levels[min(depth, len(other.levels) - 1)]
-            same = self is other
             ok = (100 * b["hi"][y] >= threshold * a["lo"][x]) & (100 * a["hi"][x] >= threshold * b["lo"][y])
             ok &= ~((a["first"][x] == a["last"][x]) & (b["first"][y] == b["last"][y]) & (a["first"][x] == b["first"][y]))
-            if same:
+            if self is other:
                 ok &= (x <= y) if depth else (x < y)
             x, y = x[ok], y[ok]
-            x, y = self._fitting(a, b, x, y, threshold)
+            keep = [np.zeros(0, bool)]
+            for k in range(0, len(x), 1 << 14):
+                i, j = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+                most = np.bitwise_count(a["maps"][i] & b["maps"][j]).sum(axis=1) + np.minimum(a["spare"][i], b["spare"][j])
+                keep.append(most >= least_overlap(a["lo"][i] + b["lo"][j], threshold))
+            x, y = x[np.concatenate(keep)], y[np.concatenate(keep)]
             if not depth:
-                return list(zip(self.entity[x].tolist(), other.entity[y].tolist()))
+                return x, y
             depth -= 1
             x, y = _children(x, y, depth < len(self.levels) - 1, depth < len(other.levels) - 1, len(self.levels[min(depth, len(self.levels) - 1)]["lo"]), len(other.levels[min(depth, len(other.levels) - 1)]["lo"]))
 
-    @staticmethod
-    def _fitting(a: dict, b: dict, x: np.ndarray, y: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs whose largest possible overlap, common bits plus spare shingles, is enough."""
-        keep = np.zeros(len(x), dtype=bool)
-        folded: dict[tuple[int, int, int], np.ndarray] = {}
-
-        def at(side: int, maps: list[np.ndarray], i: int, width: int) -> np.ndarray:
-            if len(maps[i]) == width:
-                return maps[i]
-            key = (side, i, width)
-            if key not in folded:
-                folded[key] = _fold(maps[i][None], width)[0]
-            return folded[key]
-
-        least = (threshold * (a["lo"][x] + b["lo"][y]) + 99 + threshold) // (100 + threshold)
-        spare_a, spare_b = a["spare"][x], b["spare"][y]
-        for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
-            width = min(len(a["maps"][i]), len(b["maps"][j]))
-            m, n = at(0, a["maps"], i, width), at(1, b["maps"], j, width)
-            more = min(spare_a[k] + (len(a["maps"][i]) > width) * a["hi"][i], spare_b[k] + (len(b["maps"][j]) > width) * b["hi"][j])
-            keep[k] = int(np.bitwise_count(m & n).sum()) + more >= least[k]
-        return x[keep], y[keep]
+    def pairs(self, other: SignatureTree, threshold: int, slack: int) -> list[tuple[int, int, bool]]:
+        """(entity, entity, sure): pairs of different components whose fine bitmaps let them link.
+
+        A pair with ``slack`` more than the needed overlap is taken to link, and of pairs
+        between two components joined so far only the first such one is given; the caller
+        verifies it.  Closer calls are all given."""
+        x, y = self.candidates(other, threshold)
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.get(v, v) != v:
+                root[v] = root.get(root[v], root[v])
+                v = root[v]
+            return v
+
+        out = []
+        at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else [0]
+        for lo, hi in zip(at[:-1], at[1:]):
+            i = int(x[lo])
+            mine = find(int(self.label[i]))
+            js = [j for j in y[lo:hi].tolist() if find(int(other.label[j])) != mine]
+            if not js:
+                continue
+            most = fine_overlaps(self.fine[i], int(self.size[i]), [other.fine[j] for j in js], other.size[js])
+            need = least_overlap(self.size[i] + other.size[js], threshold)
+            for k in np.flatnonzero(most >= need).tolist():
+                theirs, sure = find(int(other.label[js[k]])), bool(most[k] >= need[k] + slack)
+                if theirs == mine:
+                    continue
+                out.append((int(self.entity[i]), int(other.entity[js[k]]), sure))
+                if sure:
+                    root[max(mine, theirs)] = min(mine, theirs)
+                    mine = min(mine, theirs)
+        return out
+
+
+def least_overlap(sizes, threshold: int):
+    """Least intersection of two sets with this sum of sizes: ceil(t / (1 + t) * sum)."""
+    return -(-threshold * sizes // (100 + threshold))
+
+
+def fine_overlaps(one: np.ndarray, n: int, many: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Largest possible intersections of one set with many: common bits plus spare shingles,
+    at the width of the smaller bitmap of each pair."""
+    out = np.zeros(len(many), dtype=np.int64)
+    own = signature_width(n)
+    widths = np.array([min(own, signature_width(int(s))) for s in sizes])
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == width)
+        flags = np.zeros(width, dtype=bool)
+        mine = one & (width - 1)
+        flags[mine] = True
+        spare = n - int(flags.sum())
+        theirs = [m if signature_width(int(sizes[k])) == width else np.unique(m & (width - 1)) for k, m in ((k, many[k]) for k in at.tolist())]
+        lens = np.array([len(m) for m in theirs])
+        common = np.add.reduceat(flags[np.concatenate(theirs)].astype(np.int64), np.cumsum(lens) - lens)
+        out[at] = common + np.minimum(spare, sizes[at] - lens)
+    return out
 
 
 def _children(x, y, down_x: bool, down_y: bool, n_x: int, n_y: int):
@@ -251,8 +300,8 @@ def _children(x, y, down_x: bool, down_y: bool, n_x: int, n_y: int):
     return cx[ok], cy[ok]
 
 
-def tree_pairs(block_rows: DataFrame, known: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """a, b: pairs of entities of different components that the trees can't rule out."""
+def tree_pairs(block_rows: DataFrame, known: DataFrame, labels: DataFrame, threshold: int, slack: int) -> DataFrame:
+    """a, b, sure: pairs of entities of different components that the trees can't rule out."""
     labelled = block_rows.select("block", "entity").join(labels.withColumnRenamed("node", "entity"), "entity", "left").withColumn("label", F.coalesce("root", "entity")).drop("root")
     open_ = labelled.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
     open_ = materialize(open_, "open")
@@ -275,21 +324,22 @@ def tree_pairs(block_rows: DataFrame, known: DataFrame, labels: DataFrame, thres
         entity, size, label = (pdf[c].to_numpy()[by] for c in ("entity", "n_shingles", "label"))
         maps = pdf["bits"].to_numpy()[by]
         at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-        found: set[tuple[int, int]] = set()
+        found: dict[tuple[int, int], bool] = {}
         for lo, hi in zip(at.tolist(), at[1:].tolist()):
             make = lambda k: SignatureTree(entity[k], size[k], label[k], list(maps[k]))
             k = np.arange(lo, hi)
             if i == j:
                 tree = make(k)
-                found.update(tree.pairs(tree, threshold))
+                new = tree.pairs(tree, threshold, slack)
             else:
                 left, right = k[own_part[k] == i], k[own_part[k] == j]
-                if len(left) and len(right):
-                    found.update(make(left).pairs(make(right), threshold))
-        a = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": a.min(axis=1), "b": a.max(axis=1)})
+                new = make(left).pairs(make(right), threshold, slack) if len(left) and len(right) else []
+            for a, b, sure in new:
+                found[min(a, b), max(a, b)] = sure
+        ends = np.array(list(found), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1], "sure": np.array(list(found.values()), dtype=bool)})
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(traverse, "a long, b long").distinct()
+    return rows.groupBy("bucket", "i", "j").applyInPandas(traverse, "a long, b long, sure boolean").distinct()
 
 
 def fitting_pairs(pairs: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
@@ -298,18 +348,16 @@ def fitting_pairs(pairs: DataFrame, known: DataFrame, threshold: int) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            keep = [len(SignatureTree._fitting(*(_leaf(n, m) for n, m in ((p, u), (q, v))), np.zeros(1, np.int64), np.zeros(1, np.int64), threshold)[0]) > 0 for p, u, q, v in zip(d["n_a"], d["bits_a"], d["n_b"], d["bits_b"])]
+            keep = [
+                fine_overlaps(read_signature(p, u), p, [read_signature(q, v)], np.array([q]))[0] >= least_overlap(p + q, threshold)
+                for p, u, q, v in zip(d["n_a"].tolist(), d["bits_a"], d["n_b"].tolist(), d["bits_b"])
+            ]
             yield d.loc[keep, ["a", "b"]]
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * n_a >= {threshold} * n_b and 100 * n_b >= {threshold} * n_a")
     return sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(run, "a long, b long")
 
 
-def _leaf(n: int, bits: bytes) -> dict:
-    m = np.frombuffer(bits, dtype=np.uint64)
-    return {"maps": [m], "lo": np.array([n]), "hi": np.array([n]), "spare": np.array([n - int(np.bitwise_count(m).sum())])}
-
-
 def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int, threshold: int) -> DataFrame:
     """The pairs that link, by their whole sets.
 
@@ -363,12 +411,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
     in_blocks = block_rows.select("entity").distinct()
     known = materialize(rows.select("entity", "n_shingles", "bits").join(in_blocks, "entity", "left_semi").groupBy("entity").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "bitmaps")
 
-    near = materialize(fitting_pairs(nearest_pairs(block_rows), known, threshold), "near")
+    near = materialize(fitting_pairs(neighbour_pairs(block_rows), known, threshold), "near")
     links = materialize(verified(near, docs, first_doc, width, threshold), "links")
-    labels = materialize(components(links), "labels")
-    rest = materialize(tree_pairs(block_rows, known, labels, threshold), "pairs")
-    more = verified(rest, docs, first_doc, width, threshold)
-    labels = materialize(components(links.unionByName(more)), "labels")
+    labels = components(links)
+    slack = SLACK
+    while True:
+        rest = materialize(tree_pairs(block_rows, known, labels, threshold, slack), "pairs")
+        if rest.isEmpty():
+            break
+        more = materialize(verified(rest.select("a", "b").distinct(), docs, first_doc, width, threshold), "links")
+        links = links.unionByName(more)
+        labels = components(links)
+        if rest.where("sure").join(more, ["a", "b"], "left_anti").isEmpty():
+            break
+        slack *= 4  # a pair taken to link did not: give more pairs for verification
 
     # the smallest doc_id of each component, by entity; entities without links stand alone
     groups = one.join(labels.withColumnRenamed("node", "entity"), "entity", "left").withColumn("root", F.coalesce("root", "entity"))
