@@ -158,3 +158,11 @@ def exact_dedup(docs: DataFrame, moduli=MODULI) -> DataFrame:
         F.coalesce(F.col("last.row") == F.col("row"), F.lit(True)).alias("kept"),
         "text_sha256",
     )
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, one of each group of equal texts, with all their columns."""
+    stays = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    marked = docs.withColumn("_sha256", F.sha2(text_or_empty(), 256))
+    kept = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_sha256"]).drop("_sha256")

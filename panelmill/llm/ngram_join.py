@@ -433,3 +433,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
     linked = named.where("copies > 1").unionByName(named.where("copies = 1").join(labels.select(F.col("node").alias("entity")), "entity", "left_semi"))
     out = join_groups(rows.select("doc_id", "n_shingles", "entity"), linked, ["entity"], "copies", rows.count())
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their component, with all their columns;
+    of rows with one doc_id all stay or go, and those without doc_id stay."""
+    gone = near_duplicates(docs, width, threshold).where("component_id != doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -179,8 +179,29 @@ def scored(rows: DataFrame, model, threshold: float, fold: int) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def fitted(rows: DataFrame, labels: DataFrame, fold: int = 0) -> Discriminant | float:
+    """The discriminant of rows(doc_id, x) and labels(doc_id, quality)."""
+    return Discriminant.fit(class_moments(training_rows(rows, labels, "quality", fold)))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fold: int = 0) -> DataFrame:
+    """The rows of docs with a score of at least threshold, with all their columns.
+
+    Texts pass through the scoring tasks, so rows are filtered where they are read."""
+    model = fitted(materialize(featured(docs), "statistics"), labels, fold)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                s = np.full(part.num_rows, m) if isinstance(m, float) else m.scores(statistics(part.column("text")))
+                yield part.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fold: int = 0) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     rows = materialize(featured(docs), "statistics")
-    model = Discriminant.fit(class_moments(training_rows(rows, labels, "quality", fold)))
-    return scored(rows, model, threshold, fold)
+    return scored(rows, fitted(rows, labels, fold), threshold, fold)
