@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -36,6 +37,10 @@ PLAIN = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\w\s]|_)+")
 ODD = re.compile("[^\x00-\x1b\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-˿]")
 #: Words of a worker's cache; a full cache is emptied, which changes no result.
 CACHE_WORDS = 400_000
+#: Stands for the end of a word in the matcher; no token has it.
+LAST = "\x01"
+#: Cells of the matrix in which words are merged together.
+MERGE_CELLS = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -73,9 +78,17 @@ class Codec:
             self.left[k], self.right[k], self.rank[k] = i, j, r
             keys.append(i * n + j)
             ranks.append(r)
+        self.never = len(ranks)
+        self.made = np.array([self.merges[divmod(k, n)][1] for k in keys])
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = np.array(keys)[order], np.array(ranks)[order]
-        self.longest = max(map(len, self.vocab))
+        # leftmost-longest matcher of all tokens, with one character for the end of a word
+        self.matcher = ahocorasick.Automaton()
+        for t, i in self.vocab.items():
+            self.matcher.add_word(t[: -len(self.suffix)] + LAST if self.suffix and t.endswith(self.suffix) else t, i)
+        self.matcher.make_automaton()
+        self.is_last = np.zeros(n, dtype=bool)
+        self.is_last[[i for t, i in self.vocab.items() if self.suffix and t.endswith(self.suffix)]] = True
         self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, bytes] = {}
 
@@ -103,20 +116,8 @@ class Codec:
     # encoding of words
 
     def greedy(self, word: str) -> list[int]:
-        """Longest tokens from the left; only the last one carries the end of the word."""
-        vocab, suffix, out, at, n = self.vocab, self.suffix, [], 0, len(word)
-        while at < n:
-            last = vocab.get(word[at:] + suffix)
-            if last is not None:
-                out.append(last)
-                break
-            for end in range(min(n - 1, at + self.longest), at, -1):
-                found = vocab.get(word[at:end])
-                if found is not None:
-                    out.append(found)
-                    at = end
-                    break
-        return out
+        """Longest tokens from the left; right only if the last one ends the word."""
+        return [i for _, i in self.matcher.iter_long(word + LAST)]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE leaves each pair (a, b) of tokens as it is.
@@ -141,42 +142,98 @@ class Codec:
             live, x, y, limit = live[go], x[go], y[go], limit[go]
         return ok
 
-    def merge(self, word: str) -> list[int]:
-        """Exact merging: the lowest rank first, the leftmost of equals."""
-        ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]]
-        while len(ids) > 1:
-            best = min(((*self.merges[p], -i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges), key=lambda m: (m[0], -m[2]), default=None)
-            if best is None:
-                break
-            at = -best[2]
-            ids[at : at + 2] = [best[1]]
-        return ids
+    def pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Place of the pairs among the sorted pairs that merge, or a number beyond all."""
+        keys = x * self.n + y
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == keys) & (x >= 0) & (y >= 0), self.pair_ranks[at], self.never)
+
+    def merge(self, words: list[str]) -> list[list[int]]:
+        """Exact merging of many words at once: in each the lowest rank first, the leftmost of equals."""
+        out: list[list[int]] = [[]] * len(words)
+        lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(lens, kind="stable")
+        at = 0
+        while at < len(order):  # words of like length together, of a bounded number of characters
+            widest = int(lens[order[at]]) + 8
+            part = order[at : at + max(1, MERGE_CELLS // widest)]
+            part = part[lens[part] <= widest]
+            at += len(part)
+            for i, ids in zip(part.tolist(), self._merge([words[i] for i in part.tolist()])):
+                out[i] = ids
+        return out
+
+    def _merge(self, words: list[str]) -> list[list[int]]:
+        vocab, suffix = self.vocab, self.suffix
+        width = max(map(len, words))
+        ids = np.full((len(words), width + 1), -1, dtype=np.int64)
+        for i, w in enumerate(words):
+            ids[i, : len(w)] = [*[vocab[c] for c in w[:-1]], vocab[w[-1] + suffix]]
+        ranks = self.pair_rank(ids[:, :-1], ids[:, 1:])
+        result: list[list[int]] = [[]] * len(words)
+        live = np.arange(len(words))
+        columns = np.arange(width)
+        while len(live):
+            best = ranks.argmin(axis=1)
+            lowest = ranks[np.arange(len(live)), best]
+            done = lowest == self.never
+            if done.any():
+                for i, row in zip(live[done].tolist(), ids[done]):
+                    result[i] = row[row >= 0].tolist()
+                go = ~done
+                live, ids, ranks, best, lowest = live[go], ids[go], ranks[go], best[go], lowest[go]
+                if not len(live):
+                    break
+            row = np.arange(len(live))
+            # close the gap that each merge leaves, then look up the two pairs around it
+            source = columns[None, :] + (columns[None, :] > best[:, None])
+            ids[:, :-1] = np.take_along_axis(ids, source, axis=1)
+            ids[:, -1] = -1
+            ids[row, best] = self.made[lowest]
+            ranks = np.take_along_axis(np.column_stack((ranks, np.full(len(live), self.never))), source, axis=1)
+            ranks[row, best] = self.pair_rank(ids[row, best], ids[row, best + 1])
+            before = best > 0
+            r, b = row[before], best[before]
+            ranks[r, b - 1] = self.pair_rank(ids[r, b - 1], ids[r, b])
+        return result
 
     def learn(self, words: set[str]) -> None:
         """Put the encodings of new words into the cache."""
         if len(self.ids_of) > CACHE_WORDS:
             self.ids_of.clear()
             self.text_of.clear()
-        shown, tokens = self.shown, self.tokens
+        shown = self.shown
         plain = [w for w in words if w not in self.special]
         letters = [w if w.isascii() and w.isprintable() and " " not in w else "".join([shown[c] for c in w.encode("utf-8").decode("latin-1")]) for w in plain]
         cuts = [self.greedy(w) for w in letters]
         flat = np.fromiter((t for c in cuts for t in c), dtype=np.int64)
         sizes = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
-        if len(flat) > 1:
+        if len(flat):
             owner = np.repeat(np.arange(len(cuts)), sizes)
             inner = np.flatnonzero(owner[1:] == owner[:-1])
             pairs, back = np.unique(flat[inner] * self.n + flat[inner + 1], return_inverse=True)
             good = self.compatible(pairs // self.n, pairs % self.n)[back]
-            for i in np.unique(owner[inner[~good]]).tolist():
-                cuts[i] = self.merge(letters[i])
+            open_ = np.flatnonzero(~self.is_last[flat[np.cumsum(sizes) - 1]])
+            wrong = np.unique(np.concatenate((owner[inner[~good]], open_))).tolist()
+            for i, ids in zip(wrong, self.merge([letters[i] for i in wrong])):
+                cuts[i] = ids
+        body = np.fromiter((t for c in cuts for t in c), dtype="<u4").tobytes()
+        at = 0
         for w, c in zip(plain, cuts):
-            self.ids_of[w] = np.array(c, dtype="<u4").tobytes()
-            self.text_of[w] = " ".join([tokens[t] for t in c]).encode("utf-8")
+            self.ids_of[w] = body[at : at + 4 * len(c)]
+            at += 4 * len(c)
         for w in words:
             if w in self.special:
                 self.ids_of[w] = np.array([self.special[w]], dtype="<u4").tobytes()
-                self.text_of[w] = w.encode("utf-8")
+
+    def word_text(self, word: str) -> bytes:
+        """The decoded tokens of a word of the cache."""
+        found = self.text_of.get(word)
+        if found is None:
+            tokens = self.tokens
+            found = " ".join([tokens[t] for t in np.frombuffer(self.ids_of[word], dtype="<u4").tolist()]).encode("utf-8")
+            self.text_of[word] = found
+        return found
 
     def encode_words(self, docs: list[list[str]]) -> None:
         """Make sure that the cache has all words of these documents."""
@@ -224,7 +281,7 @@ def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, ids, words in encoded(batch, path):
-                text = codec(path).text_of.__getitem__
+                text = codec(path).word_text
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
