@@ -4,14 +4,16 @@ A document's set holds its distinct shingles of ``width`` words; two documents l
 when 100 * intersection >= threshold * union.  Steps, all over whole texts:
 
 1. Documents with equal sets are one entity, named by a 64-bit hash of the set.
-2. Shingles get one global order: rare ones first (by a fixed-size table of frequent
-   hash values; any order gives the same links), then by hash.  Two sets that link share
+2. Shingles get one global order: rare ones first (by a fixed-size table of counts of hash
+   values; any order gives the same links), then by hash.  Two sets that link share
    a shingle among the first ``n - ceil(t * n) + 1`` of both, so entities that share one
-   form a block.  Equal blocks are kept once.
+   form a block.  Equal blocks are kept once, with the number of their shingles.
 3. In a first round, each entity is compared with the block neighbours that it shares
    most blocks with, and the links found give first components.
-4. Blocks whose entities are all in one component need no more work.  In each other
-   block a signature tree is built: leaves hold the bitmap of an entity's shingles and
+4. Blocks whose entities are all in one component need no more work.  Small blocks give
+   for each pair of different components the number of first shingles that both have; if
+   it is too small for the sets to link, the pair is out, and what is left of an entity's
+   partners is one group.  For each group and each large block a signature tree is built: leaves hold the bitmap of an entity's shingles and
    its size, inner nodes the OR of their bitmaps and the range of sizes and components.
    A dual traversal prunes node pairs whose largest possible overlap is too small, whose
    sizes can't fit, or which lie in one component.
@@ -47,7 +49,9 @@ FILTER_BITS = 1 << 23
 FANOUT, CHUNK = 8, 4096
 #: Bits of a node's bitmap, neighbours compared in the first round, and the overlap beyond
 #: the needed one from which a pair is taken to link until it is verified.
-COARSE, NEIGHBOURS, SLACK = 2048, 4, 3
+COARSE, NEIGHBOURS, SLACK = 2048, 2, 3
+#: Entities of a block whose pairs are counted over all blocks before their trees are built.
+SMALL = 32
 #: Rows of small blocks that share a task's group.
 TASK_ROWS = 20_000
 U64 = np.uint64
@@ -58,8 +62,11 @@ def needed(n, threshold: int):
     return -(-threshold * n // 100)
 
 
-def frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Order class of each of SKETCH hash values: 0, or the log of a large count."""
+def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of all documents fall on each of SKETCH hash values.
+
+    Each task sums its texts into one table of fixed size and hands it on in parts."""
+    parts = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SKETCH, dtype=np.int64)
@@ -67,14 +74,18 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
             for part in slices(batch):
                 sets, _ = shingle_sets(*word_hashes(*flat_bytes(part.column("text"))), width)
                 table += np.bincount((sets >> U64(44)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(table >= 8 + 8 * table.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["at", "n"])
+        if table.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array([x.tobytes() for x in np.split(table, parts)], pa.binary())], names=["part", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, dtype=np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [total.tobytes()]})
 
-    sums = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    out = np.zeros(SKETCH, dtype=np.uint8)
-    for r in sums.toLocalIterator():  # at most SKETCH rows
-        out[r["at"]] = int(r["n"]).bit_length()
-    return out
+    sums = docs.select("text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInPandas(add, "part long, counts binary")
+    out = np.zeros((parts, SKETCH // parts), dtype=np.int64)
+    for r in sums.toLocalIterator():  # SKETCH numbers
+        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
 
 
 def signature_width(n: int) -> int:
@@ -92,9 +103,9 @@ def read_signature(n: int, bits: bytes) -> np.ndarray:
     return np.frombuffer(bits, dtype=np.uint16 if signature_width(n) == 1 << 16 else np.uint32).astype(np.int64)
 
 
-def entities(docs: DataFrame, width: int, threshold: int, classes: np.ndarray) -> DataFrame:
+def entities(docs: DataFrame, width: int, threshold: int, counts: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, entity, prefix (ordered first shingles), bits."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +242,7 @@ class SignatureTree:
     def pairs(self, other: SignatureTree, threshold: int, slack: int) -> list[tuple[int, int, bool]]:
         """(entity, entity, sure): pairs of different components whose fine bitmaps let them link.
 
-        A pair with ``slack`` more than the needed overlap is taken to link, and of pairs
+        A pair with a likely overlap of ``slack`` more than the needed one is taken to link, and of pairs
         between two components joined so far only the first such one is given; the caller
         verifies it.  Closer calls are all given."""
         x, y = self.candidates(other, threshold)
@@ -253,10 +264,10 @@ class SignatureTree:
             js = [j for j in y[lo:hi].tolist() if find(int(other.label[j])) != mine]
             if not js:
                 continue
-            most = fine_overlaps(self.fine[i], int(self.size[i]), [other.fine[j] for j in js], other.size[js])
+            most, likely = fine_overlaps(self.fine[i], int(self.size[i]), [other.fine[j] for j in js], other.size[js])
             need = least_overlap(self.size[i] + other.size[js], threshold)
             for k in np.flatnonzero(most >= need).tolist():
-                theirs, sure = find(int(other.label[js[k]])), bool(most[k] >= need[k] + slack)
+                theirs, sure = find(int(other.label[js[k]])), bool(likely[k] >= need[k] + slack)
                 if theirs == mine:
                     continue
                 out.append((int(self.entity[i]), int(other.entity[js[k]]), sure))
@@ -271,10 +282,11 @@ def least_overlap(sizes, threshold: int):
     return -(-threshold * sizes // (100 + threshold))
 
 
-def fine_overlaps(one: np.ndarray, n: int, many: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """Largest possible intersections of one set with many: common bits plus spare shingles,
-    at the width of the smaller bitmap of each pair."""
-    out = np.zeros(len(many), dtype=np.int64)
+def fine_overlaps(one: np.ndarray, n: int, many: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intersections of one set with many, at the width of the smaller bitmap of each pair: the
+    largest possible ones, common bits plus spare shingles, and likely ones, common bits less
+    twice the bits that differing shingles share by chance."""
+    out, likely = np.zeros(len(many), dtype=np.int64), np.zeros(len(many), dtype=np.int64)
     own = signature_width(n)
     widths = np.array([min(own, signature_width(int(s))) for s in sizes])
     for width in np.unique(widths).tolist():
@@ -287,7 +299,8 @@ def fine_overlaps(one: np.ndarray, n: int, many: list[np.ndarray], sizes: np.nda
         lens = np.array([len(m) for m in theirs])
         common = np.add.reduceat(flags[np.concatenate(theirs)].astype(np.int64), np.cumsum(lens) - lens)
         out[at] = common + np.minimum(spare, sizes[at] - lens)
-    return out
+        likely[at] = common - 2 * (np.maximum(n - common, 0) * np.maximum(sizes[at] - common, 0) // width)
+    return out, likely
 
 
 def _children(x, y, down_x: bool, down_y: bool, n_x: int, n_y: int):
@@ -302,23 +315,35 @@ def _children(x, y, down_x: bool, down_y: bool, n_x: int, n_y: int):
 
 def tree_pairs(block_rows: DataFrame, known: DataFrame, labels: DataFrame, threshold: int, slack: int) -> DataFrame:
     """a, b, sure: pairs of entities of different components that the trees can't rule out."""
-    labelled = block_rows.select("block", "entity").join(labels.withColumnRenamed("node", "entity"), "entity", "left").withColumn("label", F.coalesce("root", "entity")).drop("root")
+    labelled = block_rows.select("block", "entity", "weight").join(labels.withColumnRenamed("node", "entity"), "entity", "left").withColumn("label", F.coalesce("root", "entity")).drop("root")
     open_ = labelled.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
-    open_ = materialize(open_, "open")
-    n_rows = open_.agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions_of(block_rows.sparkSession), n_rows // TASK_ROWS)
+    rows = materialize(labelled.join(open_.select("block", "n"), "block"), "open")
+    # small blocks: partners by the number of first shingles that two entities share
+    small = rows.where(F.col("n") <= SMALL).select("block", "entity", "label", "weight")
+    other = small.select("block", F.col("entity").alias("b"), F.col("label").alias("other"))
+    shared = small.withColumnRenamed("entity", "a").join(other, "block").where("a < b AND label != other").groupBy("a", "b").agg(F.sum("weight").alias("k"))
+    size = known.select("entity", "n_shingles")
+    sized = shared.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
+    most = F.greatest("n_a", "n_b")
+    later = F.ceil(most * threshold / 100) - 1  # shingles behind the first ones
+    sized = sized.where((100 * F.least("n_a", "n_b") >= threshold * most) & ((F.col("k") + later) * (100 + threshold) >= threshold * (F.col("n_a") + F.col("n_b"))))
+    sized = materialize(sized, "counted")
+    ends = sized.select(F.col("a").alias("block"), F.lit(1).alias("own"), F.col("b").alias("entity")).unionByName(sized.select(F.col("a").alias("block"), F.lit(0).alias("own"), F.col("a").alias("entity")).distinct())
+    ends = ends.join(labels.withColumnRenamed("node", "entity"), "entity", "left").withColumn("label", F.coalesce("root", "entity")).drop("root")
+    buckets = max(partitions_of(block_rows.sparkSession), sized.count() // TASK_ROWS)
+    stars = ends.select(F.pmod("block", F.lit(buckets)).alias("bucket"), F.lit(0).alias("i"), F.lit(1).alias("j"), "block", "own", "entity", "label")
+    # a block of more than CHUNK entities is dealt into parts, and each pair of parts is a group
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = labelled.join(open_.select("block", parts.alias("parts")), "block").join(known, "entity")
-    # blocks share a group; one of more than CHUNK entities is dealt into parts, and each pair of parts is a group
-    own = F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(
+    large = rows.where(F.col("n") > SMALL).select("block", "entity", "label", parts.alias("parts"))
+    large = large.withColumn("own", F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    large = large.select(
         F.when(F.col("parts") == 1, F.pmod("block", F.lit(buckets))).otherwise(F.col("block")).alias("bucket"),
-        F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "block", "own", "entity", "n_shingles", "label", "bits",
+        F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "block", "own", "entity", "label",
     )
+    rows = stars.withColumn("star", F.lit(True)).unionByName(large.withColumn("star", F.lit(False))).join(known, "entity")
 
     def traverse(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(key[1]), int(key[2])
+        i, j = int(key[2]), int(key[3])
         by = np.argsort(pdf["block"].to_numpy(), kind="stable")
         block, own_part = pdf["block"].to_numpy()[by], pdf["own"].to_numpy()[by]
         entity, size, label = (pdf[c].to_numpy()[by] for c in ("entity", "n_shingles", "label"))
@@ -339,22 +364,22 @@ def tree_pairs(block_rows: DataFrame, known: DataFrame, labels: DataFrame, thres
         ends = np.array(list(found), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1], "sure": np.array(list(found.values()), dtype=bool)})
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(traverse, "a long, b long, sure boolean").distinct()
+    return rows.groupBy("star", "bucket", "i", "j").applyInPandas(traverse, "a long, b long, sure boolean").distinct()
 
 
 def fitting_pairs(pairs: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
     """Pairs that the bitmaps of the two leaves can't rule out."""
-    side = lambda c: known.select(F.col("entity").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-
+    size, bits = known.select("entity", "n_shingles"), known.select("entity", "bits")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             keep = [
-                fine_overlaps(read_signature(p, u), p, [read_signature(q, v)], np.array([q]))[0] >= least_overlap(p + q, threshold)
+                fine_overlaps(read_signature(p, u), p, [read_signature(q, v)], np.array([q]))[0][0] >= least_overlap(p + q, threshold)
                 for p, u, q, v in zip(d["n_a"].tolist(), d["bits_a"], d["n_b"].tolist(), d["bits_b"])
             ]
             yield d.loc[keep, ["a", "b"]]
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * n_a >= {threshold} * n_b and 100 * n_b >= {threshold} * n_a")
+    sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").where(f"100 * n_a >= {threshold} * n_b and 100 * n_b >= {threshold} * n_a")
+    sized = sized.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
     return sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(run, "a long, b long")
 
 
@@ -403,7 +428,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
-    rows = materialize(entities(docs, width, threshold, frequent(docs, width)), "entities")
+    rows = materialize(entities(docs, width, threshold, shingle_counts(docs, width)), "entities")
     block_rows = materialize(blocks(rows), "blocks")
     one = rows.where("n_shingles > 0").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     one = materialize(one, "entity_docs")
