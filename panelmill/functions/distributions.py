@@ -19,7 +19,7 @@ def _each(f):
     def over(x: pd.Series) -> pd.Series:
         return pd.Series([f(v) if v is not None and math.isfinite(v) else None for v in x.tolist()], dtype="float64")
 
-    return F.pandas_udf(over, "double")
+    return lambda x: F.pandas_udf(over, "double")(x)
 
 
 normal_cdf = _each(_NORMAL.cdf)
