@@ -212,7 +212,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each personal span of text replaced by its kind in brackets; null texts stay null."""
-    rows = found(docs.withColumn("_null", F.col("text").isNull()), [*docs.columns, "_null"])
+    rows = found(docs.select(F.struct(*docs.columns).alias("given"), "text"), ["given", "text"])
     step = "CASE WHEN s.end <= a.at THEN a ELSE struct(s.end AS at, concat(a.out, substring(text, a.at + 1, greatest(s.start - a.at, 0)), CASE WHEN s.start >= a.at THEN concat('[', upper(s.kind), ']') ELSE '' END) AS out) END"
-    text = F.expr(f"CASE WHEN _null THEN NULL WHEN size(all) = 0 THEN text ELSE aggregate(all, struct(0 AS at, '' AS out), (a, s) -> {step}, a -> concat(a.out, substring(text, a.at + 1))) END")
-    return rows.withColumn("text", text).select(*docs.columns)
+    text = F.expr(f"CASE WHEN given.text IS NULL THEN NULL WHEN size(all) = 0 THEN text ELSE aggregate(all, struct(0 AS at, '' AS out), (a, s) -> {step}, a -> concat(a.out, substring(text, a.at + 1))) END")
+    return rows.select(*[text.alias(c) if c == "text" else F.col("given")[c].alias(c) for c in docs.columns])
