@@ -219,7 +219,7 @@ def kalman_smoother(spark, d):
 def completion(spark, d):
     p, m = model_panel(spark, d), models(spark, d)
     s = statespace.signal(p, m, statespace.smoothed(statespace.filtered(statespace.step_sums(p, m))))
-    return s.select("model", "loc", "t", F.round("fit", 5).alias("fit"), F.round("filled", 7).alias("filled"))
+    return s.select("model", "loc", "t", F.round("fit", 5).alias("fit"), F.coalesce("z", F.round("fit", 5)).alias("filled"))
 
 
 def location_scores(spark, d):

@@ -94,7 +94,7 @@ SELECT loc, round(any_value(level), 5) AS level, round(any_value(b), 4) AS slope
 SELECT model, round(b0, 4) AS b0, round(b1, 4) AS b1, round(0.6 * v, 4) AS v, round(0.2 * v, 4) AS w FROM s""",
     "kalman_filter": f"""WITH RECURSIVE {_FILTER} SELECT f.model, round(e.ll, 3) AS loglik, f.t, round(f.m, 5) AS m, round(f.c, 5) AS c FROM f JOIN last ON last.model = f.model JOIN f e ON e.model = last.model AND e.t = last.t WHERE f.t >= 0""",
     "kalman_smoother": f"WITH RECURSIVE {_FILTER} SELECT model, t, round(m, 5) AS m, round(c, 5) AS c FROM s",
-    "completion": f"""WITH RECURSIVE {_FILTER} SELECT p.model, p.loc, p.t, round(b0 + b1 * x + s.m, 5) AS fit, round(coalesce(z, b0 + b1 * x + s.m), 7) AS filled FROM mpanel p JOIN models USING (model) JOIN s ON s.model = p.model AND s.t = p.t""",
+    "completion": f"""WITH RECURSIVE {_FILTER} SELECT p.model, p.loc, p.t, round(b0 + b1 * x + s.m, 5) AS fit, coalesce(z, round(b0 + b1 * x + s.m, 5)) AS filled FROM mpanel p JOIN models USING (model) JOIN s ON s.model = p.model AND s.t = p.t""",
     "location_scores": f"""WITH {_CELLS}, {_MODELS} SELECT loc, model, round(-0.5 * sum(ln(2 * 3.141592653589793::DOUBLE * v) + (z - b0 - b1 * x) * (z - b0 - b1 * x) / v), 3) AS ll FROM grid, models WHERE z IS NOT NULL AND model IN ('NATION_0', 'NATION_5', 'NATION_9') GROUP BY 1, 2""",
     "label_update": f"""WITH {_NEAR}, n AS (SELECT i, nation % 5 AS g, count(*) AS n FROM graph JOIN places ON loc = j GROUP BY 1, 2)
 SELECT i AS loc, g, n AS agreeing FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, g) AS r FROM n) WHERE r = 1""",
