@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NORMAL = NormalDist()
+NORMAL = NormalDist()
 
 
 def _each(f):
@@ -22,8 +22,8 @@ def _each(f):
     return lambda x: F.pandas_udf(over, "double")(x)
 
 
-normal_cdf = _each(_NORMAL.cdf)
-normal_quantile = _each(lambda p: _NORMAL.inv_cdf(p) if 0 < p < 1 else None)
+normal_cdf = _each(NORMAL.cdf)
+normal_quantile = _each(lambda p: NORMAL.inv_cdf(p) if 0 < p < 1 else None)
 
 
 def upper_gamma(a: float, x: float) -> float:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inference, panel, spatial, statespace
 from ..sources import store
-from . import spatial_models
+from . import regimes, spatial_models
 
 FOLDS, NEIGHBOURS = 5, 4
 
@@ -317,6 +317,28 @@ def spatial_completion(spark, d):
     return spatial_models.complete(p, q, spatial_models.fit_models(p, q, 0.5, 5))
 
 
+def _regimes(spark, d):
+    p = grid(spark, d).where("t < 24")
+    return regimes.fit_grid(p, places(spark, d).select("loc", "x", "y"), [1, 2, 3], [0.0, 0.05], sweeps=2, em_steps=1)
+
+
+def regime_grid(spark, d):
+    return inference.criteria(_regimes(spark, d)[0])
+
+
+def regime_selection(spark, d):
+    return inference.select_model(inference.criteria(_regimes(spark, d)[0]), 0.025, 0.2)
+
+
+def corrected_intervals(spark, d):
+    return inference.corrected_intervals(_draws(spark, d))
+
+
+def wald_tests(spark, d):
+    w = _draws(spark, d)
+    return inference.wald(w.groupBy("g", "parameter").agg(F.avg("value").alias("value")), w)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -324,6 +346,6 @@ QUERIES = {
         potts_pairs, nearest_of_nation, decay_limits, distance_bins, partitions_ari, contingency, information_criteria, model_selection, draw_summary, group_differences,
         co_clustering, vote_mode, fold_errors, departures, residual_diagnostics, start_values, kalman_filter, kalman_smoother, completion, location_scores, label_update,
         wide_pivot, totals, resume_tasks, monte_carlo, top_brand, complete_groups, cost_projection, causality_summary, em_fit, spatial_fit, spatial_bootstrap,
-        spatial_kriging, spatial_completion,
+        spatial_kriging, spatial_completion, regime_grid, regime_selection, corrected_intervals, wald_tests,
     )
 }
