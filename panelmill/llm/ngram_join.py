@@ -425,6 +425,16 @@ def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int
     return sided.select("a", "b", "set_a", "set_b").mapInArrow(test, "a long, b long")
 
 
+def joined_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels after further links: components of the links between the components so far."""
+    end = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c))
+    known = lambda c: labels.toDF(c, f"root_{c}")
+    between = more.join(known("a"), "a", "left").join(known("b"), "b", "left").select(end("a").alias("a"), end("b").alias("b"))
+    over = components(materialize(between, "between"))
+    moved = labels.join(over.toDF("root", "new"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return materialize(moved.unionByName(over.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
@@ -445,8 +455,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
         if rest.isEmpty():
             break
         more = materialize(verified(rest.select("a", "b").distinct(), docs, first_doc, width, threshold), "links")
-        links = links.unionByName(more)
-        labels = components(links)
+        labels = joined_labels(labels, more)
         if rest.where("sure").join(more, ["a", "b"], "left_anti").isEmpty():
             break
         slack *= 4  # a pair taken to link did not: give more pairs for verification

@@ -41,18 +41,12 @@ def rectangle(n: int) -> tuple[int, int]:
     return a, -(-max(n, 1) // a)
 
 
-def _round(x: Column, k: tuple[int, int, int]) -> Column:
-    m, c, d = k
-    y = (x * F.lit(m) + F.lit(c)) % F.lit(PRIME)
-    return (y * y + F.lit(d)) % F.lit(PRIME)
-
-
 def permuted(number: Column, n: int) -> Column:
     """The image of a row number 0 .. n - 1 under the permutation of 0 .. n - 1."""
     a, b = rectangle(n)
 
     def once(v: Column) -> Column:
-        state = F.struct((v % a).alias("l"), F.floor(v / b * 0 + (v - v % a) / a).cast("long").alias("r"))
+        state = F.struct((v % a).alias("l"), ((v - v % a) / a).cast("long").alias("r"))
         keys = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(c).cast("long").alias("c"), F.lit(d).cast("long").alias("d"), F.lit(i % 2 == 0).alias("left")) for i, (m, c, d) in enumerate(ROUNDS)])
 
         def step(s: Column, k: Column) -> Column:
