@@ -75,13 +75,17 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
                 sets, _ = shingle_sets(*word_hashes(*flat_bytes(part.column("text"))), width)
                 table += np.bincount((sets >> U64(44)).astype(np.int64), minlength=SKETCH)
         if table.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array([x.tobytes() for x in np.split(table, parts)], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in np.split(table, parts)], pa.binary())], names=["part", "counts"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [total.tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # one row of counts at a time is added
+        for batch in batches:
+            for k, x in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                total[k] = total.get(k, 0) + np.frombuffer(x.as_buffer(), dtype=np.uint32).astype(np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
-    sums = docs.select("text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInPandas(add, "part long, counts binary")
+    sums = docs.select("text").mapInArrow(count, "part long, counts binary").repartition(parts, "part").mapInArrow(add, "part long, counts binary")
     out = np.zeros((parts, SKETCH // parts), dtype=np.int64)
     for r in sums.toLocalIterator():  # SKETCH numbers
         out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
