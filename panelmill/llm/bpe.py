@@ -36,7 +36,7 @@ EXACT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p
 PLAIN = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\w\s]|_)+")
 ODD = re.compile("[^\x00-\x1b\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-˿]")
 #: Words of a worker's cache; a full cache is emptied, which changes no result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Stands for the end of a word in the matcher; no token has it.
 LAST = "\x01"
 #: Cells of the matrix in which words are merged together.
