@@ -27,6 +27,8 @@ from .textblocks import flat_bytes, mix
 #: (prime, base) of each fingerprint.
 MODULI = ((2147483647, 1103515245), (2147483629, 747796405))
 CHUNK = 4096
+#: Bytes of text that a task hashes at a time; its arrays take some forty times as much.
+PART_BYTES = 2 << 20
 #: Bytes of a chunk in the comparison.
 COMPARE = 1 << 16
 #: Bits of the filter of fingerprints that occur twice; fixed, so false positives only cost work.
@@ -92,7 +94,7 @@ def fingerprinted(docs: DataFrame, moduli=MODULI, keep_text: bool = False) -> Da
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict = {}
         for batch in batches:
-            for part in slices(batch, limit=8 << 20):
+            for part in slices(batch, limit=PART_BYTES):
                 cols, _ = _with_keys(part, moduli, tables)
                 own = [part.column(f.name) for f in schema.fields]
                 yield pa.RecordBatch.from_arrays([*own, *cols], names=[*schema.names, *KEYS])
@@ -117,7 +119,7 @@ def differing(docs: DataFrame, repeated: DataFrame, moduli=MODULI) -> DataFrame:
         for batch in batches:
             at = batch.column("at").to_numpy()
             batch = batch.filter(pa.array((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            for part in slices(batch, limit=8 << 20):
+            for part in slices(batch, limit=PART_BYTES):
                 keys = list(zip(*(part.column(k).to_pylist() for k in KEYS)))
                 seen: set = set()
                 out: list[tuple] = []
