@@ -31,6 +31,8 @@ FLOOR = 1e-4
 #: Units added to the base of a share, so that a few words say little.
 DAMPING = 12
 THRESHOLD = 0.3
+#: Bytes of text whose statistics a task takes at a time; its arrays take some fifty times as much.
+PART_BYTES = 1 << 20
 
 #: Classes of bytes: 0 other, then lower case, upper case, digit, blank, stop, mark, symbol, above ASCII.
 _KIND = np.zeros(256, dtype=np.int64)
@@ -92,7 +94,7 @@ def featured(docs: DataFrame, extract=statistics) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=PART_BYTES):
                 x = extract(part.column("text"))
                 flat = pa.array(x.ravel())
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)
@@ -194,7 +196,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=PART_BYTES):
                 s = np.full(part.num_rows, m) if isinstance(m, float) else m.scores(statistics(part.column("text")))
                 yield part.filter(pa.array(s >= threshold))
 
