@@ -14,6 +14,8 @@ from ..sources import store
 from . import regimes, spatial_models
 
 FOLDS, NEIGHBOURS = 5, 4
+#: EM stops at this change of the log-likelihood; the bound on steps and the draws are the reference's defaults.
+EM_TOL, EM_MOST, DRAWS = 1e-3, 500, 100
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -292,29 +294,36 @@ def em_fit(spark, d):
     return fits.join(last, "model")
 
 
-def _small(spark, d):
-    p = model_panel(spark, d).where("loc <= 60 AND t < 36")
-    return p.withColumn("model", F.when(F.col("loc") % 2 == 0, "even").otherwise("odd")).select("model", "loc", "t", "z", "x")
+def _two_models(spark, d):
+    """The whole panel, under a model of even and one of odd locations."""
+    model = F.when(F.col("loc") % 2 == 0, "even").otherwise("odd")
+    return grid(spark, d).select(model.alias("model"), "loc", "t", "z", "x")
+
+
+def _spatial_fits(spark, d):
+    return spatial_models.fit_models(_two_models(spark, d), places(spark, d), EM_TOL, EM_MOST)
+
+
+def unseen_places(spark, d):
+    """Places of the embedding without a supplier in the panel, with the covariate of an empty cell."""
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("loc"), F.round(F.col("embedding")[0].cast("double"), 6).alias("x"), F.round(F.col("embedding")[1].cast("double"), 6).alias("y"), F.lit(0.05).alias("cov"))
+    return e.join(observed(spark, d).select("loc").distinct(), "loc", "left_anti")
 
 
 def spatial_fit(spark, d):
-    return spatial_models.fit_models(_small(spark, d), places(spark, d), 0.05, 15)
+    return _spatial_fits(spark, d)
 
 
 def spatial_bootstrap(spark, d):
-    p, q = _small(spark, d), places(spark, d)
-    return spatial_models.bootstrap(p, q, spatial_models.fit_models(p, q, 0.5, 5), 3, most=3)
+    return spatial_models.bootstrap(_two_models(spark, d), places(spark, d), store.cut_lineage(_spatial_fits(spark, d)), DRAWS, tol=EM_TOL, most=EM_MOST)
 
 
 def spatial_kriging(spark, d):
-    p, q = _small(spark, d), places(spark, d)
-    new = q.where("loc > 60 AND loc <= 80").select("loc", "x", "y", F.lit(0.05).alias("cov"))
-    return spatial_models.krige(p, q, spatial_models.fit_models(p, q, 0.5, 5), new, 20)
+    return spatial_models.krige(_two_models(spark, d), places(spark, d), store.cut_lineage(_spatial_fits(spark, d)), unseen_places(spark, d))
 
 
 def spatial_completion(spark, d):
-    p, q = _small(spark, d), places(spark, d)
-    return spatial_models.complete(p, q, spatial_models.fit_models(p, q, 0.5, 5))
+    return spatial_models.complete(_two_models(spark, d), places(spark, d), _spatial_fits(spark, d))
 
 
 def _regimes(spark, d):
