@@ -8,6 +8,8 @@ is a fold over the ordered time steps of each model, an expression without Pytho
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,3 +127,66 @@ def fit(panel: DataFrame, models: DataFrame, tol: float = 1e-3, most: int = 50)
                 return new, trace
         models, before = new, ll
     return models, trace
+
+
+def cell_sums(panel: DataFrame) -> DataFrame:
+    """model, t and the sums over observed cells that EM needs, whatever the parameters."""
+    ok = F.col("z").isNotNull() & F.col("x").isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(ok, c)), F.lit(0.0))
+    z, x = F.col("z"), F.col("x")
+    return panel.groupBy("model", "t").agg(F.count(F.when(ok, 1)).cast("double").alias("n"), total(z).alias("sz"), total(x).alias("sx"), total(z * z).alias("szz"), total(z * x).alias("szx"), total(x * x).alias("sxx"))
+
+
+def _em_on_sums(n, sz, sx, szz, szx, sxx, p: dict, tol: float, most: int) -> tuple[dict, float, int, bool]:
+    """em_step until the loglik changes by less than tol: (parameters, their loglik, steps, converged)."""
+    steps, before, k = len(n), -np.inf, 0
+    while True:
+        b0, b1, v, g, w = (p[c] for c in ("b0", "b1", "v", "g", "w"))
+        s = sz - b0 * n - b1 * sx
+        q = szz - 2 * b0 * sz - 2 * b1 * szx + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx
+        m, c, ahead, ll = [p["m0"]], [p["c0"]], [0.0], 0.0
+        for t in range(steps):
+            a, r = g * m[t], g * g * c[t] + w
+            ahead.append(r)
+            if n[t] > 0:
+                spread, e = v + n[t] * r, s[t] - n[t] * a
+                ee = q[t] - 2 * a * s[t] + n[t] * a * a
+                ll -= 0.5 * (n[t] * LOG_2PI + (n[t] - 1) * np.log(v) + np.log(spread) + (ee - r * e * e / spread) / v)
+                a, r = a + r * e / spread, r * v / spread
+            m.append(a)
+            c.append(r)
+        done = abs(ll - before) < tol
+        if done or k == most:
+            return p, float(ll), k, bool(done)
+        before, k = ll, k + 1
+        m, c, ahead = np.array(m), np.array(c), np.array(ahead)
+        gain = c[:-1] * g / ahead[1:]
+        ms, cs = m.copy(), c.copy()
+        for t in range(steps - 1, -1, -1):
+            ms[t], cs[t] = m[t] + gain[t] * (ms[t + 1] - g * m[t]), c[t] + gain[t] ** 2 * (cs[t + 1] - ahead[t + 1])
+        s11, s00, s10 = (ms[1:] ** 2 + cs[1:]).sum(), (ms[:-1] ** 2 + cs[:-1]).sum(), (ms[1:] * ms[:-1] + gain * cs[1:]).sum()
+        state, cells = ms[1:], n.sum()
+        y, yy, yx = (sz - n * state).sum(), (szz - 2 * state * sz + n * state**2).sum(), (szx - state * sx).sum()
+        syy, sxy, spread_x = yy - y * y / cells, yx - y * sx.sum() / cells, sxx.sum() - sx.sum() ** 2 / cells
+        fits = spread_x > 1e-12 * sxx.sum()
+        slope = sxy / spread_x if fits else 0.0
+        level = (y - slope * sx.sum()) / cells if fits else 0.0  # 0, as in em_step, where x does not vary
+        new_g = s10 / s00
+        p = {"b0": level, "b1": slope, "v": max((syy - slope * sxy) / cells + (n * cs[1:]).sum() / cells, 1e-10), "g": new_g, "w": max((s11 - new_g * s10) / steps, 1e-10), "m0": ms[0], "c0": p["c0"]}
+
+
+def fit_on_sums(panel: DataFrame, models: DataFrame, tol: float = 1e-3, most: int = 500) -> DataFrame:
+    """models(model, ..., loglik, steps, converged): EM of each model until its loglik changes by
+    less than tol.  Cells are summed once, by model and time step; a model's task has one row
+    per time step, however many locations there are."""
+    spec = ("n", "sz", "sx", "szz", "szx", "sxx")
+    kept = ", ".join(f"{c} double" for c in PARAMETERS)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        start = {c: float(pdf[c].iloc[0]) for c in PARAMETERS}
+        p, ll, steps, done = _em_on_sums(*(pdf[c].to_numpy() for c in spec), start, tol, most)
+        return pd.DataFrame([{"model": key[0], **p, "loglik": ll, "steps": steps, "converged": done}])
+
+    joined = cell_sums(panel).join(F.broadcast(models.select("model", *PARAMETERS)), "model")
+    return joined.groupBy("model").applyInPandas(run, f"model string, {kept}, loglik double, steps int, converged boolean")

@@ -327,16 +327,17 @@ def spatial_completion(spark, d):
 
 
 def _regimes(spark, d):
-    p = grid(spark, d).where("t < 24")
-    return regimes.fit_grid(p, places(spark, d).select("loc", "x", "y"), [1, 2, 3], [0.0, 0.05], sweeps=2, em_steps=1)
+    return regimes.fit_grid(grid(spark, d), places(spark, d).select("loc", "x", "y"), [1, 2, 3], [0.0, 0.05], tol=EM_TOL, em_steps=EM_MOST)[0]
 
 
 def regime_grid(spark, d):
-    return inference.criteria(_regimes(spark, d)[0])
+    return inference.criteria(_regimes(spark, d))
 
 
 def regime_selection(spark, d):
-    return inference.select_model(inference.criteria(_regimes(spark, d)[0]), 0.025, 0.2)
+    table = store.cut_lineage(_regimes(spark, d))
+    chosen = inference.select_model(inference.criteria(table), 0.025, 0.2)
+    return chosen.join(table.select("k", "phi", "moved", "converged"), ["k", "phi"])
 
 
 def corrected_intervals(spark, d):

@@ -53,11 +53,12 @@ def new_labels(scored: DataFrame, labels: DataFrame, edges: DataFrame, configs:
     return total.groupBy("config", "loc").agg(F.max(F.struct("value", (-F.col("g")).alias("g"))).alias("b")).select("config", "loc", (-F.col("b.g")).alias("g"))
 
 
-def fit_grid(panel: DataFrame, places: DataFrame, ks: list[int], phis: list[float], neighbours: int = 4, sweeps: int = 4, em_steps: int = 2, min_size: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit_grid(panel: DataFrame, places: DataFrame, ks: list[int], phis: list[float], neighbours: int = 4, sweeps: int = 10, em_steps: int = 500, min_size: int = 2, tol: float = 1e-3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grid table, labels, models) of all configurations; panel(loc, t, z, x), places(loc, x, y).
 
     k = 1 is fitted once, at the first phi.  A configuration is admissible if all its regimes
-    kept at least min_size locations."""
+    kept at least min_size locations.  It has converged if no location changed its regime in
+    the last sweep and EM of all its regimes reached tol; moved counts the changes."""
     spark = panel.sparkSession
     chosen = [(f"{k}|{p!r}", k, float(p)) for k in ks for p in (phis if k > 1 else phis[:1])]
     configs = spark.createDataFrame(chosen, "config string, k int, phi double")
@@ -67,22 +68,21 @@ def fit_grid(panel: DataFrame, places: DataFrame, ks: list[int], phis: list[floa
     for _ in range(sweeps):
         cells = cut_lineage(keyed(panel, labels))
         first = statespace.start_values(cells)
-        models = first if models is None else first.join(models.select("model"), "model", "left_anti").unionByName(models.join(first.select("model"), "model", "left_semi"))
-        for _ in range(em_steps):
-            models = cut_lineage(statespace.em_step(cells, models)[0])
+        if models is not None:
+            models = models.drop("loglik", "steps", "converged")
+            first = first.join(models.select("model"), "model", "left_anti").unionByName(models.join(first.select("model"), "model", "left_semi"))
+        models = cut_lineage(statespace.fit_on_sums(cells, first, tol, em_steps))
         states = statespace.smoothed(statespace.filtered(statespace.step_sums(cells, models)))
         after = cut_lineage(new_labels(scores(panel, models, states), labels, edges, configs))
-        moved = after.join(labels.withColumnRenamed("g", "old"), ["config", "loc"]).where("g != old")
-        stable, labels = moved.isEmpty(), after
-        if stable:
+        moves = cut_lineage(after.join(labels.withColumnRenamed("g", "old"), ["config", "loc"]).groupBy("config").agg(F.count(F.when(F.col("g") != F.col("old"), 1)).alias("moved")))
+        labels = after
+        if moves.where("moved > 0").isEmpty():
             break
     cells = cut_lineage(keyed(panel, labels))
-    models = statespace.start_values(cells)
-    for _ in range(em_steps):
-        models = cut_lineage(statespace.em_step(cells, models)[0])
-    ll = statespace.filtered(statespace.step_sums(cells, models)).select(F.split("model", "#")[0].alias("config"), "loglik")
+    models = cut_lineage(statespace.fit_on_sums(cells, statespace.start_values(cells), tol, em_steps))
+    ends = models.groupBy(F.split("model", "#")[0].alias("config")).agg(F.sum("loglik").alias("loglik"), F.bool_and("converged").alias("em_done"))
     sizes = labels.groupBy("config", "g").agg(F.count(F.lit(1)).alias("size")).groupBy("config").agg(F.count(F.lit(1)).cast("int").alias("k_eff"), F.min("size").alias("min_size"))
     nobs = panel.agg(F.count("z").cast("double").alias("nobs"))
-    table = configs.join(ll.groupBy("config").agg(F.sum("loglik").alias("loglik")), "config").join(sizes, "config").join(F.broadcast(nobs))
-    table = table.select("config", "k", "phi", "k_eff", "min_size", "loglik", (F.col("k_eff") * N_PARAMETERS).cast("double").alias("df"), "nobs", ((F.col("k_eff") == F.col("k")) & (F.col("min_size") >= min_size)).alias("admissible"))
+    table = configs.join(ends, "config").join(sizes, "config").join(moves, "config").join(F.broadcast(nobs))
+    table = table.select("config", "k", "phi", "k_eff", "min_size", "loglik", (F.col("k_eff") * N_PARAMETERS).cast("double").alias("df"), "nobs", ((F.col("k_eff") == F.col("k")) & (F.col("min_size") >= min_size)).alias("admissible"), "moved", (F.col("em_done") & (F.col("moved") == 0)).alias("converged"))
     return table, labels, models

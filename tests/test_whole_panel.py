@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 from test_operators import as_frames, simulated
 
+from panelmill.operators import statespace
 from panelmill.plans import panel_queries, spatial_models
+from panelmill.sources import store
 
 DATA = "/root/testdata/sf0.001"
 
@@ -45,3 +46,24 @@ def test_kriging_against_the_dense_normal(spark):
         sigma = spatial_models.covariance(h, p)[np.ix_(ok, ok)]
         assert math.isclose(got[t][0], want, rel_tol=1e-8)
         assert math.isclose(got[t][1], math.sqrt(p["w"] - near[ok] @ np.linalg.solve(sigma, near[ok])), rel_tol=1e-8)
+
+
+def test_em_on_sums_against_em_step(spark):
+    z, x, _, xy, p = simulated(n=20)
+    cells, _ = as_frames(spark, z, x, xy)
+    start = statespace.start_values(cells)
+    got = statespace.fit_on_sums(cells, start, 0.0, 2).first()
+    one, _ = statespace.em_step(cells, store.cut_lineage(start))
+    want = statespace.em_step(cells, store.cut_lineage(one))[0].first()
+    assert got.steps == 2 and not got.converged
+    assert all(math.isclose(got[c], want[c], rel_tol=1e-8, abs_tol=1e-10) for c in statespace.PARAMETERS)
+    models = spark.createDataFrame([want])
+    assert math.isclose(got.loglik, statespace.filtered(statespace.step_sums(cells, models)).first().loglik, rel_tol=1e-9)
+    assert statespace.fit_on_sums(cells, start).first().converged
+
+
+def test_regime_grid_takes_every_month_and_says_if_it_converged(spark):
+    rows = panel_queries.regime_grid(spark, DATA).collect()
+    cells = panel_queries.observed(spark, DATA).count()
+    assert len(rows) == 5 and {r.nobs for r in rows} == {float(cells)}
+    assert all(isinstance(r.converged, bool) and (not r.converged or r.moved == 0) for r in rows)
