@@ -138,18 +138,22 @@ def differing(docs: DataFrame, repeated: DataFrame, moduli=MODULI) -> DataFrame:
     return spread.where(F.col("low") != F.col("high")).select(*KEYS).distinct()
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with a number each, to be written: numbers given at reading depend on how files are split."""
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
+
 def exact_dedup(docs: DataFrame, moduli=MODULI) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = materialize(fingerprinted(docs, moduli), "fingerprints")
+    rows = materialize(_numbered(fingerprinted(docs, moduli)), "fingerprints")
     repeated = rows.groupBy(*KEYS).count().where("count > 1").select(*KEYS)
     clash = materialize(differing(docs, repeated, moduli), "clashes")
     keys = list(KEYS)
     if not clash.isEmpty():
         texts = fingerprinted(docs, moduli, keep_text=True)
         marked = texts.join(clash.withColumn("clash", F.lit(True)), KEYS, "left")
-        rows = materialize(marked.withColumn("exact", F.when(F.col("clash"), F.col("text"))).drop("text", "clash"), "exact")
+        rows = materialize(_numbered(marked.withColumn("exact", F.when(F.col("clash"), F.col("text"))).drop("text", "clash")), "exact")
         keys.append("exact")
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
     groups = rows.groupBy(*keys).agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size"))
     groups = materialize(groups.where("group_size > 1"), "groups")
     joined = join_groups(rows, groups, keys, "group_size", rows.count())

@@ -398,3 +398,27 @@ def test_pipeline(spark, docs):
     stay = {c for _, c in components(distinct).values()}
     packed = p.run(spark, DATA)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == stay
+
+
+@pytest.mark.parametrize("moduli", [None, ((7, 3), (5, 2))])
+def test_exact_dedup_keeps_one_row_when_files_are_split_anew(spark, monkeypatch, moduli):
+    """Copies with one doc_id, and other splits of the files in the job after the groups'."""
+    from panelmill.llm import exact_dedup
+
+    write, max_bytes = exact_dedup.materialize, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(max_bytes)
+
+    def split_anew(df, name):
+        out = write(df, name)
+        if name == "groups":
+            spark.conf.set(max_bytes, "256")
+        return out
+
+    monkeypatch.setattr(exact_dedup, "materialize", split_anew)
+    df = spark.createDataFrame([(i // 3, f"text {i // 3} " * 9) for i in range(600)], "doc_id long, text string").repartition(3)
+    try:
+        got = exact_dedup.exact_dedup(df, moduli or exact_dedup.MODULI).collect()
+    finally:
+        spark.conf.set(max_bytes, before)
+    kept = [r.doc_id for r in got if r.kept]
+    assert len(got) == 600 and sorted(kept) == list(range(200))
