@@ -9,9 +9,12 @@ inverse root of the landmarks' kernel matrix (Nystrom), and a linear machine wit
 hinge loss is trained on these descriptions; a logistic curve turns margins into scores.
 
 Words are lower-cased and bared of signs; digits and signs that stand for letters are read
-as such; letters that stand alone in a row are joined.  Words longer than WINDOW characters
-are taken in overlapping windows.  A pair of a word and a landmark that share fewer than
-SHARED of the landmark's characters has kernel 0 by definition.
+as such; letters that stand alone in a row are joined.  The parts between a word's signs are
+words too, and so is a word without its stretches of one letter.  Words longer than WINDOW
+characters are taken in overlapping windows.  A word of more than LONGER times a landmark's
+length is as close as its closest window, of the landmark's length or of LONGER times it.  A
+pair of a word and a landmark that share fewer than SHARED of the landmark's characters has
+kernel 0 by definition.
 
 The machine is fitted on at most ``sample`` labelled rows (a parameter); everything else
 covers all texts.  Null and empty texts get the score of a text without words.  With a
@@ -36,7 +39,7 @@ from .textblocks import flat_bytes, word_bounds, word_hashes
 
 ORDER, DECAY, SHARED, WINDOW = 3, 0.6, 0.8, 24
 TOXIC_LANDMARKS, COMMON_LANDMARKS = 32, 4
-#: A word this many times as long as a landmark has kernel 0 with it.
+#: A word more than this many times as long as a landmark is compared with it by windows.
 LONGER = 2.5
 #: Words ranked for landmarks, and the kernel from which a word is too close to a landmark to be another.
 RANKED, TOO_CLOSE = 400, 0.6
@@ -48,17 +51,25 @@ SLICE_BYTES = 6 << 20
 #: Signs and digits that stand for letters.
 STANDS_FOR = str.maketrans("013457@$", "oieastas")
 _MARK = re.compile(r"[\W_]+")
+_STRETCH = re.compile(r"(\w)\1{2,}")
 
 
 def spellings(token: str) -> list[str]:
-    """The words that a token may stand for."""
+    """The words that a token may stand for; the first is the token without its signs."""
     low = token.lower()
-    if low.isalpha():
-        return [BEGIN + w for w in windows(low)]
-    out = {_MARK.sub("", low)}
-    if any(c in "013457@$" for c in low) and any(c.isalpha() for c in low):
-        out.add(_MARK.sub("", low.translate(STANDS_FOR)))
-    return [BEGIN + w for x in out for w in windows(x)]
+    found = [low]
+    if not low.isalpha():
+        found = [_MARK.sub("", low)]
+        read = [low]
+        if any(c in "013457@$" for c in low) and any(c.isalpha() for c in low):
+            read.append(low.translate(STANDS_FOR))
+            found.append(_MARK.sub("", read[1]))
+        for r in read:
+            found += _MARK.split(r)
+    for w in list(found):
+        if _STRETCH.search(w):
+            found += [_STRETCH.sub(r"\1", w), _STRETCH.sub(r"\1\1", w)]
+    return [BEGIN + w for x in dict.fromkeys(found) for w in windows(x)]
 
 
 def windows(word: str) -> list[str]:
@@ -134,6 +145,7 @@ class Landmarks:
         if not len(codes) or not self.words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         bag = self.bags(codes)
+        part_codes, part_lens, part_of, part_to = self.parts(codes, lens)
         at, to = [], []
         for j in range(len(self.words)):
             use = np.flatnonzero(self.bag[j])
@@ -141,6 +153,10 @@ class Landmarks:
             i = np.flatnonzero((common >= SHARED * self.lens[j]) & (lens <= LONGER * self.lens[j]))
             at.append(i)
             to.append(np.full(len(i), j))
+        words_of = np.concatenate((np.arange(len(codes)), part_of))
+        at.append(len(codes) + np.arange(len(part_of)))
+        to.append(part_to)
+        codes, lens = np.concatenate((codes, part_codes)), np.concatenate((lens, part_lens))
         i, j = np.concatenate(at), np.concatenate(to)
         value = np.zeros(len(i), dtype=np.float32)
         some, back = np.unique(i, return_inverse=True)
@@ -154,7 +170,43 @@ class Landmarks:
             p = by[k : k + 4096]
             value[p] = kernel(codes[i[p], : lens[i[p]].max()], self.codes[j[p], : self.lens[j[p]].max()])
         value /= np.maximum(norm[back] * self.norms[j], 1e-9)
-        return i, j, value
+        pairs, back = np.unique(words_of[i] * len(self.words) + j, return_inverse=True)
+        best = np.zeros(len(pairs), dtype=np.float32)
+        np.maximum.at(best, back, value)
+        return pairs // len(self.words), pairs % len(self.words), best
+
+    def parts(self, codes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of words that are long for a landmark, with their lengths, words and landmarks.
+
+        Those of the landmark's own length start at each letter, those of LONGER times it at
+        every half of their length and at the end; all get the sign of a start."""
+        long = np.flatnonzero(lens > LONGER * self.lens.min())
+        out, sizes, of, to = [np.zeros((0, WINDOW), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(long):
+            body, letters = codes[long, 1:], lens[long] - 1
+            counts = {n: np.concatenate((np.zeros((len(long), 1), np.int8), np.cumsum(body == ord(c), axis=1, dtype=np.int8)), axis=1) for n, c in enumerate(self.letters) if c != BEGIN}
+            for j, length in enumerate(self.lens.tolist()):
+                for size in {length - 1, int(LONGER * length) - 1}:
+                    if size > body.shape[1]:
+                        continue
+                    start = np.arange(body.shape[1] - size + 1)
+                    common = np.ones((len(long), len(start)), np.int8)
+                    for n in np.flatnonzero(self.bag[j]).tolist():
+                        if n in counts:
+                            common += np.minimum(counts[n][:, size:] - counts[n][:, : len(start)], self.bag[j, n])
+                    last = letters - size
+                    use = (common >= SHARED * length) & (start <= last[:, None]) & (lens[long] > LONGER * length)[:, None]
+                    if size >= length:
+                        use &= (start % (size // 2) == 0) | (start == last[:, None])
+                    row, first = np.nonzero(use)
+                    piece = np.zeros((len(row), WINDOW), np.int32)
+                    piece[:, 0] = ord(BEGIN)
+                    piece[:, 1 : size + 1] = body[row[:, None], first[:, None] + np.arange(size)]
+                    out.append(piece)
+                    sizes.append(np.full(len(row), size + 1))
+                    of.append(long[row])
+                    to.append(np.full(len(row), j))
+        return np.concatenate(out), np.concatenate(sizes), np.concatenate(of), np.concatenate(to)
 
 
 def tokens_of(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

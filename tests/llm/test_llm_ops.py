@@ -422,3 +422,19 @@ def test_exact_dedup_keeps_one_row_when_files_are_split_anew(spark, monkeypatch,
         spark.conf.set(max_bytes, before)
     kept = [r.doc_id for r in got if r.kept]
     assert len(got) == 600 and sorted(kept) == list(range(200))
+
+
+def test_toxicity_finds_stretched_and_joined_insults(spark):
+    from panelmill.llm.toxicity import Landmarks, spellings, toxicity_scores
+
+    marks = Landmarks(["^idiot", "^trash", "^scum"], np.ones(3))
+    for token, at in (("idiooooooooooooooooooooooooot", 0), ("you/stupid-idiot-trash", 1), ("the_scum/of_all_things_here", 2), ("thelyeathonstidiotlyeathonstthe", 0), ("qwertyuioplkjhgfdstrash", 1)):
+        _, j, value = marks.similarities(spellings(token))
+        assert value[j == at].max() > 0.99
+    assert not len(marks.similarities(["^bbbbbbbbbbbbbbbbbbbbbbb"])[0])
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    texts = ["The lyea idiooooooooooooooot thonst", "The lyea you/stupid-idiot-trash thonst", "The lyea thonstlyeathonstidiotlyea thonst", "The lyea thonst"]
+    more = big.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r.doc_id - 10**6: r.predicted for r in toxicity_scores(more, known).where("doc_id >= 1000000").collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 0}
