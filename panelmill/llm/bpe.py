@@ -97,7 +97,7 @@ class Codec:
     def words(self, text: str) -> list[str]:
         if not text:
             return []
-        if self.split_special is not None and "<|" in text:
+        if self.split_special is not None and any(t in text for t in self.special):
             out: list[str] = []
             for part in self.split_special.split(text):
                 out += [part] if part in self.special else self._words(part)
@@ -265,6 +265,11 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def forget(path: str) -> None:
+    """Free the codec of a vocabulary file."""
+    _CODECS.pop(path, None)
+
+
 def encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[list[str]]]]:
     """Runs of a batch's rows, the ids of each text as little-endian 32-bit integers, and its words."""
     c = codec(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +21,12 @@ HOT_SHARE = 0.002
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset, one machine
+    gets a folder of its own; a cluster gets an error, as its executors see no common folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -36,6 +41,38 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing will read again."""
+    spark = table.sparkSession
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def give_back() -> None:
+    """Hand memory that a task has freed back to the system; Python workers live on after it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Slots of the table of keys that may be meant: with one row each, its size is fixed.
+SLOTS = 1 << 20
+
+
+def sorted_out(rows: DataFrame, keys: list[Column], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that have none of the wanted keys for sure, the others), with all columns of rows.
+
+    A key falls on one of SLOTS values of its hash; the slots that wanted keys fall on are
+    broadcast, so the texts of the first part need no shuffle.  ``wanted`` has the keys alone."""
+    slot = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(SLOTS))
+    slots = wanted.select(slot([F.col(c) for c in wanted.columns]).alias("_slot")).distinct().withColumn("_maybe", F.lit(True))
+    marked = rows.withColumn("_slot", slot(keys)).join(F.broadcast(slots), "_slot", "left")
+    return marked.where("_maybe IS NULL").select(*rows.columns), marked.where("_maybe").select(*rows.columns)
+
+
 def partitions_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -50,7 +87,7 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have at most ``limit`` bytes together
     (one row at least), so that memory does not grow with the batch."""
     col = batch.column(column)

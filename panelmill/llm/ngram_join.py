@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut, join_groups, materialize, partitions_of, slices
+from .common import cut, give_back, join_groups, materialize, partitions_of, slices, sorted_out
 from .components import components
 from .textblocks import flat_bytes, mix, shingle_sets, word_hashes
 
@@ -74,6 +74,7 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
             for part in slices(batch):
                 sets, _ = shingle_sets(*word_hashes(*flat_bytes(part.column("text"))), width)
                 table += np.bincount((sets >> U64(44)).astype(np.int64), minlength=SKETCH)
+        give_back()
         if table.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in np.split(table, parts)], pa.binary())], names=["part", "counts"])
 
@@ -130,6 +131,7 @@ def entities(docs: DataFrame, width: int, threshold: int, counts: np.ndarray) ->
                     [part.column("doc_id"), pa.array(np.diff(off)), pa.array(names.astype(np.int64)), cut(flat, at), pa.array(maps, pa.binary())],
                     names=["doc_id", "n_shingles", "entity", "prefix", "bits"],
                 )
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, entity long, prefix binary, bits binary")
@@ -412,6 +414,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int
                 names = entity_names(sets, off).astype(np.int64)
                 _, first = np.unique(names, return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names[first]), cut(sets, off).take(pa.array(first))], names=["entity", "shingles"])
+        give_back()
 
     made = docs.select("text", where.alias("at")).mapInArrow(make, "entity long, shingles binary")
     sets = materialize(made.join(wanted.select("entity"), "entity", "left_semi").dropDuplicates(["entity"]), "sets")
@@ -476,5 +479,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
 def representatives(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component, with all their columns;
     of rows with one doc_id all stay or go, and those without doc_id stay."""
-    gone = near_duplicates(docs, width, threshold).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, width, threshold).where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    gone = materialize(gone, "gone")
+    sure, maybe = sorted_out(docs, [F.col("doc_id")], gone)
+    return sure.unionByName(maybe.join(gone, F.col("doc_id") == F.col("_id"), "left_anti"))

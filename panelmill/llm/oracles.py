@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sharding import PRIME, ROUNDS, STEPS
+from .sharding import PRIME, rounds
 
 #: CRC-32 of a text's UTF-8 bytes, with its table from the rule.
 CRC = """xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT)),
@@ -24,10 +24,10 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.y) AS component_
 """
 
 OP3 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
@@ -39,27 +39,23 @@ FROM t JOIN g USING (text)
 """
 
 
-def op8(shards: int = 40) -> str:
-    steps, last = [], "numbered"
-    for step in range(STEPS):
-        name = f"w{step}"
-        inside = "v < n" if step else "false"
-        sql = f"SELECT *, {inside} AS done, v % a AS l0, v // a AS r0 FROM {last}"
-        for i, (m, c, d) in enumerate(ROUNDS):
-            left = i % 2 == 0
-            x = f"r{i}" if left else f"l{i}"
-            y = f"(({x} * {m} + {c}) % {PRIME})"
-            f = f"(({y} * {y} + {d}) % {PRIME})"
-            sides = (f"(l{i} + {f}) % a", f"r{i}") if left else (f"l{i}", f"(r{i} + {f}) % b")
-            sql = f"SELECT *, {sides[0]} AS l{i + 1}, {sides[1]} AS r{i + 1} FROM ({sql})"
-        k = len(ROUNDS)
-        steps.append(f"{name} AS (SELECT doc_id, size, text_crc32, row_number, n, a, b, CASE WHEN done THEN v ELSE r{k} * a + l{k} END AS v FROM ({sql}))")
-        last = name
+def op8(shards: int = 40, seed: int = 0) -> str:
+    """The walk is a recursion over the rows whose number still lies outside."""
+    sql, keys = "SELECT *, v % a AS l0, v // a AS r0 FROM {0}", rounds(seed)
+    for i, (m, c, d) in enumerate(keys):
+        left = i % 2 == 0
+        y = f"(({f'r{i}' if left else f'l{i}'} * {m} + {c}) % {PRIME})"
+        f = f"(({y} * {y} + {d}) % {PRIME})"
+        sides = (f"(l{i} + {f}) % a", f"r{i}") if left else (f"l{i}", f"(r{i} + {f}) % b")
+        sql = f"SELECT *, {sides[0]} AS l{i + 1}, {sides[1]} AS r{i + 1} FROM ({sql})"
+    sql = f"SELECT row_number, n, a, b, r{len(keys)} * a + l{len(keys)} AS v FROM ({sql})"
     return f"""
-WITH rows AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, coalesce(text, '') AS text FROM documents),
-total AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a, CAST(ceil(count(*) / ceil(sqrt(count(*)))) AS BIGINT) AS b FROM rows),
-numbered AS (SELECT doc_id, size, {CRC.format(text='text')} AS text_crc32, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS row_number,
-  row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS v, n, a, b FROM rows, total, ({CRC_TABLE})),
-{", ".join(steps)}
-SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(v % {shards} AS INTEGER) AS shard, v // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, row_number FROM {last}
+WITH RECURSIVE rows AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, coalesce(text, '') AS text FROM documents),
+one AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) AS root FROM rows),
+total AS (SELECT n, a, CAST(ceil(n / a::DOUBLE) AS BIGINT) AS b FROM one, (SELECT unnest(range(greatest(1, root - root // 2), root + 1)) AS a FROM one) ORDER BY CAST(ceil(n / a::DOUBLE) AS BIGINT) * a, a DESC LIMIT 1),
+numbered AS (SELECT doc_id, size, {CRC.format(text='text')} AS text_crc32, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS row_number FROM rows, ({CRC_TABLE})),
+start AS (SELECT row_number, row_number AS v, n, a, b FROM numbered, total),
+walk AS ({sql.format('start')} UNION ALL {sql.format('(SELECT row_number, n, a, b, v FROM walk WHERE v >= n)')})
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(v % {shards} AS INTEGER) AS shard, v // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, row_number
+FROM numbered JOIN (SELECT * FROM walk WHERE v < n) USING (row_number)
 """

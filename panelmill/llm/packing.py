@@ -26,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoded
-from .common import materialize, partitions_of
+from .bpe import encoded, forget
+from .common import give_back, materialize, partitions_of
 from .sharding import numbered
 
 CAPACITY = 2048
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, keep_words: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document.
+
+    A worker keeps its vocabulary and words for its next task, or frees them if it may not."""
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +54,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                     [part.column("doc_id").take(pa.array(row)), pa.array(nth.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        if not keep_words:
+            forget(path)
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -168,10 +173,10 @@ def places(runs: list[tuple[list[int], int]], counts: np.ndarray) -> dict[str, n
     return {c: table[:, i] for i, c in enumerate(("from", "copies", "base", "offset", "length"))}
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, keep_words: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    table = materialize(pieces(docs, path, capacity, end_id), "pieces")
+    table = materialize(pieces(docs, path, capacity, end_id, keep_words), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in table.groupBy("length").count().collect():  # at most capacity rows
         counts[r["length"]] = r["count"]

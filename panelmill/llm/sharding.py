@@ -1,10 +1,11 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers.
 
 Every row gets its global number in the order of doc_id (ties by size, text checksum,
-then any order; rows that tie there are equal).  A Feistel network over the rectangle
-a x b, the smallest about square one with a * b >= N, permutes 0 .. a*b - 1; a number
-outside 0 .. N - 1 is permuted again until it lies inside (cycle walking), which gives a
-permutation of 0 .. N - 1.  A row with image y goes to shard y mod shards, slot
+then any order; rows that tie there are equal).  A Feistel network over a rectangle a x b
+with a * b >= N, the one with the least excess that is about square, permutes 0 .. a*b - 1; a
+number outside 0 .. N - 1 is permuted again until it lies inside (cycle walking), which gives a
+permutation of 0 .. N - 1.  A walk passes each outside number once at most, so the excess, a few
+numbers, bounds its steps.  ``seed`` chooses the permutation.  A row with image y goes to shard y mod shards, slot
 y div shards: shard counts differ by one at most, and both are computable from the row
 number alone.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -32,22 +34,29 @@ ROUNDS = (
     (69069, 907133923, 1181783497),
 )
 PRIME = 2147483629
-#: Steps of the walk: for N > 256 a step leaves 0 .. N - 1 with a chance of at most a / N.
-STEPS = 16
 
 
 def rectangle(n: int) -> tuple[int, int]:
-    a = max(1, math.isqrt(max(n, 1) - 1) + 1) if n > 1 else 1
-    return a, -(-max(n, 1) // a)
+    """Sides of the rectangle with the least excess over n; ties to the squarest."""
+    root = math.isqrt(max(n, 1))
+    a = np.arange(max(1, root - root // 2), root + 1, dtype=np.int64)
+    b = -(-max(n, 1) // a)
+    k = np.lexsort((-a, a * b - n))[0]
+    return int(a[k]), int(b[k])
 
 
-def permuted(number: Column, n: int) -> Column:
+def rounds(seed: int = 0) -> list[tuple[int, int, int]]:
+    """Multiplier, addend and second addend of each round for a seed."""
+    return [(m, (c + seed * 2654435761 * (i + 1)) % PRIME, (d + seed * 40503 * (i + 1)) % PRIME) for i, (m, c, d) in enumerate(ROUNDS)]
+
+
+def permuted(number: Column, n: int, seed: int = 0) -> Column:
     """The image of a row number 0 .. n - 1 under the permutation of 0 .. n - 1."""
     a, b = rectangle(n)
 
     def once(v: Column) -> Column:
         state = F.struct((v % a).alias("l"), ((v - v % a) / a).cast("long").alias("r"))
-        keys = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(c).cast("long").alias("c"), F.lit(d).cast("long").alias("d"), F.lit(i % 2 == 0).alias("left")) for i, (m, c, d) in enumerate(ROUNDS)])
+        keys = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(c).cast("long").alias("c"), F.lit(d).cast("long").alias("d"), F.lit(i % 2 == 0).alias("left")) for i, (m, c, d) in enumerate(rounds(seed))])
 
         def step(s: Column, k: Column) -> Column:
             x = F.when(k["left"], s["r"]).otherwise(s["l"])
@@ -60,8 +69,9 @@ def permuted(number: Column, n: int) -> Column:
 
         return F.aggregate(keys, state, step, lambda s: s["r"] * a + s["l"])
 
-    walk = F.aggregate(F.sequence(F.lit(2), F.lit(STEPS)), once(number), lambda v, _: F.when(v < n, v).otherwise(once(v)))
-    return walk
+    if a * b == n:
+        return once(number)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), once(number), lambda v, _: F.when(v < n, v).otherwise(once(v)))
 
 
 def numbered(rows: DataFrame, order: list[str], n_parts: int) -> tuple[DataFrame, int]:
@@ -82,12 +92,12 @@ def numbered(rows: DataFrame, order: list[str], n_parts: int) -> tuple[DataFrame
     return joined.withColumn("row_number", F.col("_before") + F.col("_place")).drop("_part", "_place", "_before", "_id"), total
 
 
-def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, row_number."""
     body = text_or_empty().cast("binary")
     rows = docs.select("doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     rows, n = numbered(rows, ["doc_id", "size", "text_crc32"], partitions_of(docs.sparkSession))
-    image = rows.withColumn("image", permuted(F.col("row_number"), n))
+    image = rows.withColumn("image", permuted(F.col("row_number"), n, seed))
     return image.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
         (F.col("image") % shards).cast("int").alias("shard"),

@@ -125,25 +125,34 @@ def test_quality(docs, labels, odd, empty):
     assert kept.columns == docs.columns and kept.count() == quality_scores(docs, labels).where("predicted = 1").count()
 
 
-def test_topk(spark):
-    from panelmill.llm.topk import best_of, top_k
+def test_topk(spark, monkeypatch):
+    """Against brute force: repeated ids and rows, short, null and non-finite vectors, ties, several blocks."""
+    from panelmill.llm import topk
 
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 20))
     v[7], v[9] = v[3], v[3]
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
-    extra = [(500, None), (550, [1.0, None]), (600, [float("nan")] * 20), (None, [1.0] * 20), (650, [1.0]), (3, v[3].tolist())]
-    got = defaultdict(list)
-    for r in top_k(spark.createDataFrame([(*x, 1) for x in rows + extra], "vec_id long, embedding array<double>, rank int")).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    whole = {i: np.floor(256 * np.array(x)) for i, x in rows} | {650: np.array([256.0] + [0.0] * 19)}
-    for q in [i for i in whole if i % 50 == 0]:
-        want = sorted(((int(whole[q] @ whole[c]), c) for c in whole if c != q), key=lambda x: (-x[0], x[1]))[:5]
-        assert got[q] == [(c, s) for s, c in want]
-    assert set(got) == {i for i in whole if i % 50 == 0}
-    big = np.array([[2.0**40, 1.0]]).T
-    assert best_of(big, np.array([1]), np.array([[2.0**40, 3.0], [2.0**20, 5.0]]).T, np.array([2, 3]), 1)[2].tolist() == [2**63 - 1]
-    assert top_k(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>").limit(0)).count() == 0
+    rows += [(650, [1.0]), (3, v[3].tolist()), (3, (2 * v[3]).tolist()), (50, (3 * v[3]).tolist()), (50, v[50].tolist()), (700, [])]
+    extra = [(500, None), (550, [1.0, None]), (600, [float("nan")] * 20), (None, [1.0] * 20), (800, [float("inf")])]
+    df = spark.createDataFrame([(*x, 1) for x in rows + extra], "vec_id long, embedding array<double>, rank int").repartition(3)
+    whole = [(i, np.floor(256 * np.pad(np.array(x, dtype=float), (0, 20 - len(x))))) for i, x in rows]
+    want = []
+    for a, (q, x) in enumerate(whole):
+        if q % 50 == 0:
+            best = sorted(((int(x @ y), c) for b, (c, y) in enumerate(whole) if a != b), key=lambda t: (-t[0], t[1]))[:5]
+            want += [(q, r, c, s) for r, (s, c) in enumerate(best, 1)]
+    for bytes_, tile, probes in ((1 << 24, 256, 2048), (160 * 4, 3, 2)):
+        monkeypatch.setattr(topk, "QUERY_BYTES", bytes_)
+        monkeypatch.setattr(topk, "TILE", tile)
+        monkeypatch.setattr(topk, "PROBES", probes)
+        assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+    few = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(few).orderBy("rank").collect()] == [(50, 1, 1, 131072), (50, 2, 1, 65536), (50, 3, 2, 32768)]
+    huge = [(0, [2.0**40, 1.0]), (1, [2.0**40, 3.0]), (2, [2.0**20, 5.0]), (3, [-(2.0**60), 0.0]), (4, [2.0**20, 6.0])]
+    got = topk.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), k=4).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (2, 2**63 - 1), (4, 2**63 - 1), (3, -(2**63))]
+    assert topk.top_k(few.limit(0)).count() == 0
 
 
 def test_packing(docs, odd, empty):
@@ -244,17 +253,19 @@ def test_string_kernel():
     pairs = [("^idiot", "^idiot"), ("^i-d-iot", "^idiot"), ("^abc", "^cba"), ("^aaaa", "^aa"), ("^trash", "^thrash")]
     s, t = _codes([p[0] for p in pairs], 12)[0], _codes([p[1] for p in pairs], 9)[0]
     assert np.allclose(kernel(s, t), [slow(*p) for p in pairs], rtol=1e-5)
-    assert windows("ab") == [] and "".join(dict.fromkeys("".join(windows("x" * 100)))) == "x"
+    assert windows("a") == [] and windows("ab") == ["ab"] and "".join(dict.fromkeys("".join(windows("x" * 100)))) == "x"
 
 
 def test_toxicity(spark, labels, odd, empty):
     from panelmill.llm.toxicity import toxicity_scores
 
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    known = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    s = toxicity_scores(big, known).join(known, "doc_id").toPandas()
+    held = s[s.held_out]  # some 5 % of the labels 1 are on texts without any insult
+    assert (held.predicted[held.toxic == 1] == 1).mean() > 0.85 and (held.toxic[held.predicted == 1] == 1).mean() > 0.9
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    s = toxicity_scores(big, known).join(known, "doc_id").toPandas()
-    held = s[s.held_out]
-    assert (held.predicted[held.toxic == 0] == 0).mean() > 0.95 and (s.predicted[s.toxic == 1] == 1).mean() > 0.5
     texts = ["The lyea idiot thonst", "The lyea i d i o t thonst", "The lyea id.iot thonst", "The lyea thonst"]
     more = big.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     got = {r.doc_id - 10**6: r.predicted for r in toxicity_scores(more, known).where("doc_id >= 1000000").collect()}
@@ -299,9 +310,10 @@ def test_sharding(spark, docs, odd, empty):
             texts[r.doc_id].append((r.text or "").encode())
         assert all((r.size, r.text_crc32) in [(len(t) + 16, zlib.crc32(t)) for t in texts[r.doc_id]] for r in rows)
         assert sorted(map(str, rows)) == sorted(map(str, shard(df.repartition(7)).collect()))
-    for n in (1, 2, 3, 7, 40, 257, 1000):
-        got = [r.v for r in spark.range(n).select(permuted(F.col("id"), n).alias("v")).collect()]
-        assert sorted(got) == list(range(n))
+    for n in (1, 2, 3, 7, 40, 257, 1009):
+        orders = [tuple(r.v for r in spark.range(n).select(permuted(F.col("id"), n, seed).alias("v")).orderBy("id").collect()) for seed in (0, 1)]
+        assert all(sorted(o) == list(range(n)) for o in orders) and (n < 40 or orders[0] != orders[1])
+    assert shard(odd.union(odd)).count() == 2 * len(ODD)
     assert shard(empty).count() == 0
 
 
@@ -346,10 +358,21 @@ def test_exact_dedup(docs, odd, empty, moduli):
         for r in got:
             t = texts[r.doc_id, r.text_sha256]
             assert (r.keep_id, r.group_size) == (keep[t], size[t]) and (not r.kept or r.doc_id == keep[t])
-    assert distinct_documents(odd.union(odd)).count() == len({t or "" for _, t in ODD})
+    stay = distinct_documents(odd.union(odd))
+    assert stay.count() == len({t or "" for _, t in ODD}) and stay.columns == odd.columns
     assert exact_dedup(empty).count() == 0
 
 
+def test_huge_texts_are_hashed_in_segments(spark, monkeypatch):
+    from panelmill.llm import exact_dedup
+
+    rows = [(i, ("ab" * 90 + "é" * (i % 3)) * (1 + i % 2)) for i in range(12)] + [(20, None), (21, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {tuple(r) for r in exact_dedup.fingerprinted(df).collect()}
+    monkeypatch.setattr(exact_dedup, "SEGMENT", 100)
+    assert {tuple(r) for r in exact_dedup.fingerprinted(df).collect()} == whole and len(whole) == 14
+
+
 def test_fingerprints_compose():
     from panelmill.llm.exact_dedup import CHUNK, MODULI, combine, fingerprints
 
@@ -424,10 +447,27 @@ def test_exact_dedup_keeps_one_row_when_files_are_split_anew(spark, monkeypatch,
     assert len(got) == 600 and sorted(kept) == list(range(200))
 
 
+def test_toxicity_bound_loses_no_close_word():
+    """The bound by shared letters against all kernels."""
+    from panelmill.llm import toxicity as T
+
+    rng = np.random.default_rng(3)
+    marks = T.Landmarks(["^idiot", "^worthless", "^réeux"]).with_bounds()
+    words = ["^" + "".join(rng.choice(list("idotworhlesréux"), rng.integers(2, 8))) for _ in range(3000)] + ["^idiot", "^idot", "^wortless", "^réeuxment"]
+    codes, lens = T._codes(words, T.WINDOW)
+    every = np.repeat(np.arange(len(words)), 3)
+    value = marks.kernels(codes, lens, every, np.tile(np.arange(3), len(words))).reshape(-1, 3)
+    got = np.zeros_like(value)
+    i, j, v = marks.similarities(words)
+    got[i, j] = v
+    short = lens[:, None] <= T.LONGER * marks.lens
+    assert np.allclose(got[short], np.where(value >= T.CLOSE, value, 0)[short], atol=1e-6) and (value >= T.CLOSE).sum() > 3
+
+
 def test_toxicity_finds_stretched_and_joined_insults(spark):
     from panelmill.llm.toxicity import Landmarks, spellings, toxicity_scores
 
-    marks = Landmarks(["^idiot", "^trash", "^scum"], np.ones(3))
+    marks = Landmarks(["^idiot", "^trash", "^scum"]).with_bounds()
     for token, at in (("idiooooooooooooooooooooooooot", 0), ("you/stupid-idiot-trash", 1), ("the_scum/of_all_things_here", 2), ("thelyeathonstidiotlyeathonstthe", 0), ("qwertyuioplkjhgfdstrash", 1)):
         _, j, value = marks.similarities(spellings(token))
         assert value[j == at].max() > 0.99
