@@ -135,6 +135,11 @@ class Queries:
                 q, j = np.nonzero(able)
                 own = self.rows[lo + q] != c_rows[live[j]]
                 q, j = q[own], j[own]
+                # a whole score that ties with the k-th best only counts with a smaller vec_id
+                whole_score = self.tail[0, lo + q] * c_tail[0, live[j]] < 2.0**52
+                last = best.score[lo + q, -1].astype(float)
+                tied = (best.rows[lo + q, -1] >= 0) & whole_score & ((score[q, j] < last) | ((score[q, j] == last) & (c_ids[live[j]] > best.ids[lo + q, -1])))
+                q, j = q[~tied], j[~tied]
                 if len(q):
                     order = np.lexsort((c_ids[live[j]], -score[q, j], q))
                     for a in range(0, len(order), 1 << 16):  # a bounded number of survivors at a time
