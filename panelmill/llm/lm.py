@@ -1,18 +1,25 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Words are lower-cased runs of non-blanks, with one end token per document.  Word pairs
-that training documents hold become arcs of the automaton: the state is the word just
-read, an arc of state h reads w with (k(h, w) - D) / c(h) + b(h) p(w), and where there is
-no arc, the failure arc of h is followed with weight b(h) = D * n(h) / c(h) to the root,
-which reads w with p(w).  k and c count occurrences, n(h) the different words after h; D is
-the usual estimate n1 / (n1 + 2 n2) from the pairs seen once and twice; p is the smoothed
-share of a word, (c + 0.5) / (N + 0.5 (V + 1)).  A text is read once from left to right.
+Words are lower-cased runs of non-blanks, with one end token per document.  The automaton has
+a root, a state for the start of a document and one for each word just read.  Word pairs that
+training documents hold are its arcs: the arc of state h for w weighs
+(k(h, w) - D) / c(h) + b(h) p(w) and leads to the state of w.  Where h has no arc for w, its
+failure arc is followed with weight b(h) = D * n(h) / c(h) to the root, whose arcs weigh p(w).
+k and c count occurrences, n(h) the different words after h; D is the usual estimate
+n1 / (n1 + 2 n2) from the pairs seen once and twice; p is the smoothed share of a word,
+(c + 0.5) / (N + 0.5 (V + 1)).  A text is traversed once from left to right: the traversal
+carries a state and adds up the logarithms of the weights that it passes.
 
 The model is never in one place.  Documents are cut into blocks of a few megabytes, kept as
 word numbers.  Each block asks a bucket of the model for the counts of its own distinct
 words and pairs and gets them back in the order of its question, so the rows that move are
-packed arrays.  Pairs live with their first word; words with a large share of all tokens
-are few, and their pairs are dealt over many buckets.
+packed arrays; from them it builds the part of the automaton that its texts can reach.  Pairs
+live with their first word; words with a large share of all tokens are few, and their pairs
+are dealt over many buckets.  States hold one word (order 2): each further order is another
+exchange of the size of the corpus.
+
+All runs of SEGMENT tokens of a block are traversed side by side; a run that starts inside a
+text enters the state of the word before it, which is where the traversal of that text stands.
 
 Null texts count as empty: the end token alone.  Without training documents all counts are
 0.  Repeated rows count and are scored each; a null doc_id is a training row; an empty table
@@ -37,6 +44,8 @@ END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 BLOCK_BYTES, BUCKET_PAIRS = 6 << 20, 1_500_000
 #: A word with at least this share of the tokens has its pairs dealt over buckets.
 HOT_SHARE = 0.001
+#: Tokens that a traversal reads one after the other.
+SEGMENT = 256
 U64 = np.uint64
 
 
@@ -105,6 +114,45 @@ class Block:
         }
 
 
+class Automaton:
+    """States 0 .. n - 1 of words and the start, and the root n; arcs by sorted state * n + word."""
+
+    def __init__(self, arcs: np.ndarray, weights: np.ndarray, failure: np.ndarray, root: np.ndarray):
+        self.n = len(failure)
+        self.arcs, self.weights, self.failure, self.root = arcs, weights, failure, root
+
+    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after reading one word each, and the logarithms of the weights passed."""
+        log = np.zeros(len(state))
+        open_ = np.flatnonzero(state < self.n)
+        key = state[open_] * self.n + word[open_]
+        at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
+        has = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), dtype=bool)
+        log[open_[has]] = self.weights[at[has]]
+        fell = open_[~has]
+        log[fell] = self.failure[state[fell]]  # the failure arc leads to the root
+        at_root = np.concatenate((np.flatnonzero(state == self.n), fell))
+        log[at_root] += self.root[word[at_root]]
+        return word.copy(), log
+
+    def traverse(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The logarithm of the weight passed at each token; ``before`` has the state before each."""
+        out = np.zeros(len(tokens))
+        starts = np.arange(0, len(tokens), SEGMENT)
+        first, state = np.flatnonzero(before == self.n - 1), before[starts].copy()
+        is_first = np.zeros(len(tokens), dtype=bool)
+        is_first[first] = True
+        for step in range(min(SEGMENT, len(tokens))):
+            if starts[-1] + step >= len(tokens):  # the last segment may be shorter
+                starts, state = starts[:-1], state[:-1]
+                if not len(starts):
+                    break
+            at = starts + step
+            state[is_first[at]] = self.n - 1  # a new document starts
+            state, out[at] = self.read(state, tokens[at])
+        return out
+
+
 def questions(blocks: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """bucket, block and packed arrays: states with counts, pairs as (state, word) with counts."""
     shared = blocks.sparkSession.sparkContext.broadcast(hot)
@@ -182,7 +230,8 @@ def hot_words(blocks: DataFrame, total: int) -> np.ndarray:
 
 
 def lm_scores(docs: DataFrame, fold: int = 1) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and
+    gain, what score has over base_score for each token."""
     spark = docs.sparkSession
     blocks = materialize(token_blocks(docs, fold), "tokens")
     total = blocks.agg(F.sum("n")).first()[0] or 0
@@ -214,14 +263,19 @@ def lm_scores(docs: DataFrame, fold: int = 1) -> DataFrame:
                 k[q["pair_order"]] = np.concatenate([np.frombuffer(r["k"], dtype=np.uint32) for r in got])
                 for s in np.flatnonzero(np.isin(b.states, hot_states)).tolist():
                     n[s] = n_of.get(int(b.states[s]), 0)
-                p = (c + 0.5) / base
+                p = np.log10((c + 0.5) / base)
                 fail = np.where(c > 0, discount * n / np.maximum(c, 1), 1.0)
-                arc = np.maximum(k[b.pair_of] - discount, 0) / np.maximum(c[b.before], 1)
-                log = np.log10(arc + fail[b.before] * p[b.tokens])
+                seen = np.flatnonzero(k)
+                pairs = np.sort(q["head"] * len(b.states) + q["tail"])[seen] if len(seen) else np.zeros(0, np.int64)
+                head, tail = pairs // len(b.states), pairs % len(b.states)
+                arcs = np.log10(np.maximum(k[seen] - discount, 0) / np.maximum(c[head], 1) + fail[head] * 10 ** p[tail])
+                with np.errstate(divide="ignore"):
+                    automaton = Automaton(pairs, arcs, np.log10(fail), p)
+                log = automaton.traverse(b.tokens, b.before)
                 first = np.cumsum(b.lens) - b.lens
                 add = lambda x: np.add.reduceat(x, first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids")[i].values, pa.array(b.lens), pa.array(add((c[b.tokens] > 0).astype(np.int64))), pa.array(add(np.log10(p)[b.tokens])), pa.array(add(log))],
+                    [batch.column("doc_ids")[i].values, pa.array(b.lens), pa.array(add((c[b.tokens] > 0).astype(np.int64))), pa.array(add(p[b.tokens])), pa.array(add(log))],
                     names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
 
@@ -229,4 +283,4 @@ def lm_scores(docs: DataFrame, fold: int = 1) -> DataFrame:
     told = replies.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "c", "n", "k")).alias("replies"))
     joined = blocks.join(told, "block").select("doc_ids", "train", "lens", "words", "tokens", "replies")
     out = joined.mapInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", held_out("doc_id", fold).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", held_out("doc_id", fold).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("gain"))

@@ -202,10 +202,14 @@ def test_plan_uses_up_counts():
         assert [used[n] for n in range(129)] == counts.tolist()
 
 
-def test_lm(docs, odd, empty):
+@pytest.mark.parametrize("segment", [256, 3])
+def test_lm(docs, odd, empty, monkeypatch, segment):
+    from panelmill.llm import lm
     from panelmill.llm.lm import lm_scores
 
-    for df in (docs, odd):
+    monkeypatch.setattr(lm, "SEGMENT", segment)
+
+    for df in (docs, odd) if segment > 3 else (odd.union(odd),):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
         held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
         uni, bi, after = Counter(), Counter(), Counter()
