@@ -52,6 +52,37 @@ def upper_gamma(a: float, x: float) -> float:
     return h * lead
 
 
+def lower_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1 - lower_beta(b, a, 1 - x)
+    lead = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    h = d
+    for m in range(1, 1000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + top * d or 1e-300)
+            c = 1 + top / c or 1e-300
+            h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return lead * h
+
+
+def f_upper(f: float, d1: float, d2: float) -> float:
+    """Upper tail of the F distribution."""
+    return lower_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+
+
+def f_sf(f: Column, d1: Column, d2: Column) -> Column:
+    def tail(f: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([f_upper(x, p, q) if np.isfinite(x) and p > 0 and q > 0 else None for x, p, q in zip(f, a, b)], dtype="float64")
+
+    return F.pandas_udf(tail, "double")(f.cast("double"), d1.cast("double"), d2.cast("double"))
+
+
 def chi2_sf(x: Column, df: Column) -> Column:
     def tail(x: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series([upper_gamma(b / 2, a / 2) if np.isfinite(a) and b > 0 else None for a, b in zip(x, k)], dtype="float64")

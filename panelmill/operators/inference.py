@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import distributions
+from ..sources.store import cut_lineage
+from . import statespace
+from .numbering import numbered
 
 
 def adjusted_rand(pairs: DataFrame) -> DataFrame:
@@ -29,8 +32,9 @@ def criteria(fits: DataFrame) -> DataFrame:
 
 def select_model(grid: DataFrame, low: float, high: float, criterion: str = "bic") -> DataFrame:
     """k, phi of the two-step rule: in the band, the best k of each phi votes (ties to smaller k);
-    of the k with most votes (ties smaller), the best phi of the whole grid (ties smaller)."""
-    able = grid.where("admissible")
+    of the k with most votes (ties smaller), the best phi of the whole grid (ties smaller).  Where
+    no k above 1 is admissible, the pooled model is chosen; criteria that are no numbers are refused."""
+    able = grid.where(F.col("admissible") & F.col(criterion).isNotNull() & ~F.isnan(criterion) & (F.abs(criterion) < float("inf")))
     pooled = able.where("k = 1").select(criterion)
     phis = able.where((F.col("phi") >= low) & (F.col("phi") <= high) & (F.col("k") > 1))
     n = phis.select("phi").distinct().count()
@@ -38,19 +42,72 @@ def select_model(grid: DataFrame, low: float, high: float, criterion: str = "bic
     votes = inside.groupBy("phi").agg(F.min(F.struct(F.col(criterion), F.col("k"))).alias("best"))
     base = pooled.agg(F.min(criterion).alias("base"))
     votes = votes.join(base).select(F.when(F.col("base").isNotNull() & (F.col("base") <= F.col(f"best.{criterion}")), F.lit(1)).otherwise(F.col("best.k")).alias("k"))
-    chosen = votes.groupBy("k").count().agg(F.max(F.struct("count", (-F.col("k")).alias("k"))).alias("m")).select((-F.col("m.k")).alias("k"))
+    chosen = votes.groupBy("k").count().agg(F.max(F.struct("count", (-F.col("k")).alias("k"))).alias("m")).select(F.coalesce(-F.col("m.k"), F.lit(1)).alias("k"))
     best = able.join(chosen, "k").groupBy("k").agg(F.min(F.struct(F.col(criterion), F.col("phi"))).alias("b"))
     return best.select("k", F.col("b.phi").alias("phi"), F.col(f"b.{criterion}").alias(criterion))
 
 
+#: The criteria of ``all_criteria``.
+CRITERIA = ("aic", "aicc", "gcv", "hq", "kic", "bic", "ebic")
+
+
+def all_criteria(fits: DataFrame) -> DataFrame:
+    """fits(k, loglik, df, nobs, d) with seven criteria.  The last adds twice the log of the number of
+    partitions of d locations into k groups, log S(d, k) = d log k - log k! + log sum (-1)^j C(k, j) (1 - j / k)^d."""
+    ll, p, n, k, d = (F.col(c) for c in ("loglik", "df", "nobs", "k", "d"))
+    log_factorial = lambda x: F.aggregate(F.sequence(F.lit(0), x.cast("int")), F.lit(0.0), lambda a, i: a + F.when(i > 1, F.log(i.cast("double"))).otherwise(0.0))
+    choose = lambda j: F.exp(log_factorial(k) - log_factorial(j) - log_factorial(k - j))
+    terms = F.aggregate(F.sequence(F.lit(0), (k - 1).cast("int")), F.lit(0.0), lambda a, j: a + F.when(j % 2 == 0, 1.0).otherwise(-1.0) * choose(j) * F.pow(1 - j / k, d))
+    bic = -2 * ll + F.log(n) * p
+    return fits.select(
+        "*", (-2 * ll + 2 * p).alias("aic"), (-2 * ll + 2 * p + 2 * p * (p + 1) / (n - p - 1)).alias("aicc"), (-2 * ll - 2 * n * F.log(1 - p / n)).alias("gcv"), (-2 * ll + 2 * F.log(F.log(n)) * p).alias("hq"),
+        (-2 * ll + 3 * p).alias("kic"), bic.alias("bic"), (bic + 2 * F.when(k == 1, 0.0).otherwise(d * F.log(k.cast("double")) - log_factorial(k) + F.log(terms))).alias("ebic"),
+    )
+
+
+def select_each(grid: DataFrame, by: list[str], low: float, high: float, criteria=CRITERIA) -> DataFrame:
+    """by, criterion, k, phi: the two-step rule of ``select_model`` for each group of rows and each criterion,
+    with windows and sums by group, so any number of grids is one plan."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(c).alias("value")) for c in criteria])
+    rows = grid.where("admissible").select(*by, "k", "phi", F.explode(pairs).alias("x")).select(*by, "x.criterion", "k", "phi", "x.value")
+    rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    keys = [*by, "criterion"]
+    inside = (F.col("phi") >= low) & (F.col("phi") <= high)
+    pooled = rows.where("k = 1").groupBy(*keys).agg(F.min("value").alias("base"))
+    some = rows.where("k > 1")
+    few = some.groupBy(*keys).agg((F.countDistinct(F.when(inside, F.col("phi"))) < 2).alias("few"))
+    best = some.join(few, keys).where(inside | F.col("few")).groupBy(*keys, "phi").agg(F.min(F.struct("value", "k")).alias("b"))
+    votes = best.join(pooled, keys, "left").select(*keys, F.when(F.col("base") <= F.col("b.value"), 1).otherwise(F.col("b.k")).alias("k"))
+    winner = votes.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg((-F.max(F.struct("n", (-F.col("k")).alias("k")))["k"]).alias("win"))
+    every = rows.select(*keys).distinct().join(winner, keys, "left").select(*keys, F.coalesce("win", F.lit(1)).alias("win"))
+    chosen = rows.join(every, keys).where(F.col("k") == F.col("win"))
+    return chosen.groupBy(*keys, "k").agg(F.min(F.struct("value", "phi"))["phi"].alias("phi"))
+
+
 def draw_summary(draws: DataFrame, level: float = 0.95) -> DataFrame:
-    """By g and parameter: draws, mean, bias, se, percentile and basic interval; draws(b, g, parameter, value, est)."""
+    """By g and parameter: draws, mean, bias, se, t, normal, percentile and basic interval;
+    draws(b, g, parameter, value, est).  Draws that are no finite number are left out; with fewer
+    than two of them, or an estimate that is none, all but the number of draws is null."""
     lo, hi = (1 - level) / 2, (1 + level) / 2
-    s = draws.groupBy("g", "parameter").agg(
+    zq = F.lit(distributions.NORMAL.inv_cdf(hi))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    x = F.when(finite("value"), F.col("value"))
+    s = draws.withColumn("value", x).groupBy("g", "parameter").agg(
         F.count("value").alias("n_draws"), F.first("est").alias("est"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("se"),
         F.expr(f"percentile(value, {lo!r})").alias("q_lo"), F.expr(f"percentile(value, {hi!r})").alias("q_hi"),
     )
-    return s.select("*", (F.col("mean") - F.col("est")).alias("bias"), (2 * F.col("est") - F.col("q_hi")).alias("basic_lo"), (2 * F.col("est") - F.col("q_lo")).alias("basic_hi"))
+    enough = (F.col("n_draws") >= 2) & finite("est")
+    s = s.select("g", "parameter", "n_draws", "est", *[F.when(enough, F.col(c)).alias(c) for c in ("mean", "se", "q_lo", "q_hi")])
+    bias = F.col("mean") - F.col("est")
+    return s.select(
+        "*", bias.alias("bias"), F.when(F.col("se") > 0, F.col("est") / F.col("se")).alias("t"), (F.col("est") - bias - zq * F.col("se")).alias("normal_lo"), (F.col("est") - bias + zq * F.col("se")).alias("normal_hi"),
+        F.when(enough, 2 * F.col("est") - F.col("q_hi")).alias("basic_lo"), F.when(enough, 2 * F.col("est") - F.col("q_lo")).alias("basic_hi"),
+    )
+
+
+def stars(p: Column) -> Column:
+    """Marks of a p-value."""
+    return F.when(p.isNull(), "").when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").when(p < 0.1, ".").otherwise("")
 
 
 def corrected_intervals(draws: DataFrame, level: float = 0.95) -> DataFrame:
@@ -59,7 +116,8 @@ def corrected_intervals(draws: DataFrame, level: float = 0.95) -> DataFrame:
     The share of draws below the estimate is kept off 0 and 1 by half a draw; the interval is
     read from the ordered draws at the corrected levels, with linear interpolation."""
     zq = F.lit(distributions.NORMAL.inv_cdf((1 + level) / 2))
-    s = draws.groupBy("g", "parameter").agg(
+    ok = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    s = draws.where(ok).groupBy("g", "parameter").agg(
         F.first("est").alias("est"), F.stddev_samp("value").alias("se"), F.count("value").alias("n"),
         F.avg((F.col("value") < F.col("est")).cast("double")).alias("below"), F.sort_array(F.collect_list("value")).alias("xs"),
     )
@@ -119,13 +177,49 @@ def vote(rows: DataFrame, by: str, value: str) -> DataFrame:
     return n.groupBy(by).agg(F.max(F.struct("votes", (-F.col(value)).alias("v"))).alias("m")).select(by, (-F.col("m.v")).alias(value), F.col("m.votes").alias("votes"))
 
 
-def blocked_folds(cells: DataFrame, folds: int, n: int) -> DataFrame:
-    """time_fold: equal-width blocks of steps 0 .. n - 1; loc_fold and cell_fold: by a running
-    number in an order fixed by the key, so the folds differ in size by one at most."""
-    order = lambda *c: F.row_number().over(W.Window.orderBy(*c))
-    locs = cells.select("loc").distinct()
-    locs = locs.withColumn("loc_fold", (order((F.col("loc") * 7919) % 1000003, "loc") - 1) % folds + 1)
-    return cells.withColumn("time_fold", F.least(F.lit(folds), F.floor(F.col("t") * folds / F.lit(n)) + 1).cast("int")).join(F.broadcast(locs), "loc")
+def time_block(t: Column, first: Column, last: Column, folds: int) -> Column:
+    """The block of a step: ``folds`` intervals of equal width from the first to the last step, closed on the right."""
+    return F.greatest(F.lit(1), F.ceil((t - first) * folds / F.greatest(last - first, F.lit(1)))).cast("int")
+
+
+def dealt(rows: DataFrame, key: Column, order: list[str], folds: int, name: str) -> DataFrame:
+    """rows with a fold 1 .. folds, in turn in an order fixed by a hash of the key, so folds differ in size by one at most."""
+    return numbered(rows.withColumn("_hash", key), ["_hash", *order]).withColumn(name, (F.col("number") % folds + 1).cast("int")).drop("_hash", "number")
+
+
+def blocked_folds(cells: DataFrame, folds: int) -> DataFrame:
+    """cells with time_fold, loc_fold and cell_fold: blocks of steps, and locations and cells dealt in turn."""
+    ends = cells.agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
+    locs = dealt(cells.select("loc").distinct(), (F.col("loc") * 7919) % 1000003, ["loc"], folds, "loc_fold")
+    each = dealt(cells, (F.col("loc") * 7919 + F.col("t") * 104729) % 1000003, ["loc", "t"], folds, "cell_fold")
+    timed = each.join(F.broadcast(ends)).withColumn("time_fold", time_block(F.col("t"), F.col("_first"), F.col("_last"), folds)).drop("_first", "_last")
+    return timed.join(locs, "loc")
+
+
+def scheme_folds(cells: DataFrame, folds: int) -> DataFrame:
+    """cells for each scheme and fold, with blank (not seen by the fit) and score (counts in the errors):
+    LKLO leaves locations out, LKTO blocks of steps, LKLHTO both but scores only their meeting, random cells."""
+    f = blocked_folds(cells, folds)
+    j = F.explode(F.sequence(F.lit(1), F.lit(folds)))
+    f = f.withColumn("fold", j)
+    here = {c: F.col(f"{c}_fold") == F.col("fold") for c in ("loc", "time", "cell")}
+    rules = {"LKLO": (here["loc"], here["loc"]), "LKTO": (here["time"], here["time"]), "LKLHTO": (here["loc"] | here["time"], here["loc"] & here["time"]), "random": (here["cell"], here["cell"])}
+    s = F.explode(F.array(*[F.struct(F.lit(k).alias("scheme"), b.alias("blank"), x.alias("score")) for k, (b, x) in rules.items()])).alias("s")
+    return f.select("*", s).select(*cells.columns, "fold", "s.scheme", "s.blank", "s.score")
+
+
+def cross_validated(panel: DataFrame, folds: int, tol: float = 1e-3, most: int = 500) -> DataFrame:
+    """scheme, n, rmse, mae, folds_ok, place: the model of each scheme and fold is fitted to the cells that are
+    not blank, all in the same jobs, and predicts those that score: coefficients and smoothed state."""
+    f = cut_lineage(scheme_folds(panel.select("loc", "t", "z", "x"), folds).withColumn("model", F.concat_ws("#", "scheme", "fold")))
+    seen = f.select("model", "loc", "t", "x", F.when(~F.col("blank"), F.col("z")).alias("z"))
+    fits = cut_lineage(statespace.fit_on_sums(seen, statespace.start_values(seen), tol, most))
+    states = statespace.smoothed(statespace.filtered(statespace.step_sums(seen, fits)))
+    scored = statespace.signal(f.where("score AND z IS NOT NULL").select("model", "scheme", "fold", "loc", "t", "z", "x"), fits, states)
+    e = F.col("z") - F.col("fit")
+    ok = scored.where(F.col("fit").isNotNull() & ~F.isnan("fit"))
+    s = ok.groupBy("scheme").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.countDistinct("fold").alias("folds_ok"))
+    return s.withColumn("place", F.rank().over(W.Window.orderBy("rmse")))
 
 
 def fold_errors(cells: DataFrame, by: list[str]) -> DataFrame:

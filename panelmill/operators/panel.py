@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .numbering import numbered
+
 
 def dense(observed: DataFrame) -> DataFrame:
     """Every location with every time step of the table; missing cells are null.
@@ -77,10 +79,12 @@ def pulses(times: DataFrame, events: DataFrame) -> DataFrame:
 
 def observed_index(panel: DataFrame) -> DataFrame:
     """t, n_obs, pattern: the observed locations of each time step as a key; NULL when all are
-    observed, 'p' when none is."""
-    seen = F.sort_array(F.collect_list(F.when(F.col("z").isNotNull(), F.col("loc"))))
-    by = panel.groupBy("t").agg(F.count("z").alias("n_obs"), F.count(F.lit(1)).alias("n"), seen.alias("seen"))
-    key = F.when(F.col("n_obs") == F.col("n"), F.lit(None)).when(F.col("n_obs") == 0, "p").otherwise(F.concat_ws(".", F.transform("seen", lambda x: x.cast("string"))))
+    observed, 'p' when none is.  The key has their number and two sums of hashes of the locations,
+    added up before the shuffle, so its size does not grow with the locations."""
+    seen = F.col("z").isNotNull()
+    first, second = (F.sum(F.when(seen, (F.col("loc") * a + b) % m)) for a, b, m in ((2654435761, 97, 2147483647), (40503, 1013904223, 2147483629)))
+    by = panel.groupBy("t").agg(F.count("z").alias("n_obs"), F.count(F.lit(1)).alias("n"), first.alias("s1"), second.alias("s2"))
+    key = F.when(F.col("n_obs") == F.col("n"), F.lit(None)).when(F.col("n_obs") == 0, "p").otherwise(F.concat_ws(".", "n_obs", "s1", "s2"))
     return by.select("t", "n_obs", key.alias("pattern"))
 
 
@@ -88,6 +92,6 @@ def apart(locations: DataFrame, step: float = 1e-5, digits: int = 6) -> DataFram
     """loc, x, y with repeated places (after rounding) moved by step times their running number."""
     place = W.Window.partitionBy(F.round("x", digits), F.round("y", digits)).orderBy("loc")
     again = locations.withColumn("again", F.row_number().over(place) - 1)
-    repeated = again.where("again > 0").withColumn("k", F.row_number().over(W.Window.orderBy("loc")))
+    repeated = numbered(again.where("again > 0").select("loc"), ["loc"], "k").withColumn("k", F.col("k") + 1)
     moved = again.join(repeated.select("loc", "k"), "loc", "left").withColumn("by", F.coalesce(F.col("k"), F.lit(0)) * step)
     return moved.select("loc", (F.col("x") + F.col("by")).alias("x"), (F.col("y") + F.col("by")).alias("y"))

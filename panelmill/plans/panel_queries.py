@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import inference, panel, spatial, statespace
+from ..operators import inference, panel, partitions, spatial, statespace
 from ..sources import store
 from . import regimes, spatial_models
 
@@ -109,8 +109,9 @@ def potts_pairs(spark, d):
 
 
 def nearest_of_nation(spark, d):
-    p = places(spark, d)
-    return spatial.nearest_of_group(p, p.where("loc % 2 = 0"), "nation")
+    """The nearest supplier of the same nation with a positive balance."""
+    p = places(spark, d).join(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("loc"), "s_acctbal"), "loc")
+    return spatial.nearest_of_group(p, p.where("s_acctbal > 0"), "nation")
 
 
 def decay_limits(spark, d):
@@ -178,18 +179,26 @@ def vote_mode(spark, d):
 
 def fold_errors(spark, d):
     g = grid(spark, d)
-    folds = inference.blocked_folds(g, FOLDS, 84)
+    folds = inference.blocked_folds(g, FOLDS)
     fit = folds.join(g.groupBy("t").agg(F.round(F.avg("z"), 6).alias("fit")), "t")
     r = inference.fold_errors(fit, ["time_fold", "loc_fold"])
     return r.select("time_fold", "loc_fold", "n", F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"), "place")
 
 
 def departures(spark, d):
-    """Per location: mean residual, slope, lag-1 correlation of residuals, log residual variance."""
-    g = panel.lags(grid(spark, d), "z", 1).withColumn("x_lag1", F.lag("x").over(panel.W.Window.partitionBy("loc").orderBy("t")))
-    fit = g.groupBy("loc").agg(F.regr_slope("z", "x").alias("b"), F.regr_intercept("z", "x").alias("a"), F.avg("z").alias("level"))
-    u = g.join(fit, "loc").withColumn("u", F.col("z") - F.col("a") - F.col("b") * F.col("x")).withColumn("u1", F.col("z_lag1") - F.col("a") - F.col("b") * F.col("x_lag1"))
-    return u.groupBy("loc").agg(F.round(F.first("level"), 5).alias("level"), F.round(F.first("b"), 4).alias("slope"), F.round(F.corr("u", "u1"), 5).alias("ar1"), F.round(F.log(F.greatest(F.var_samp("u"), F.lit(2.2e-16))), 5).alias("logvar"))
+    """Per location: mean, slope, lag-1 correlation and log variance of what the state leaves; locations
+    with fewer than 5 cells, or 3 pairs of steps for the correlation, get the median of the others."""
+    p, w = model_panel(spark, d), panel.W.Window.partitionBy("loc").orderBy("t")
+    s = statespace.smoothed(statespace.filtered(statespace.step_sums(p, models(spark, d))))
+    y = p.join(s.select("model", "t", "m"), ["model", "t"]).select("loc", "t", "x", (F.col("z") - F.col("m")).alias("y"))
+    enough = F.count("y") >= 5
+    fit = y.groupBy("loc").agg(F.when(enough, F.regr_slope("y", "x")).alias("b"), F.when(enough, F.regr_intercept("y", "x")).alias("a"), F.when(enough, F.avg("y")).alias("level"))
+    u = y.join(fit, "loc").withColumn("u", F.col("y") - F.col("a") - F.col("b") * F.col("x")).withColumn("u1", F.lag("u").over(w))
+    pairs = F.count(F.when(F.col("u").isNotNull() & F.col("u1").isNotNull(), 1)) >= 3
+    f = store.cut_lineage(u.groupBy("loc").agg(F.first("level").alias("level"), F.first("b").alias("slope"), F.when(pairs, F.corr("u", "u1")).alias("ar1"), F.log(F.greatest(F.var_samp("u"), F.lit(2.2e-16))).alias("logvar")))
+    names = ("level", "slope", "ar1", "logvar")
+    fill = f.agg(*[F.median(c).alias(f"m_{c}") for c in names])
+    return f.join(F.broadcast(fill)).select("loc", *[F.round(F.coalesce(c, f"m_{c}"), 4).alias(c) for c in names])
 
 
 def residual_diagnostics(spark, d):
@@ -224,14 +233,6 @@ def completion(spark, d):
     return s.select("model", "loc", "t", F.round("fit", 5).alias("fit"), F.coalesce("z", F.round("fit", 5)).alias("filled"))
 
 
-def location_scores(spark, d):
-    """Log-likelihood of each location under the parameters of each of three models."""
-    m = models(spark, d).where("model IN ('NATION_0', 'NATION_5', 'NATION_9')")
-    g = grid(spark, d).where("z IS NOT NULL").join(F.broadcast(m))
-    e = F.col("z") - F.col("b0") - F.col("b1") * F.col("x")
-    return g.groupBy("loc", "model").agg(F.round(-0.5 * F.sum(F.log(2 * F.lit(3.141592653589793) * F.col("v")) + e * e / F.col("v")), 3).alias("ll"))
-
-
 def label_update(spark, d):
     """Simultaneous update: for each location the group with most agreeing neighbours, ties smaller."""
     p = places(spark, d)
@@ -249,8 +250,8 @@ def totals(spark, d):
 
 
 def resume_tasks(spark, d):
-    tasks = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
-    done = _t(spark, d, "lineitem").where("l_quantity >= 50 AND l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("k"))
+    tasks = _t(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    done = _t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k"))
     return store.unfinished(tasks, done, ["k"])
 
 
@@ -275,39 +276,33 @@ def complete_groups(spark, d):
 def cost_projection(spark, d):
     """Mean value of measured cells, else the overall mean, times a number of runs."""
     e = _t(spark, d, "events")
-    measured = e.where("user_id % 3 = 0").groupBy("user_id").agg(F.avg("value").alias("cost"))
+    measured = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.avg("value").alias("cost"))
     overall = measured.agg(F.avg("cost").alias("overall"))
     return e.select("user_id").distinct().join(measured, "user_id", "left").join(F.broadcast(overall)).select("user_id", F.round(F.coalesce("cost", "overall") * 100, 3).alias("hours"))
 
 
-def causality_summary(spark, d):
-    """Mean statistic over locations, its standardised value for q lags, and the share above a bound."""
-    r = residual_diagnostics(spark, d)
-    return r.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("q4"), 4).alias("w_bar"), F.round(F.sqrt(F.count(F.lit(1)) / 8) * (F.avg("q4") - 4), 4).alias("z_bar"), F.round(F.avg((F.col("q4") > 9.487729).cast("double")), 6).alias("share"))
-
-
 def em_fit(spark, d):
-    """EM as joins and sums, all nations' models at once."""
-    p = store.cut_lineage(model_panel(spark, d).select("model", "loc", "t", "z", "x"))
-    fits, trace = statespace.fit(p, statespace.start_values(p), tol=1e-2, most=6)
-    last = trace.groupBy("model").agg(F.max_by("loglik", "step").alias("loglik"), F.max("step").alias("steps"))
-    return fits.join(last, "model")
+    """EM of all nations' models to its tolerance, on sums by model and step."""
+    p = model_panel(spark, d).select("model", "loc", "t", "z", "x")
+    return statespace.fit_on_sums(p, statespace.start_values(p), EM_TOL, EM_MOST)
 
 
-def _two_models(spark, d):
-    """The whole panel, under a model of even and one of odd locations."""
-    model = F.when(F.col("loc") % 2 == 0, "even").otherwise("odd")
-    return grid(spark, d).select(model.alias("model"), "loc", "t", "z", "x")
+def _nation_models(spark, d):
+    """The whole panel, under a model for each nation."""
+    return model_panel(spark, d).select("model", "loc", "t", "z", "x")
 
 
 def _spatial_fits(spark, d):
-    return spatial_models.fit_models(_two_models(spark, d), places(spark, d), EM_TOL, EM_MOST)
+    return spatial_models.fit_models(_nation_models(spark, d), places(spark, d), EM_TOL, EM_MOST)
 
 
 def unseen_places(spark, d):
-    """Places of the embedding without a supplier in the panel, with the covariate of an empty cell."""
+    """Places of the embedding without a supplier in the panel, with the covariate of an empty cell and the
+    model of the nearest supplier."""
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("loc"), F.round(F.col("embedding")[0].cast("double"), 6).alias("x"), F.round(F.col("embedding")[1].cast("double"), 6).alias("y"), F.lit(0.05).alias("cov"))
-    return e.join(observed(spark, d).select("loc").distinct(), "loc", "left_anti")
+    new = e.join(observed(spark, d).select("loc").distinct(), "loc", "left_anti")
+    model = partitions.inherited(new, places(spark, d).select("loc", "x", "y", F.col("nation").alias("g"))).select("loc", "g")
+    return new.join(model, "loc").join(F.broadcast(_t(spark, d, "nation").select(F.col("n_nationkey").alias("g"), F.col("n_name").alias("model"))), "g").drop("g")
 
 
 def spatial_fit(spark, d):
@@ -315,15 +310,15 @@ def spatial_fit(spark, d):
 
 
 def spatial_bootstrap(spark, d):
-    return spatial_models.bootstrap(_two_models(spark, d), places(spark, d), store.cut_lineage(_spatial_fits(spark, d)), DRAWS, tol=EM_TOL, most=EM_MOST)
+    return spatial_models.bootstrap(_nation_models(spark, d), places(spark, d), store.cut_lineage(_spatial_fits(spark, d)), DRAWS, tol=EM_TOL, most=EM_MOST)
 
 
 def spatial_kriging(spark, d):
-    return spatial_models.krige(_two_models(spark, d), places(spark, d), store.cut_lineage(_spatial_fits(spark, d)), unseen_places(spark, d))
+    return spatial_models.krige(_nation_models(spark, d), places(spark, d), store.cut_lineage(_spatial_fits(spark, d)), unseen_places(spark, d))
 
 
 def spatial_completion(spark, d):
-    return spatial_models.complete(_two_models(spark, d), places(spark, d), _spatial_fits(spark, d))
+    return spatial_models.complete(_nation_models(spark, d), places(spark, d), _spatial_fits(spark, d))
 
 
 def _regimes(spark, d):
@@ -354,8 +349,8 @@ QUERIES = {
     for f in (
         panel_dense, panel_checks, panel_relative, panel_lags, panel_pulses, panel_observed_index, panel_covariate_means, places_apart, knn_graph, knn_distances,
         potts_pairs, nearest_of_nation, decay_limits, distance_bins, partitions_ari, contingency, information_criteria, model_selection, draw_summary, group_differences,
-        co_clustering, vote_mode, fold_errors, departures, residual_diagnostics, start_values, kalman_filter, kalman_smoother, completion, location_scores, label_update,
-        wide_pivot, totals, resume_tasks, monte_carlo, top_brand, complete_groups, cost_projection, causality_summary, em_fit, spatial_fit, spatial_bootstrap,
+        co_clustering, vote_mode, fold_errors, departures, residual_diagnostics, start_values, kalman_filter, kalman_smoother, completion, label_update,
+        wide_pivot, totals, resume_tasks, monte_carlo, top_brand, complete_groups, cost_projection, em_fit, spatial_fit, spatial_bootstrap,
         spatial_kriging, spatial_completion, regime_grid, regime_selection, corrected_intervals, wald_tests,
     )
 }

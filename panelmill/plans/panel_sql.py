@@ -50,7 +50,7 @@ SELECT loc, t, round(c - avg(CASE WHEN t >= 12 THEN c END) OVER (PARTITION BY lo
 ev(event, day) AS (VALUES ('a', DATE '2024-01-05'), ('b', DATE '2024-01-12'), ('c', DATE '2024-01-30'), ('d', DATE '2025-01-01')),
 f AS (SELECT event, min(t) AS t FROM times s JOIN ev e ON s.day >= e.day GROUP BY event)
 SELECT event, t, 1 AS first, 0 AS second FROM f UNION ALL SELECT event, (SELECT min(t) FROM times WHERE times.t > f.t), 0, 1 FROM f WHERE EXISTS (SELECT 1 FROM times WHERE times.t > f.t)""",
-    "panel_observed_index": f"""WITH {_CELLS} SELECT t, count(z) AS n_obs, CASE WHEN count(z) = count(*) THEN NULL WHEN count(z) = 0 THEN 'p' ELSE string_agg(CASE WHEN z IS NOT NULL THEN CAST(loc AS VARCHAR) END, '.' ORDER BY loc) END AS pattern FROM grid GROUP BY t""",
+    "panel_observed_index": f"""WITH {_CELLS} SELECT t, count(z) AS n_obs, CASE WHEN count(z) = count(*) THEN NULL WHEN count(z) = 0 THEN 'p' ELSE concat_ws('.', count(z), CAST(sum(CASE WHEN z IS NOT NULL THEN (loc * 2654435761 + 97) % 2147483647 END) AS BIGINT), CAST(sum(CASE WHEN z IS NOT NULL THEN (loc * 40503 + 1013904223) % 2147483629 END) AS BIGINT)) END AS pattern FROM grid GROUP BY t""",
     "panel_covariate_means": f"WITH {_CELLS} SELECT loc, round(avg(x), 6) AS x_mean, count(z) AS seen FROM grid GROUP BY loc",
     "places_apart": f"""WITH {_PLACES}, p AS (SELECT loc, round(x, 1) AS x, round(y, 1) AS y FROM places), a AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY loc) - 1 AS again FROM p),
 k AS (SELECT loc, row_number() OVER (ORDER BY loc) AS k FROM a WHERE again > 0)
@@ -58,7 +58,7 @@ SELECT a.loc, round(x + coalesce(k, 0) * 1e-5, 6) AS x, round(y + coalesce(k, 0)
     "knn_graph": f"WITH {_NEAR} SELECT i, j FROM graph",
     "knn_distances": f"WITH {_NEAR} SELECT i, j, round(h, 6) AS h, rank FROM knn",
     "potts_pairs": f"WITH {_NEAR} SELECT count(*) AS pairs, CAST(sum(CASE WHEN a.nation % 5 = b.nation % 5 THEN 1 ELSE 0 END) AS BIGINT) AS agreeing FROM graph JOIN places a ON a.loc = i JOIN places b ON b.loc = j WHERE i < j",
-    "nearest_of_nation": f"""WITH {_PLACES}, p AS (SELECT a.loc, b.loc AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS h FROM places a JOIN places b ON a.nation = b.nation AND a.loc <> b.loc AND b.loc % 2 = 0)
+    "nearest_of_nation": f"""WITH {_PLACES}, p AS (SELECT a.loc, b.loc AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS h FROM places a JOIN places b ON a.nation = b.nation AND a.loc <> b.loc JOIN supplier ON s_suppkey = b.loc WHERE s_acctbal > 0)
 SELECT loc, j AS nearest, round(h, 3) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY loc ORDER BY h, j) AS r FROM p) WHERE r = 1""",
     "decay_limits": f"WITH {_NEAR} SELECT round(ln(-ln(0.95::DOUBLE) / max(h)), 6) AS lower, round(ln(-ln(0.05::DOUBLE) / min(h)), 6) AS upper FROM knn WHERE h > 0",
     "distance_bins": f"""WITH {_NEAR}, b AS (SELECT round(h, 6) AS h FROM knn) SELECT CAST(CASE WHEN h <= 0 THEN NULL WHEN h <= 0.05 THEN 1 WHEN h <= 0.1 THEN 2 WHEN h <= 0.2 THEN 3 WHEN h <= 0.5 THEN 4 WHEN h <= 1 THEN 5 WHEN h <= 10 THEN 6 END AS INTEGER) AS bin, count(*) AS n FROM b GROUP BY 1""",
@@ -81,31 +81,25 @@ SELECT x.loc AS i, y.loc AS j, round(avg(CASE WHEN x.g = y.g THEN 1.0::DOUBLE EL
     "vote_mode": "SELECT l_suppkey, l_linenumber, votes FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, l_linenumber) AS r FROM (SELECT l_suppkey, l_linenumber, count(*) AS votes FROM lineitem GROUP BY 1, 2)) WHERE r = 1",
     "fold_errors": f"""WITH {_CELLS}, lf AS (SELECT loc, CAST((row_number() OVER (ORDER BY (loc * 7919) % 1000003, loc) - 1) % 5 + 1 AS INTEGER) AS loc_fold FROM (SELECT DISTINCT loc FROM grid)),
 fit AS (SELECT t, round(avg(z), 6) AS fit FROM grid GROUP BY t),
-e AS (SELECT CAST(least(5, floor(g.t * 5 / 84::DOUBLE) + 1) AS INTEGER) AS time_fold, loc_fold, z - fit AS e FROM grid g JOIN lf ON lf.loc = g.loc JOIN fit ON fit.t = g.t WHERE z IS NOT NULL AND fit IS NOT NULL),
+e AS (SELECT greatest(1, CAST(ceil((g.t - (SELECT min(t) FROM grid)) * 5 / CAST((SELECT max(t) - min(t) FROM grid) AS DOUBLE)) AS INTEGER)) AS time_fold, loc_fold, z - fit AS e FROM grid g JOIN lf ON lf.loc = g.loc JOIN fit ON fit.t = g.t WHERE z IS NOT NULL AND fit IS NOT NULL),
 s AS (SELECT time_fold, loc_fold, count(*) AS n, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM e GROUP BY 1, 2)
 SELECT time_fold, loc_fold, n, round(rmse, 6) AS rmse, round(mae, 6) AS mae, CAST(rank() OVER (ORDER BY round(rmse, 9)) AS INTEGER) AS place FROM s""",
-    "departures": f"""WITH {_CELLS}, g AS (SELECT *, lag(z) OVER (PARTITION BY loc ORDER BY t) AS z1, lag(x) OVER (PARTITION BY loc ORDER BY t) AS x1 FROM grid),
-f AS (SELECT loc, regr_slope(z, x) AS b, regr_intercept(z, x) AS a, avg(z) AS level FROM g GROUP BY loc),
-u AS (SELECT g.loc, level, b, z - a - b * x AS u, z1 - a - b * x1 AS u1 FROM g JOIN f ON f.loc = g.loc)
-SELECT loc, round(any_value(level), 5) AS level, round(any_value(b), 4) AS slope, round(corr(u, u1), 5) AS ar1, round(ln(greatest(var_samp(u), 2.2e-16)), 5) AS logvar FROM u GROUP BY loc""",
     "residual_diagnostics": f"WITH {_DIAG} SELECT * FROM diag",
-    "causality_summary": f"""WITH {_DIAG} SELECT count(*) AS n, round(avg(q4), 4) AS w_bar, round(sqrt(count(*) / 8::DOUBLE) * (avg(q4) - 4), 4) AS z_bar, round(avg(CASE WHEN q4 > 9.487729 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM diag""",
     "start_values": f"""WITH {_MPANEL}, s AS (SELECT model, regr_slope(z, x) AS b1, regr_intercept(z, x) AS b0, greatest((regr_syy(z, x) - regr_slope(z, x) * regr_sxy(z, x)) / count(*), 1e-8) AS v FROM mpanel WHERE z IS NOT NULL GROUP BY model)
 SELECT model, round(b0, 4) AS b0, round(b1, 4) AS b1, round(0.6 * v, 4) AS v, round(0.2 * v, 4) AS w FROM s""",
     "kalman_filter": f"""WITH RECURSIVE {_FILTER} SELECT f.model, round(e.ll, 3) AS loglik, f.t, round(f.m, 5) AS m, round(f.c, 5) AS c FROM f JOIN last ON last.model = f.model JOIN f e ON e.model = last.model AND e.t = last.t WHERE f.t >= 0""",
     "kalman_smoother": f"WITH RECURSIVE {_FILTER} SELECT model, t, round(m, 5) AS m, round(c, 5) AS c FROM s",
     "completion": f"""WITH RECURSIVE {_FILTER} SELECT p.model, p.loc, p.t, round(b0 + b1 * x + s.m, 5) AS fit, coalesce(z, round(b0 + b1 * x + s.m, 5)) AS filled FROM mpanel p JOIN models USING (model) JOIN s ON s.model = p.model AND s.t = p.t""",
-    "location_scores": f"""WITH {_CELLS}, {_MODELS} SELECT loc, model, round(-0.5 * sum(ln(2 * 3.141592653589793::DOUBLE * v) + (z - b0 - b1 * x) * (z - b0 - b1 * x) / v), 3) AS ll FROM grid, models WHERE z IS NOT NULL AND model IN ('NATION_0', 'NATION_5', 'NATION_9') GROUP BY 1, 2""",
     "label_update": f"""WITH {_NEAR}, n AS (SELECT i, nation % 5 AS g, count(*) AS n FROM graph JOIN places ON loc = j GROUP BY 1, 2)
 SELECT i AS loc, g, n AS agreeing FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, g) AS r FROM n) WHERE r = 1""",
     "wide_pivot": "SELECT user_id, " + ", ".join(f"count(CASE WHEN event_type = '{e}' THEN 1 END) AS {e}" for e in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id",
     "totals": "SELECT coalesce(o_orderstatus, 'all') AS status, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders GROUP BY ROLLUP (o_orderstatus)",
-    "resume_tasks": "SELECT s_suppkey AS k FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_orderkey % 40 = 0)",
+    "resume_tasks": "SELECT p_partkey AS k FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
     "monte_carlo": "SELECT event_type, round(avg(value), 5) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS se, count(value) AS m, round(quantile_cont(value, 0.5), 5) AS median FROM events GROUP BY event_type",
     "top_brand": "SELECT p_type, p_brand AS brand, round(n / CAST(total AS DOUBLE), 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) AS r, sum(n) OVER (PARTITION BY p_type) AS total FROM (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2)) WHERE r = 1",
     "complete_groups": """WITH n AS (SELECT l_orderkey AS k, count(*) AS lines FROM lineitem GROUP BY 1), o AS (SELECT o_orderstatus, lines FROM orders JOIN n ON o_orderkey = k),
 m AS (SELECT o_orderstatus, lines FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY c DESC, lines) AS r FROM (SELECT o_orderstatus, lines, count(*) AS c FROM o GROUP BY 1, 2)) WHERE r = 1)
 SELECT o_orderstatus, count(*) AS n FROM o JOIN m USING (o_orderstatus, lines) GROUP BY 1""",
-    "cost_projection": """WITH m AS (SELECT user_id, avg(value) AS cost FROM events WHERE user_id % 3 = 0 GROUP BY 1)
+    "cost_projection": """WITH m AS (SELECT user_id, avg(value) AS cost FROM events WHERE event_type = 'purchase' GROUP BY 1)
 SELECT user_id, round(coalesce(cost, (SELECT avg(cost) FROM m)) * 100, 3) AS hours FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN m USING (user_id)""",
 }

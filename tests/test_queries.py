@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from panelmill.plans.panel_queries import QUERIES
-from panelmill.plans.panel_sql import ORACLES
+from panelmill.plans import more_queries, more_sql, panel_queries, panel_sql
 
+QUERIES, ORACLES = panel_queries.QUERIES | more_queries.QUERIES, panel_sql.ORACLES | more_sql.ORACLES
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
