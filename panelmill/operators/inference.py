@@ -213,7 +213,7 @@ def cross_validated(panel: DataFrame, folds: int, tol: float = 1e-3, most: int =
     not blank, all in the same jobs, and predicts those that score: coefficients and smoothed state."""
     f = cut_lineage(scheme_folds(panel.select("loc", "t", "z", "x"), folds).withColumn("model", F.concat_ws("#", "scheme", "fold")))
     seen = f.select("model", "loc", "t", "x", F.when(~F.col("blank"), F.col("z")).alias("z"))
-    fits = cut_lineage(statespace.fit_on_sums(seen, statespace.start_values(seen), tol, most))
+    fits = cut_lineage(statespace.fit_on_sums(seen, statespace.start_values(seen), tol, most, accelerate=True))
     states = statespace.smoothed(statespace.filtered(statespace.step_sums(seen, fits)))
     scored = statespace.signal(f.where("score AND z IS NOT NULL").select("model", "scheme", "fold", "loc", "t", "z", "x"), fits, states)
     e = F.col("z") - F.col("fit")

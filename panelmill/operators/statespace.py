@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import cut_lineage
+from .accelerate import plain, squared
 
 #: Parameters of a model, as columns of a table models(model, ...).
 PARAMETERS = ("b0", "b1", "v", "g", "w", "m0", "c0")
@@ -137,28 +138,29 @@ def cell_sums(panel: DataFrame) -> DataFrame:
     return panel.groupBy("model", "t").agg(F.count(F.when(ok, 1)).cast("double").alias("n"), total(z).alias("sz"), total(x).alias("sx"), total(z * z).alias("szz"), total(z * x).alias("szx"), total(x * x).alias("sxx"))
 
 
-def _em_on_sums(n, sz, sx, szz, szx, sxx, p: dict, tol: float, most: int) -> tuple[dict, float, int, bool]:
+def _em_on_sums(n, sz, sx, szz, szx, sxx, p: dict, tol: float, most: int, accelerate: bool) -> tuple[dict, float, int, bool]:
     """em_step until the loglik changes by less than tol: (parameters, their loglik, steps, converged)."""
-    steps, before, k = len(n), -np.inf, 0
-    while True:
-        b0, b1, v, g, w = (p[c] for c in ("b0", "b1", "v", "g", "w"))
+    steps, logs = len(n), ("v", "w")
+    names = ("b0", "b1", "v", "g", "w", "m0")
+    pack = lambda q: np.array([np.log(q[c]) if c in logs else q[c] for c in names])
+    unpack = lambda u: {c: float(np.exp(x)) if c in logs else float(x) for c, x in zip(names, u)} | {"c0": p["c0"]}
+
+    def step(u: np.ndarray) -> tuple[np.ndarray, float]:
+        q = unpack(u)
+        b0, b1, v, g, w = (q[c] for c in ("b0", "b1", "v", "g", "w"))
         s = sz - b0 * n - b1 * sx
-        q = szz - 2 * b0 * sz - 2 * b1 * szx + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx
-        m, c, ahead, ll = [p["m0"]], [p["c0"]], [0.0], 0.0
+        qq = szz - 2 * b0 * sz - 2 * b1 * szx + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx
+        m, c, ahead, ll = [q["m0"]], [q["c0"]], [0.0], 0.0
         for t in range(steps):
             a, r = g * m[t], g * g * c[t] + w
             ahead.append(r)
             if n[t] > 0:
                 spread, e = v + n[t] * r, s[t] - n[t] * a
-                ee = q[t] - 2 * a * s[t] + n[t] * a * a
+                ee = qq[t] - 2 * a * s[t] + n[t] * a * a
                 ll -= 0.5 * (n[t] * LOG_2PI + (n[t] - 1) * np.log(v) + np.log(spread) + (ee - r * e * e / spread) / v)
                 a, r = a + r * e / spread, r * v / spread
             m.append(a)
             c.append(r)
-        done = abs(ll - before) < tol
-        if done or k == most:
-            return p, float(ll), k, bool(done)
-        before, k = ll, k + 1
         m, c, ahead = np.array(m), np.array(c), np.array(ahead)
         gain = c[:-1] * g / ahead[1:]
         ms, cs = m.copy(), c.copy()
@@ -172,10 +174,13 @@ def _em_on_sums(n, sz, sx, szz, szx, sxx, p: dict, tol: float, most: int) -> tup
         slope = sxy / spread_x if fits else 0.0
         level = (y - slope * sx.sum()) / cells if fits else 0.0  # 0, as in em_step, where x does not vary
         new_g = s10 / s00
-        p = {"b0": level, "b1": slope, "v": max((syy - slope * sxy) / cells + (n * cs[1:]).sum() / cells, 1e-10), "g": new_g, "w": max((s11 - new_g * s10) / steps, 1e-10), "m0": ms[0], "c0": p["c0"]}
+        return pack({"b0": level, "b1": slope, "v": max((syy - slope * sxy) / cells + (n * cs[1:]).sum() / cells, 1e-10), "g": new_g, "w": max((s11 - new_g * s10) / steps, 1e-10), "m0": ms[0]}), float(ll)
 
+    u, ll, calls, done = (squared if accelerate else plain)(step, pack(p), tol, most)
+    return unpack(u), ll, calls, done
 
-def fit_on_sums(panel: DataFrame, models: DataFrame, tol: float = 1e-3, most: int = 500) -> DataFrame:
+
+def fit_on_sums(panel: DataFrame, models: DataFrame, tol: float = 1e-3, most: int = 500, accelerate: bool = False) -> DataFrame:
     """models(model, ..., loglik, steps, converged): EM of each model until its loglik changes by
     less than tol.  Cells are summed once, by model and time step; a model's task has one row
     per time step, however many locations there are."""
@@ -185,7 +190,7 @@ def fit_on_sums(panel: DataFrame, models: DataFrame, tol: float = 1e-3, most: in
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         start = {c: float(pdf[c].iloc[0]) for c in PARAMETERS}
-        p, ll, steps, done = _em_on_sums(*(pdf[c].to_numpy() for c in spec), start, tol, most)
+        p, ll, steps, done = _em_on_sums(*(pdf[c].to_numpy() for c in spec), start, tol, most, accelerate)
         return pd.DataFrame([{"model": key[0], **p, "loglik": ll, "steps": steps, "converged": done}])
 
     joined = cell_sums(panel).join(F.broadcast(models.select("model", *PARAMETERS)), "model")

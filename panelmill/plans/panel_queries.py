@@ -284,7 +284,7 @@ def cost_projection(spark, d):
 def em_fit(spark, d):
     """EM of all nations' models to its tolerance, on sums by model and step."""
     p = model_panel(spark, d).select("model", "loc", "t", "z", "x")
-    return statespace.fit_on_sums(p, statespace.start_values(p), EM_TOL, EM_MOST)
+    return statespace.fit_on_sums(p, statespace.start_values(p), EM_TOL, EM_MOST, accelerate=True)
 
 
 def _nation_models(spark, d):

@@ -71,7 +71,7 @@ def fit_grid(panel: DataFrame, places: DataFrame, ks: list[int], phis: list[floa
         if models is not None:
             models = models.drop("loglik", "steps", "converged")
             first = first.join(models.select("model"), "model", "left_anti").unionByName(models.join(first.select("model"), "model", "left_semi"))
-        models = cut_lineage(statespace.fit_on_sums(cells, first, tol, em_steps))
+        models = cut_lineage(statespace.fit_on_sums(cells, first, tol, em_steps, accelerate=True))
         states = statespace.smoothed(statespace.filtered(statespace.step_sums(cells, models)))
         after = cut_lineage(new_labels(scores(panel, models, states), labels, edges, configs))
         moves = cut_lineage(after.join(labels.withColumnRenamed("g", "old"), ["config", "loc"]).groupBy("config").agg(F.count(F.when(F.col("g") != F.col("old"), 1)).alias("moved")))
@@ -79,7 +79,7 @@ def fit_grid(panel: DataFrame, places: DataFrame, ks: list[int], phis: list[floa
         if moves.where("moved > 0").isEmpty():
             break
     cells = cut_lineage(keyed(panel, labels))
-    models = cut_lineage(statespace.fit_on_sums(cells, statespace.start_values(cells), tol, em_steps))
+    models = cut_lineage(statespace.fit_on_sums(cells, statespace.start_values(cells), tol, em_steps, accelerate=True))
     ends = models.groupBy(F.split("model", "#")[0].alias("config")).agg(F.sum("loglik").alias("loglik"), F.bool_and("converged").alias("em_done"))
     sizes = labels.groupBy("config", "g").agg(F.count(F.lit(1)).alias("size")).groupBy("config").agg(F.count(F.lit(1)).cast("int").alias("k_eff"), F.min("size").alias("min_size"))
     nobs = panel.agg(F.count("z").cast("double").alias("nobs"))
