@@ -65,6 +65,7 @@ def fit_grid(panel: DataFrame, places: DataFrame, ks: list[int], phis: list[floa
     edges = cut_lineage(spatial.neighbour_graph(places, neighbours))
     panel = cut_lineage(panel.select("loc", "t", "z", "x"))
     labels, models = cut_lineage(start_labels(panel, configs)), None
+    older = labels
     for _ in range(sweeps):
         cells = cut_lineage(keyed(panel, labels))
         first = statespace.start_values(cells)
@@ -74,10 +75,13 @@ def fit_grid(panel: DataFrame, places: DataFrame, ks: list[int], phis: list[floa
         models = cut_lineage(statespace.fit_on_sums(cells, first, tol, em_steps, accelerate=True))
         states = statespace.smoothed(statespace.filtered(statespace.step_sums(cells, models)))
         after = cut_lineage(new_labels(scores(panel, models, states), labels, edges, configs))
-        moves = cut_lineage(after.join(labels.withColumnRenamed("g", "old"), ["config", "loc"]).groupBy("config").agg(F.count(F.when(F.col("g") != F.col("old"), 1)).alias("moved")))
-        labels = after
-        if moves.where("moved > 0").isEmpty():
+        both = after.join(labels.withColumnRenamed("g", "old"), ["config", "loc"]).join(older.withColumnRenamed("g", "older"), ["config", "loc"])
+        counts = both.groupBy("config").agg(F.count(F.when(F.col("g") != F.col("old"), 1)).alias("moved"), F.count(F.when(F.col("g") != F.col("older"), 1)).alias("since"))
+        moves = cut_lineage(counts)
+        labels, older = after, labels
+        if moves.where("moved > 0 AND since > 0").isEmpty():  # all at rest, or between two partitions for good
             break
+    moves = moves.drop("since")
     cells = cut_lineage(keyed(panel, labels))
     models = cut_lineage(statespace.fit_on_sums(cells, statespace.start_values(cells), tol, em_steps, accelerate=True))
     ends = models.groupBy(F.split("model", "#")[0].alias("config")).agg(F.sum("loglik").alias("loglik"), F.bool_and("converged").alias("em_done"))
