@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rounds until an error; the number needed grows with the logarithm of the links.
-MAX_ROUNDS = 60
-
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (node, root): root is the smallest node reachable from node.
@@ -19,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     Nodes without links are absent.
     """
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    for _ in range(MAX_ROUNDS):
+    while True:  # the number of rounds grows with the logarithm of the links
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
@@ -33,4 +30,3 @@ def components(links: DataFrame) -> DataFrame:
         if nodes.where("up > 1 OR up = 1 AND down = 1").isEmpty():
             roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "labels")
-    raise RuntimeError("components did not converge")

@@ -19,10 +19,15 @@ when 100 * intersection >= threshold * union.  Steps, all over whole texts:
    sizes can't fit, or which lie in one component.
 5. The pairs that are left are verified on their whole shingle sets.
 
+The first round gives most links between copies of one text; all other links, and the proof
+that none is missing, come from the trees.  The count of shared first shingles in small blocks
+only spares the trees pairs that cannot link.
+
 Only links that join components are sought, so a group of copies needs no expansion into
 pairs.  A null or empty text has no shingles and links with nothing; a text with fewer
 words than ``width`` has its whole sequence as its one shingle.  Repeated rows give
-repeated results; a null doc_id counts as a value below all others; an empty table gives
+repeated results; a row without doc_id takes the smallest doc_id of its component, null if no
+other row has one; an empty table gives
 an empty result; columns besides doc_id and text are ignored.
 """
 

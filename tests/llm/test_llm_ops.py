@@ -481,6 +481,25 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == stay
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    """Nulls, empty and long texts, repeated rows, clashing columns and an empty table in every stage."""
+    import corpus_pipeline as p
+
+    twice = odd.union(odd)
+    texts = {t or "" for _, t in ODD}
+    kept = {}
+    for name, stage in p.STAGES:
+        rows = stage(spark, twice, DATA).collect()
+        kept[name] = rows
+        if name != "best-fit packing":
+            assert set(rows[0].asDict() if rows else p.COLUMNS) == set(p.COLUMNS)
+    assert len(kept["exact dedup"]) == len(texts) and len(kept["PII"]) == 2 * len(ODD)
+    assert {r.text for r in kept["PII"] if r.doc_id == 1} == {None}
+    assert len({r.doc_id for r in kept["best-fit packing"]}) == len(ODD)
+    for name, stage in p.STAGES[:2] + p.STAGES[3:]:
+        assert stage(spark, odd.where("doc_id = -1"), DATA).count() == 0
+
+
 @pytest.mark.parametrize("moduli", [None, ((7, 3), (5, 2))])
 def test_exact_dedup_keeps_one_row_when_files_are_split_anew(spark, monkeypatch, moduli):
     """Copies with one doc_id, and other splits of the files in the job after the groups'."""
