@@ -115,13 +115,13 @@ def cut(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of rows to groups (one row per key) by null-safe keys, safe for hot keys.
 
-    Groups with at least HOT_ROWS and HOT_SHARE of the rows are at most 1/HOT_SHARE in
+    Groups with at least ``hot_rows`` rows and HOT_SHARE of the rows are at most 1/HOT_SHARE in
     number, so they are broadcast; the rest have few rows per key and are shuffled.
     """
-    least = max(HOT_ROWS, int(total * HOT_SHARE))
+    least = max(hot_rows, int(total * HOT_SHARE))
     value = [c for c in groups.columns if c not in keys]
     hot = groups.where(F.col(size) >= least).select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(c).alias(f"_h_{c}") for c in value])
     cold = groups.where(F.col(size) < least)

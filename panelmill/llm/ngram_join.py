@@ -3,7 +3,8 @@
 A document's set holds its distinct shingles of ``width`` words; two documents link
 when 100 * intersection >= threshold * union.  Steps, all over whole texts:
 
-1. Documents with equal sets are one entity, named by a 64-bit hash of the set.
+1. Documents with equal sets are one entity, named by a 64-bit hash of the set.  A second hash
+   tells sets apart whose names clash; such names are replaced by a hash of both.
 2. Shingles get one global order: rare ones first (by a fixed-size table of counts of hash
    values; any order gives the same links), then by hash.  Two sets that link share
    a shingle among the first ``n - ceil(t * n) + 1`` of both, so entities that share one
@@ -13,8 +14,9 @@ when 100 * intersection >= threshold * union.  Steps, all over whole texts:
 4. Blocks whose entities are all in one component need no more work.  Small blocks give
    for each pair of different components the number of first shingles that both have; if
    it is too small for the sets to link, the pair is out, and what is left of an entity's
-   partners is one group.  For each group and each large block a signature tree is built: leaves hold the bitmap of an entity's shingles and
-   its size, inner nodes the OR of their bitmaps and the range of sizes and components.
+   partners is one group.  For each group and each large block a signature tree is built:
+   leaves hold the bitmap of an entity's shingles and its size, inner nodes the OR of their
+   bitmaps and the range of sizes and components.
    A dual traversal prunes node pairs whose largest possible overlap is too small, whose
    sizes can't fit, or which lie in one component.
 5. The pairs that are left are verified on their whole shingle sets.
@@ -57,8 +59,14 @@ FANOUT, CHUNK = 8, 4096
 COARSE, NEIGHBOURS, SLACK = 2048, 2, 3
 #: Entities of a block whose pairs are counted over all blocks before their trees are built.
 SMALL = 32
-#: Rows of small blocks that share a task's group.
-TASK_ROWS = 20_000
+#: Rows of small blocks that share a task's group, and shingles of all its rows.
+TASK_ROWS, TASK_SHINGLES = 20_000, 1 << 23
+#: Shingles of the entities of a block that one task takes at a time.
+CHUNK_SHINGLES = 1 << 22
+#: First shingles of a bucket and of a task, in the mean, when blocks are formed.
+BUCKET_TOKENS, TASK_TOKENS = 1 << 20, 1 << 23
+#: Rows from which a block may be joined by broadcast (at most 1 / HOT_SHARE blocks are).
+HOT_BLOCK = 256
 U64 = np.uint64
 
 
@@ -113,15 +121,15 @@ def read_signature(n: int, bits: bytes) -> np.ndarray:
     return np.frombuffer(bits, dtype=np.uint16 if signature_width(n) == 1 << 16 else np.uint32).astype(np.int64)
 
 
-def entities(docs: DataFrame, width: int, threshold: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, entity, prefix (ordered first shingles), bits."""
+def entities(docs: DataFrame, width: int, threshold: int, counts: np.ndarray, name_bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, entity, second (another hash of the set), prefix (ordered first shingles), bits."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets, off = shingle_sets(*word_hashes(*flat_bytes(part.column("text"))), width)
-                names, firsts, maps = entity_names(sets, off), [], []
+                (names, second), firsts, maps = entity_names(sets, off, name_bits), [], []
                 order = shared.value[(sets >> U64(44)).astype(np.int64)]
                 for i in range(len(off) - 1):
                     own = sets[off[i] : off[i + 1]]
@@ -133,23 +141,46 @@ def entities(docs: DataFrame, width: int, threshold: int, counts: np.ndarray) ->
                 at = np.concatenate(([0], np.cumsum([len(f) for f in firsts])))
                 flat = np.concatenate(firsts) if firsts else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(off)), pa.array(names.astype(np.int64)), cut(flat, at), pa.array(maps, pa.binary())],
-                    names=["doc_id", "n_shingles", "entity", "prefix", "bits"],
+                    [part.column("doc_id"), pa.array(np.diff(off)), pa.array(names), pa.array(second), cut(flat, at), pa.array(maps, pa.binary())],
+                    names=["doc_id", "n_shingles", "entity", "second", "prefix", "bits"],
                 )
         give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, entity long, prefix binary, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, entity long, second long, prefix binary, bits binary")
 
 
-def entity_names(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([U64(0)], np.cumsum(mix(sets), dtype=np.uint64)))
-    return mix(total[off[1:]] - total[off[:-1]] + np.diff(off).astype(np.uint64))
+def entity_names(sets: np.ndarray, off: np.ndarray, name_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, from sums of different hashes of its shingles; the first has ``name_bits`` bits."""
 
+    def sums(values: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([U64(0)], np.cumsum(mix(values), dtype=np.uint64)))
+        return mix(total[off[1:]] - total[off[:-1]] + np.diff(off).astype(np.uint64))
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """block, entity, next (its neighbour in the block), weight (shingles with this block)."""
-    n_buckets = 2 * partitions_of(rows.sparkSession)
+    return (sums(sets) >> U64(64 - name_bits)).astype(np.int64), sums(~sets).astype(np.int64)
+
+
+def apart(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """rows without ``second``, where entities in ``clashes`` are renamed by both hashes of their set.
+
+    Of n different sets about n^2 / 2^65 pairs clash, so the table of clashes is broadcast: for 10^11
+    sets it has some 300 rows."""
+    if clashes is not None:
+        rows = rows.join(F.broadcast(clashes.withColumn("clash", F.lit(True))), "entity", "left")
+        rows = rows.withColumn("entity", F.when(F.col("clash"), F.xxhash64("entity", "second")).otherwise(F.col("entity"))).drop("clash")
+    return rows.drop("second")
+
+
+def blocks(rows: DataFrame, threshold: int) -> DataFrame:
+    """block, entity, next (its neighbour in the block), weight (shingles with this block).
+
+    Shingles are dealt into buckets, and buckets to tasks, whose numbers grow with the first
+    shingles of all documents."""
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * threshold / 100) + 1
+    n_tokens = int(rows.where("n_shingles > 0").agg(F.sum(first)).first()[0] or 0)
+    partitions = partitions_of(rows.sparkSession)
+    n_tasks = max(partitions, n_tokens // TASK_TOKENS)
+    n_buckets = max(2 * partitions, n_tokens // BUCKET_TOKENS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +191,9 @@ def blocks(rows: DataFrame) -> DataFrame:
             owner = np.repeat(batch.column("entity").to_numpy(), np.diff(off) // 8)
             bucket = (mix(tokens) % U64(n_buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-            has = np.flatnonzero(np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(has), cut(tokens[by], at).take(pa.array(has)), cut(owner[by], at).take(pa.array(has))], names=["bucket", "tokens", "owners"])
+            has, at = np.unique(bucket[by], return_index=True)
+            at = np.append(at, len(by))
+            yield pa.RecordBatch.from_arrays([pa.array(has), cut(tokens[by], at), cut(owner[by], at)], names=["bucket", "tokens", "owners"])
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         tokens = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in pdf["tokens"]])
@@ -189,6 +220,7 @@ def blocks(rows: DataFrame) -> DataFrame:
         return pd.DataFrame({"block": np.repeat(names, size)[sel].astype(np.int64), "entity": owners[sel], "next": after[sel], "weight": chosen[sel]})
 
     packed = rows.where("n_shingles > 0").select("entity", "prefix").mapInArrow(pack, "bucket long, tokens binary, owners binary")
+    packed = packed.repartition(n_tasks, "bucket") if n_tasks > partitions else packed
     grouped = packed.groupBy("bucket").applyInPandas(group, "block long, entity long, next long, weight long")
     return grouped.groupBy("block", "entity", "next").agg(F.sum("weight").alias("weight"))
 
@@ -326,29 +358,34 @@ def _children(x, y, down_x: bool, down_y: bool, n_x: int, n_y: int):
 
 def tree_pairs(block_rows: DataFrame, known: DataFrame, labels: DataFrame, threshold: int, slack: int) -> DataFrame:
     """a, b, sure: pairs of entities of different components that the trees can't rule out."""
-    labelled = block_rows.select("block", "entity", "weight").join(labels.withColumnRenamed("node", "entity"), "entity", "left").withColumn("label", F.coalesce("root", "entity")).drop("root")
-    open_ = labelled.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
-    rows = materialize(labelled.join(open_.select("block", "n"), "block"), "open")
+    spark = block_rows.sparkSession
+    labelled = block_rows.select("block", "entity", "weight").join(labels.withColumnRenamed("node", "entity"), "entity", "left").join(known.select("entity", "n_shingles"), "entity")
+    labelled = materialize(labelled.withColumn("label", F.coalesce("root", "entity")).drop("root"), "labelled")
+    open_ = labelled.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("mass"))
+    open_ = materialize(open_.where("lo != hi").select("block", "n", "mass"), "open_blocks")
+    rows = materialize(join_groups(labelled, open_, ["block"], "n", labelled.count(), HOT_BLOCK).where("n IS NOT NULL"), "open")
     # small blocks: partners by the number of first shingles that two entities share
-    small = rows.where(F.col("n") <= SMALL).select("block", "entity", "label", "weight")
-    other = small.select("block", F.col("entity").alias("b"), F.col("label").alias("other"))
-    shared = small.withColumnRenamed("entity", "a").join(other, "block").where("a < b AND label != other").groupBy("a", "b").agg(F.sum("weight").alias("k"))
-    size = known.select("entity", "n_shingles")
-    sized = shared.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
+    small = rows.where(F.col("n") <= SMALL).select("block", "entity", "label", "n_shingles", "weight")
+    other = small.select("block", F.col("entity").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"))
+    sides = small.toDF("block", "a", "label_a", "n_a", "weight").join(other, "block")
     most = F.greatest("n_a", "n_b")
+    sides = sides.where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= threshold * most))
+    shared = sides.groupBy("a", "b", "label_a", "label_b", "n_a", "n_b").agg(F.sum("weight").alias("k"))
     later = F.ceil(most * threshold / 100) - 1  # shingles behind the first ones
-    sized = sized.where((100 * F.least("n_a", "n_b") >= threshold * most) & ((F.col("k") + later) * (100 + threshold) >= threshold * (F.col("n_a") + F.col("n_b"))))
-    sized = materialize(sized, "counted")
-    ends = sized.select(F.col("a").alias("block"), F.lit(1).alias("own"), F.col("b").alias("entity")).unionByName(sized.select(F.col("a").alias("block"), F.lit(0).alias("own"), F.col("a").alias("entity")).distinct())
-    ends = ends.join(labels.withColumnRenamed("node", "entity"), "entity", "left").withColumn("label", F.coalesce("root", "entity")).drop("root")
-    buckets = max(partitions_of(block_rows.sparkSession), sized.count() // TASK_ROWS)
-    stars = ends.select(F.pmod("block", F.lit(buckets)).alias("bucket"), F.lit(0).alias("i"), F.lit(1).alias("j"), "block", "own", "entity", "label")
-    # a block of more than CHUNK entities is dealt into parts, and each pair of parts is a group
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
+    sized = materialize(shared.where((F.col("k") + later) * (100 + threshold) >= threshold * (F.col("n_a") + F.col("n_b"))), "counted")
+    ends = sized.select(F.col("a").alias("block"), F.lit(1).alias("own"), F.col("b").alias("entity"), F.col("label_b").alias("label"))
+    ends = ends.unionByName(sized.select(F.col("a").alias("block"), F.lit(0).alias("own"), F.col("a").alias("entity"), F.col("label_a").alias("label")).distinct())
+    # groups of a task follow the rows and the shingles that are left
+    groups = lambda n, mass: max(partitions_of(spark), int(n or 0) // TASK_ROWS, int(mass or 0) // TASK_SHINGLES)
+    few = groups(*sized.agg(F.count(F.lit(1)), F.sum(F.col("n_a") + F.col("n_b"))).first())
+    many = groups(*rows.where(F.col("n") > SMALL).agg(F.count(F.lit(1)), F.sum("n_shingles")).first())
+    stars = ends.select(F.pmod("block", F.lit(few)).alias("bucket"), F.lit(0).alias("i"), F.lit(1).alias("j"), "block", "own", "entity", "label")
+    # a block of more than CHUNK entities or CHUNK_SHINGLES shingles is dealt into parts, and each pair of parts is a group
+    parts = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("mass") / CHUNK_SHINGLES)).cast("int")
     large = rows.where(F.col("n") > SMALL).select("block", "entity", "label", parts.alias("parts"))
     large = large.withColumn("own", F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     large = large.select(
-        F.when(F.col("parts") == 1, F.pmod("block", F.lit(buckets))).otherwise(F.col("block")).alias("bucket"),
+        F.when(F.col("parts") == 1, F.pmod("block", F.lit(many))).otherwise(F.col("block")).alias("bucket"),
         F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "block", "own", "entity", "label",
     )
     rows = stars.withColumn("star", F.lit(True)).unionByName(large.withColumn("star", F.lit(False))).join(known, "entity")
@@ -394,7 +431,7 @@ def fitting_pairs(pairs: DataFrame, known: DataFrame, threshold: int) -> DataFra
     return sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int, threshold: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int, threshold: int, name_bits: int = 64, clashes: DataFrame | None = None) -> DataFrame:
     """The pairs that link, by their whole sets.
 
     Sets are made again, from one document of each entity that occurs in a pair; a filter
@@ -416,13 +453,13 @@ def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int
             batch = batch.filter(pa.array((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for part in slices(batch):
                 sets, off = shingle_sets(*word_hashes(*flat_bytes(part.column("text"))), width)
-                names = entity_names(sets, off).astype(np.int64)
-                _, first = np.unique(names, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names[first]), cut(sets, off).take(pa.array(first))], names=["entity", "shingles"])
+                names, second = entity_names(sets, off, name_bits)
+                _, first = np.unique(np.column_stack((names, second)), axis=0, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names[first]), pa.array(second[first]), cut(sets, off).take(pa.array(first))], names=["entity", "second", "shingles"])
         give_back()
 
-    made = docs.select("text", where.alias("at")).mapInArrow(make, "entity long, shingles binary")
-    sets = materialize(made.join(wanted.select("entity"), "entity", "left_semi").dropDuplicates(["entity"]), "sets")
+    made = docs.select("text", where.alias("at")).mapInArrow(make, "entity long, second long, shingles binary")
+    sets = materialize(apart(made, clashes).join(wanted.select("entity"), "entity", "left_semi").dropDuplicates(["entity"]), "sets")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -447,26 +484,36 @@ def joined_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(over.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75, name_bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.  Fewer ``name_bits`` give more clashes of
+    names, which are resolved, and the same result."""
     docs = docs.select("doc_id", "text")
-    rows = materialize(entities(docs, width, threshold, shingle_counts(docs, width)), "entities")
-    block_rows = materialize(blocks(rows), "blocks")
-    one = rows.where("n_shingles > 0").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    one = materialize(one, "entity_docs")
+
+    def per_entity(rows: DataFrame, *more) -> DataFrame:
+        return materialize(rows.where("n_shingles > 0").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *more), "entity_docs")
+
+    rows = materialize(entities(docs, width, threshold, shingle_counts(docs, width), name_bits), "entities")
+    one = per_entity(rows, F.min("second").alias("lo"), F.max("second").alias("hi"))
+    clashes = one.where("lo != hi").select("entity")
+    clashes = None if clashes.isEmpty() else materialize(clashes, "clashes")
+    if clashes is not None:
+        rows = materialize(apart(rows, clashes), "entities")
+        one = per_entity(rows)
+    one = one.select("entity", "doc_id", "copies")
+    block_rows = materialize(blocks(rows, threshold), "blocks")
     first_doc = one.select("entity", "doc_id")
     in_blocks = block_rows.select("entity").distinct()
     known = materialize(rows.select("entity", "n_shingles", "bits").join(in_blocks, "entity", "left_semi").groupBy("entity").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "bitmaps")
 
     near = materialize(fitting_pairs(neighbour_pairs(block_rows), known, threshold), "near")
-    links = materialize(verified(near, docs, first_doc, width, threshold), "links")
+    links = materialize(verified(near, docs, first_doc, width, threshold, name_bits, clashes), "links")
     labels = components(links)
     slack = SLACK
     while True:
         rest = materialize(tree_pairs(block_rows, known, labels, threshold, slack), "pairs")
         if rest.isEmpty():
             break
-        more = materialize(verified(rest.select("a", "b").distinct(), docs, first_doc, width, threshold), "links")
+        more = materialize(verified(rest.select("a", "b").distinct(), docs, first_doc, width, threshold, name_bits, clashes), "links")
         labels = joined_labels(labels, more)
         if rest.where("sure").join(more, ["a", "b"], "left_anti").isEmpty():
             break

@@ -111,6 +111,18 @@ def test_ngram_join_in_parts(spark, monkeypatch):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize("small", [32, 1])
+def test_ngram_join_clashes_and_sizes(spark, monkeypatch, small):
+    """Clashing names of sets, many buckets and tasks, hot blocks by broadcast and blocks dealt by their shingles."""
+    from panelmill.llm import ngram_join
+
+    for name, value in {"BUCKET_TOKENS": 16, "TASK_TOKENS": 512, "TASK_ROWS": 8, "TASK_SHINGLES": 256, "CHUNK_SHINGLES": 512, "HOT_BLOCK": 4, "SMALL": small}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = near_copies(seed=7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), name_bits=5).collect()}
+    assert got == components(rows)
+
+
 def test_quality(docs, labels, odd, empty):
     from panelmill.llm.quality import accepted, quality_scores
 
