@@ -41,6 +41,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table that one task writes.
+FILE_ROWS = 250_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df of few numbers a row and at most about ``rows`` rows, with tasks and files in their proportion,
+    however many partitions a shuffle has."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing will read again."""
     spark = table.sparkSession

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut, give_back, join_groups, materialize, partitions_of, slices, sorted_out
+from .common import cut, few_files, give_back, join_groups, materialize, partitions_of, slices, sorted_out
 from .components import components
 from .textblocks import flat_bytes, mix, shingle_sets, word_hashes
 
@@ -101,8 +101,8 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
 
     sums = docs.select("text").mapInArrow(count, "part long, counts binary").repartition(parts, "part").mapInArrow(add, "part long, counts binary")
     out = np.zeros((parts, SKETCH // parts), dtype=np.int64)
-    for r in sums.toLocalIterator():  # SKETCH numbers
-        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    for part, numbers in sums.toPandas().itertuples(index=False):  # SKETCH numbers, in one job
+        out[part] = np.frombuffer(numbers, dtype=np.int64)
     return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
 
 
@@ -362,8 +362,9 @@ def tree_pairs(block_rows: DataFrame, known: DataFrame, labels: DataFrame, thres
     labelled = block_rows.select("block", "entity", "weight").join(labels.withColumnRenamed("node", "entity"), "entity", "left").join(known.select("entity", "n_shingles"), "entity")
     labelled = materialize(labelled.withColumn("label", F.coalesce("root", "entity")).drop("root"), "labelled")
     open_ = labelled.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("mass"))
-    open_ = materialize(open_.where("lo != hi").select("block", "n", "mass"), "open_blocks")
-    rows = materialize(join_groups(labelled, open_, ["block"], "n", labelled.count(), HOT_BLOCK).where("n IS NOT NULL"), "open")
+    n_rows = labelled.count()
+    open_ = materialize(few_files(open_.where("lo != hi").select("block", "n", "mass"), n_rows), "open_blocks")
+    rows = materialize(join_groups(labelled, open_, ["block"], "n", n_rows, HOT_BLOCK).where("n IS NOT NULL"), "open")
     # small blocks: partners by the number of first shingles that two entities share
     small = rows.where(F.col("n") <= SMALL).select("block", "entity", "label", "n_shingles", "weight")
     other = small.select("block", F.col("entity").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"))
@@ -442,8 +443,8 @@ def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, width: int
     where = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 64 - FILTER_BITS.bit_length() + 1)
     bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     per_byte = wanted.select(F.floor(where / 8).alias("byte"), F.pow(F.lit(2), where % 8).cast("int").alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bit"))
-    for r in per_byte.toLocalIterator():  # at most FILTER_BITS / 8 rows
-        bits[r["byte"]] = r["bit"]
+    found = per_byte.toPandas()  # at most FILTER_BITS / 8 rows of two numbers, in one job
+    bits[found["byte"].to_numpy(dtype=np.int64)] = found["bit"].to_numpy(dtype=np.uint8)
     shared = spark.sparkContext.broadcast(bits)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,9 +480,9 @@ def joined_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
     end = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c))
     known = lambda c: labels.toDF(c, f"root_{c}")
     between = more.join(known("a"), "a", "left").join(known("b"), "b", "left").select(end("a").alias("a"), end("b").alias("b"))
-    over = components(materialize(between, "between"))
+    over = components(materialize(few_files(between, more.count()), "between"))
     moved = labels.join(over.toDF("root", "new"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-    return materialize(moved.unionByName(over.join(labels.select("node"), "node", "left_anti")), "labels")
+    return materialize(few_files(moved.unionByName(over.join(labels.select("node"), "node", "left_anti")), labels.count() + over.count()), "labels")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75, name_bits: int = 64) -> DataFrame:
