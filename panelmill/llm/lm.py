@@ -163,10 +163,8 @@ def questions(blocks: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 b = Block(row["train"], row["lens"], row["words"], row["tokens"])
                 q = b.questions(buckets, shared.value)
                 out = []
-                for i in range(buckets):
+                for i in np.flatnonzero(np.diff(q["state_at"]) + np.diff(q["pair_at"])).tolist():
                     s, p = slice(*q["state_at"][i : i + 2]), slice(*q["pair_at"][i : i + 2])
-                    if s.start == s.stop and p.start == p.stop:
-                        continue
                     heads, sizes = _runs(q["head"][p])
                     out.append((i, row["block"], b.states[q["state_order"][s]].tobytes(), q["c"][s].astype(np.uint32).tobytes(), b.states[heads].tobytes(), sizes.astype(np.uint32).tobytes(), b.states[q["tail"][p]].tobytes(), q["k"][p].astype(np.uint32).tobytes()))
                 cols = list(zip(*out))

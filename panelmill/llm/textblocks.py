@@ -12,11 +12,6 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INV = pow(_BASE, -1, 1 << 64)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (two multiply-xorshift rounds)."""
     h = h ^ (h >> U64(31))
@@ -36,11 +31,8 @@ def _byte_codes() -> tuple[np.ndarray, np.ndarray]:
 
 
 _CODES, _BLANK = _byte_codes()
-_PIECE = 1 << 16
-_POW = np.ones(_PIECE + 1, dtype=np.uint64)
-_POW[1:] = np.cumprod(np.full(_PIECE, _BASE, dtype=np.uint64))
-_INVPOW = np.ones(_PIECE + 1, dtype=np.uint64)
-_INVPOW[1:] = np.cumprod(np.full(_PIECE, _INV, dtype=np.uint64))
+#: Bytes whose values are in memory at a time.
+_PIECE = 1 << 18
 
 
 def flat_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,33 +74,30 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of raw[start:end] for sorted, disjoint spans of any length."""
-    out = np.zeros(len(starts), dtype=np.uint64)
-    at, n = 0, len(starts)
-    while at < n:
-        lo = starts[at]
-        upto = max(int(np.searchsorted(ends, lo + _PIECE, side="right")), at)
-        if upto == at:  # one word longer than a piece
-            out[at] = _long_hash(raw[starts[at] : ends[at]])
-            at += 1
-            continue
-        hi = ends[upto - 1]
-        total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(_CODES[raw[lo:hi]] * _POW[: hi - lo], out=total[1:])
-        s, e = starts[at:upto] - lo, ends[at:upto] - lo
-        out[at:upto] = (total[e] - total[s]) * _INVPOW[s]
-        at = upto
-    return mix(out + (ends - starts).astype(np.uint64))
-
-
-def _long_hash(piece: np.ndarray) -> np.uint64:
-    value, shift = 0, 1
-    for i in range(0, len(piece), _PIECE):
-        part = piece[i : i + _PIECE]
-        with np.errstate(over="ignore"):
-            value = (value + shift * int((_CODES[part] * _POW[: len(part)]).sum(dtype=np.uint64))) & _MASK
-        shift = (shift * pow(_BASE, len(part), 1 << 64)) & _MASK
-    return U64(value)
+    """Hash of raw[start:end] for sorted, disjoint spans of any length.
+
+    Each (byte, place in the span) has a mixed 64-bit value of its own and a span has the sum of them; so
+    no algebra between places exists by which words built on a pattern, such as Thue-Morse words, would clash."""
+    n = len(starts)
+    first, last = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    carry, anchor = U64(0), 0
+    for lo in range(0, len(raw) if n else 0, _PIECE):
+        part = raw[lo : lo + _PIECE]
+        hi = lo + len(part)
+        s0, s1 = np.searchsorted(starts, [lo, hi])
+        since = np.full(len(part), anchor, dtype=np.int64)
+        since[starts[s0:s1] - lo] = starts[s0:s1]
+        since = np.maximum.accumulate(since)
+        anchor = int(since[-1])
+        places = (np.arange(lo, hi, dtype=np.int64) - since).astype(np.uint64)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(mix(_CODES[part] + places * U64(0x9E3779B97F4A7C15)), out=total[1:])
+        total += carry  # sums wrap modulo 2^64, so differences stay right
+        first[s0:s1] = total[starts[s0:s1] - lo]
+        e0, e1 = np.searchsorted(ends, [lo + 1, hi + 1])
+        last[e0:e1] = total[ends[e0:e1] - lo]
+        carry = total[-1]
+    return mix(last - first + (ends - starts).astype(np.uint64))
 
 
 def shingle_sets(words: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +118,7 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple
     h = np.zeros(n, dtype=np.uint64)
     for k in range(width):
         shifted = np.zeros(n, dtype=np.uint64)
-        shifted[: n - k] = words[k:]
+        shifted[: max(n - k, 0)] = words[k:]
         h = h * U64(0xD6E8FEB86659FD93) + np.where(idx + k < pos_end, shifted, U64(0))
     keep = full | ((idx == np.repeat(counts[:-1], lens)) & (np.repeat(lens, lens) < width))
     short = np.minimum(np.repeat(lens, lens), width).astype(np.uint64)
