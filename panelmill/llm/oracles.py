@@ -39,6 +39,34 @@ FROM t JOIN g USING (text)
 """
 
 
+#: The rates of op12 are those of quality_rules.RATES.
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+w AS (SELECT rid, i, ws[i] AS w, CASE WHEN i + 2 <= len(ws) THEN array_to_string(ws[i:i + 2], ' ') END AS three FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM t)),
+again AS (SELECT rid, three FROM w WHERE three IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+places AS (SELECT w.rid, unnest([i, i + 1, i + 2]) AS i FROM w JOIN again USING (rid, three)),
+repeats AS (SELECT rid, count(DISTINCT i) AS n FROM places GROUP BY rid),
+c AS (SELECT d.*, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT), 0) AS word_chars, n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words FROM d JOIN t USING (rid) LEFT JOIN repeats USING (rid)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS r1, CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS r2,
+  CASE WHEN n_words > 0 THEN 1000 * n_dup_lines // n_words ELSE 0 END AS r3, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS r4 FROM c),
+v AS (SELECT lang, source, unnest(['r1', 'r2', 'r3', 'r4']) AS rate, unnest([r1, r2, r3, r4]) AS v, unnest([150, 12, 8, 45]) AS unit FROM j WHERE NOT base_failed),
+b AS (SELECT lang, source, rate, unit, (v >> greatest(length(bin(v)) - 9, 0)) << greatest(length(bin(v)) - 9, 0) AS b FROM v),
+levels AS (SELECT 'source' AS level, lang, source, rate, unit, b FROM b UNION ALL SELECT 'lang', lang, NULL, rate, unit, b FROM b UNION ALL SELECT 'all', NULL, NULL, rate, unit, b FROM b),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY level, lang, source, rate ORDER BY b) AS upto, count(*) OVER (PARTITION BY level, lang, source, rate) AS size FROM levels),
+q AS (SELECT level, lang, source, rate, unit, max(size) AS size, min(b) FILTER (4 * upto >= size) AS q1, min(b) FILTER (4 * upto >= 3 * size) AS q3 FROM ranked GROUP BY ALL),
+h AS (SELECT level, lang, source, max(size) AS size, min(q1 - 8 * greatest(q3 - q1, unit)) FILTER (rate = 'r1') AS low1, max(q3 + 8 * greatest(q3 - q1, unit)) FILTER (rate = 'r1') AS high1,
+  max(q3 + 8 * greatest(q3 - q1, unit)) FILTER (rate = 'r2') AS high2, max(q3 + 8 * greatest(q3 - q1, unit)) FILTER (rate = 'r3') AS high3, max(q3 + 8 * greatest(q3 - q1, unit)) FILTER (rate = 'r4') AS high4 FROM q GROUP BY ALL),
+k AS (SELECT j.*, CASE WHEN s.size >= 200 THEN s WHEN l.size >= 200 THEN l ELSE a END AS h FROM j LEFT JOIN h s ON s.level = 'source' AND s.lang IS NOT DISTINCT FROM j.lang AND s.source IS NOT DISTINCT FROM j.source
+  LEFT JOIN h l ON l.level = 'lang' AND l.lang IS NOT DISTINCT FROM j.lang LEFT JOIN h a ON a.level = 'all')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(r1 >= h.low1 AND r1 <= h.high1 AND r2 <= h.high2 AND r3 <= h.high3 AND r4 <= h.high4, FALSE) AS kept FROM k
+"""
+
+
 def op8(shards: int = 40, seed: int = 0) -> str:
     """The walk is a recursion over the rows whose number still lies outside."""
     sql, keys = "SELECT *, v % a AS l0, v // a AS r0 FROM {0}", rounds(seed)

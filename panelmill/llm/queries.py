@@ -77,6 +77,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import COUNTS, judged
+
+    return judged(_table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_feistel_sharding": op8_feistel_sharding,
         "op9_weak_supervision_pii": op9_weak_supervision_pii,
         "op10_exact_dedup": op10_exact_dedup,
+        "op12_quality_rules": op12_quality_rules,
     }
 
 
@@ -100,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_topk": oracles.OP3,
         "op8_feistel_sharding": oracles.op8(),
         "op10_exact_dedup": oracles.OP10,
+        "op12_quality_rules": oracles.OP12,
     }
