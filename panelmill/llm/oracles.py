@@ -67,6 +67,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op13() -> str:
+    """The pass is a recursion over turns; each step has every edit of a turn with every insert after it."""
+    crc = CRC.format(text="(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")
+    return rf"""
+WITH RECURSIVE raw AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS h FROM conversations, ({CRC_TABLE})),
+dam AS (SELECT rid, conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM raw WHERE h <> 0),
+f AS (SELECT *, row_number() OVER w AS i, lag(role[1]) OVER w || role[1] AS two, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid, copy) > 1 AS again,
+  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM dam WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), rid, copy)),
+g AS (SELECT *, last = '' AS blank, last <> '' AND again AS dup, last NOT IN ('', '.', '!', '?') AND NOT again AS trunc FROM f),
+moves(s, letter, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+close(s, t, n, rep) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 1, 'user:'), (1, 2, 1, 'user:'), (3, 2, 1, 'user:'), (2, 3, 1, 'assistant:'), (0, 3, 2, 'user:' || chr(10) || 'assistant:'), (1, 3, 2, 'user:' || chr(10) || 'assistant:')),
+edits AS (
+  SELECT conv_id, i, s.s, s.s AS t, 3 AS c, 'D' AS e, NULL AS rep FROM g, (SELECT unnest(range(4)) AS s) s
+  UNION ALL SELECT conv_id, i, s, t, trunc::INT, 'K', role || ':' || text FROM g JOIN moves ON role[1] = letter WHERE NOT blank AND NOT dup
+  UNION ALL SELECT conv_id, i, s, t, 2 + trunc::INT, 'R', CASE letter WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text FROM g JOIN moves ON role[1] <> letter AND letter <> 's' WHERE NOT blank AND NOT dup),
+v AS (
+  SELECT conv_id, 0 AS i, t AS s, 2 * n AS cost, repeat('I', n) AS audit, CASE WHEN n > 0 THEN close.rep END AS rep FROM (SELECT DISTINCT conv_id FROM raw) JOIN close ON close.s = 0
+  UNION ALL
+  SELECT conv_id, i, s, b.cost, b.audit, b.rep FROM (
+    SELECT v.conv_id, v.i + 1 AS i, close.t AS s, min(struct_pack(cost := v.cost + e.c + 2 * close.n, audit := v.audit || e.e || repeat('I', close.n),
+      rep := CASE WHEN e.rep IS NULL AND close.n = 0 THEN v.rep ELSE concat_ws(chr(10), v.rep, e.rep, CASE WHEN close.n > 0 THEN close.rep END) END)) AS b
+    FROM v JOIN edits e ON e.conv_id IS NOT DISTINCT FROM v.conv_id AND e.i = v.i + 1 AND e.s = v.s JOIN close ON close.s = e.t GROUP BY ALL)),
+n AS (SELECT conv_id, max(i) AS last, sum(blank::INT) AS blank, sum(dup::INT) AS duplicate, sum(trunc::INT) AS truncated, sum(coalesce(two NOT IN ('su', 'ua', 'au'), FALSE)::INT) AS illegal,
+  coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM g GROUP BY conv_id),
+best AS (SELECT v.conv_id, min(struct_pack(cost := cost, audit := audit, rep := rep)) AS b FROM v LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id WHERE v.i = coalesce(n.last, 0) AND v.s IN (0, 3) GROUP BY v.conv_id)
+SELECT best.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(b.cost AS BIGINT) AS cost, b.audit AS audit, sha256(coalesce(b.rep, '')) AS repaired_sha256
+FROM best LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
 def op8(shards: int = 40, seed: int = 0) -> str:
     """The walk is a recursion over the rows whose number still lies outside."""
     sql, keys = "SELECT *, v % a AS l0, v // a AS r0 FROM {0}", rounds(seed)

@@ -83,6 +83,12 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, repaired_conversations
+
+    return repaired_conversations(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_weak_supervision_pii": op9_weak_supervision_pii,
         "op10_exact_dedup": op10_exact_dedup,
         "op12_quality_rules": op12_quality_rules,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -108,4 +115,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_feistel_sharding": oracles.op8(),
         "op10_exact_dedup": oracles.OP10,
         "op12_quality_rules": oracles.OP12,
+        "op13_conversation_repair": oracles.op13(),
     }
