@@ -77,6 +77,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import top_documents
+
+    return top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import COUNTS, judged
 
@@ -101,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_feistel_sharding": op8_feistel_sharding,
         "op9_weak_supervision_pii": op9_weak_supervision_pii,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_threshold_search": op11_threshold_search,
         "op12_quality_rules": op12_quality_rules,
         "op13_conversation_repair": op13_conversation_repair,
     }
@@ -114,6 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_topk": oracles.OP3,
         "op8_feistel_sharding": oracles.op8(),
         "op10_exact_dedup": oracles.OP10,
+        "op11_threshold_search": oracles.OP11,
         "op12_quality_rules": oracles.OP12,
         "op13_conversation_repair": oracles.op13(),
     }

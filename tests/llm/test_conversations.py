@@ -29,7 +29,7 @@ def faults(rows):
 def exhaustive(rows):
     """The cheapest (cost, audit, text) over every choice of edits with at most two inserts in a gap."""
     best = None
-    for edits in itertools.product("DKuа".replace("а", "a"), repeat=len(rows)):
+    for edits in itertools.product("DKua", repeat=len(rows)):
         if any(e != "D" and r[2] in ("blank", "duplicate") for e, r in zip(edits, rows)):
             continue
         for gaps in itertools.product(["", "u", "a", "ua", "au"], repeat=len(rows) + 1):
