@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..sources.store import cut_lineage
+
 
 def euclidean(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
@@ -41,7 +43,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, width: float | None = Non
     out, todo = None, left
     while True:
         order = W.Window.partitionBy("i").orderBy("h", "j")
-        got = near(todo, right, width).where("i != j").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        got = cut_lineage(near(todo, right, width).where("i != j").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
         # within one cell around a place, everything up to ``width`` has been seen
         sure = got.groupBy("i").agg(F.count(F.lit(1)).alias("m"), F.max("h").alias("far")).where((F.col("m") == k) & (F.col("far") <= width))
         if width > span:
@@ -51,7 +53,9 @@ def nearest(left: DataFrame, right: DataFrame, k: int, width: float | None = Non
         out = done if out is None else out.unionByName(done)
         if width > span:
             return out.select("i", "j", "h", "rank")
-        todo = todo.join(sure.select(F.col("i").alias("loc")), "loc", "left_anti")
+        todo = cut_lineage(todo.join(sure.select(F.col("i").alias("loc")), "loc", "left_anti"))
+        if todo.isEmpty():
+            return out.select("i", "j", "h", "rank")
         width *= 4
 
 

@@ -138,6 +138,31 @@ def cell_sums(panel: DataFrame) -> DataFrame:
     return panel.groupBy("model", "t").agg(F.count(F.when(ok, 1)).cast("double").alias("n"), total(z).alias("sz"), total(x).alias("sx"), total(z * z).alias("szz"), total(z * x).alias("szx"), total(x * x).alias("sxx"))
 
 
+def smooth_on_sums(n, sz, sx, szz, szx, sxx, p: dict) -> dict:
+    """Smoothed means m and variances c of the states from the one before the first step on, the smoother's
+    gain and the loglik, of one model from the sums of its cells by step."""
+    b0, b1, v, g, w = (p[c] for c in ("b0", "b1", "v", "g", "w"))
+    s = sz - b0 * n - b1 * sx
+    q = szz - 2 * b0 * sz - 2 * b1 * szx + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx
+    m, c, ahead, ll = [p["m0"]], [p["c0"]], [0.0], 0.0
+    for t in range(len(n)):
+        a, r = g * m[t], g * g * c[t] + w
+        ahead.append(r)
+        if n[t] > 0:
+            spread, e = v + n[t] * r, s[t] - n[t] * a
+            ee = q[t] - 2 * a * s[t] + n[t] * a * a
+            ll -= 0.5 * (n[t] * LOG_2PI + (n[t] - 1) * np.log(v) + np.log(spread) + (ee - r * e * e / spread) / v)
+            a, r = a + r * e / spread, r * v / spread
+        m.append(a)
+        c.append(r)
+    m, c, ahead = np.array(m), np.array(c), np.array(ahead)
+    gain = c[:-1] * g / ahead[1:]
+    ms, cs = m.copy(), c.copy()
+    for t in range(len(n) - 1, -1, -1):
+        ms[t], cs[t] = m[t] + gain[t] * (ms[t + 1] - g * m[t]), c[t] + gain[t] ** 2 * (cs[t + 1] - ahead[t + 1])
+    return {"m": ms, "c": cs, "gain": gain, "loglik": float(ll)}
+
+
 def _em_on_sums(n, sz, sx, szz, szx, sxx, p: dict, tol: float, most: int, accelerate: bool) -> tuple[dict, float, int, bool]:
     """em_step until the loglik changes by less than tol: (parameters, their loglik, steps, converged)."""
     steps, logs = len(n), ("v", "w")
@@ -146,26 +171,8 @@ def _em_on_sums(n, sz, sx, szz, szx, sxx, p: dict, tol: float, most: int, accele
     unpack = lambda u: {c: float(np.exp(x)) if c in logs else float(x) for c, x in zip(names, u)} | {"c0": p["c0"]}
 
     def step(u: np.ndarray) -> tuple[np.ndarray, float]:
-        q = unpack(u)
-        b0, b1, v, g, w = (q[c] for c in ("b0", "b1", "v", "g", "w"))
-        s = sz - b0 * n - b1 * sx
-        qq = szz - 2 * b0 * sz - 2 * b1 * szx + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx
-        m, c, ahead, ll = [q["m0"]], [q["c0"]], [0.0], 0.0
-        for t in range(steps):
-            a, r = g * m[t], g * g * c[t] + w
-            ahead.append(r)
-            if n[t] > 0:
-                spread, e = v + n[t] * r, s[t] - n[t] * a
-                ee = qq[t] - 2 * a * s[t] + n[t] * a * a
-                ll -= 0.5 * (n[t] * LOG_2PI + (n[t] - 1) * np.log(v) + np.log(spread) + (ee - r * e * e / spread) / v)
-                a, r = a + r * e / spread, r * v / spread
-            m.append(a)
-            c.append(r)
-        m, c, ahead = np.array(m), np.array(c), np.array(ahead)
-        gain = c[:-1] * g / ahead[1:]
-        ms, cs = m.copy(), c.copy()
-        for t in range(steps - 1, -1, -1):
-            ms[t], cs[t] = m[t] + gain[t] * (ms[t + 1] - g * m[t]), c[t] + gain[t] ** 2 * (cs[t + 1] - ahead[t + 1])
+        f = smooth_on_sums(n, sz, sx, szz, szx, sxx, unpack(u))
+        ms, cs, gain, ll = f["m"], f["c"], f["gain"], f["loglik"]
         s11, s00, s10 = (ms[1:] ** 2 + cs[1:]).sum(), (ms[:-1] ** 2 + cs[:-1]).sum(), (ms[1:] * ms[:-1] + gain * cs[1:]).sum()
         state, cells = ms[1:], n.sum()
         y, yy, yx = (sz - n * state).sum(), (szz - 2 * state * sz + n * state**2).sum(), (szx - state * sx).sum()
@@ -174,7 +181,7 @@ def _em_on_sums(n, sz, sx, szz, szx, sxx, p: dict, tol: float, most: int, accele
         slope = sxy / spread_x if fits else 0.0
         level = (y - slope * sx.sum()) / cells if fits else 0.0  # 0, as in em_step, where x does not vary
         new_g = s10 / s00
-        return pack({"b0": level, "b1": slope, "v": max((syy - slope * sxy) / cells + (n * cs[1:]).sum() / cells, 1e-10), "g": new_g, "w": max((s11 - new_g * s10) / steps, 1e-10), "m0": ms[0]}), float(ll)
+        return pack({"b0": level, "b1": slope, "v": max((syy - slope * sxy) / cells + (n * cs[1:]).sum() / cells, 1e-10), "g": new_g, "w": max((s11 - new_g * s10) / steps, 1e-10), "m0": ms[0]}), ll
 
     u, ll, calls, done = (squared if accelerate else plain)(step, pack(p), tol, most)
     return unpack(u), ll, calls, done
