@@ -1,9 +1,7 @@
-"""Designs of lagged panels and tests by location."""
+"""Designs of lagged panels and summaries of their tests."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -32,52 +30,18 @@ def lag_design(cases: DataFrame, lags: int) -> DataFrame:
     return cases.select("loc", "t", "y", "presample", *cols).where("NOT presample").drop("presample")
 
 
-def station_tests(design: DataFrame, response: str, columns: list[str], blocks: dict[str, list[str]]) -> DataFrame:
-    """loc, block, q, n, k, f, p_f, w_hc1, p_hc1: whether the coefficients of a block are 0, for each
-    location by least squares with an intercept: F test, and Wald test with HC1 covariance.
-
-    A task sees the time steps of one location.  Columns that depend on those before are left
-    out; locations without spare observations are left out, too."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.dropna(subset=[response, *columns]).sort_values("t")
-        names = ["1", *columns]
-        x, y = np.column_stack((np.ones(len(d)), d[columns].to_numpy(dtype=float))), d[response].to_numpy(dtype=float)
-        keep: list[int] = []
-        for j in range(x.shape[1]):  # the columns that the ones before do not span
-            rest = x[:, j] - (x[:, keep] @ np.linalg.lstsq(x[:, keep], x[:, j], rcond=None)[0] if keep else 0)
-            if len(d) and np.linalg.norm(rest) > 1e-7 * max(np.linalg.norm(x[:, j]), 1e-300):
-                keep.append(j)
-        n, k, out = len(d), len(keep), []
-        if n > k > 0:
-            z = x[:, keep]
-            a = np.linalg.inv(z.T @ z)
-            b = a @ (z.T @ y)
-            e = y - z @ b
-            hc1 = a @ ((z * e[:, None]).T @ (z * e[:, None])) @ a * n / (n - k)
-            for block, own in blocks.items():
-                j = [keep.index(names.index(c)) for c in own if names.index(c) in keep]
-                if j:
-                    f = float(b[j] @ np.linalg.solve(a[np.ix_(j, j)], b[j]) / (e @ e / (n - k) * len(j)))
-                    wald = float(b[j] @ np.linalg.solve(hc1[np.ix_(j, j)], b[j]))
-                    out.append((key[0], block, len(j), n, k, f, distributions.f_upper(f, len(j), n - k), wald, distributions.upper_gamma(len(j) / 2, wald / 2)))
-        return pd.DataFrame(out, columns=["loc", "block", "q", "n", "k", "f", "p_f", "w_hc1", "p_hc1"])
-
-    return design.groupBy("loc").applyInPandas(run, "loc long, block string, q int, n long, k int, f double, p_f double, w_hc1 double, p_hc1 double")
-
-
-def panel_causality(tests: DataFrame) -> DataFrame:
-    """block, stations, q, reject_f_pct, reject_hc1_pct, zbar_f, p_f, zbar_hc1, p_hc1: the mean of the
-    locations' Wald statistics against its value without causality."""
-    s = tests.groupBy("block").agg(
-        F.count(F.lit(1)).alias("stations"), F.first("q").alias("q"), F.round(100 * F.avg((F.col("p_f") < 0.05).cast("double")), 1).alias("reject_f_pct"),
-        F.round(100 * F.avg((F.col("p_hc1") < 0.05).cast("double")), 1).alias("reject_hc1_pct"), F.avg(F.col("q") * F.col("f")).alias("wf"), F.avg("w_hc1").alias("wh"),
+def mean_wald(tests: DataFrame) -> DataFrame:
+    """block, groups, restrictions, share_f, share_robust, z_f, z_robust and their two-sided p: causality in a panel.
+
+    Without causality, restrictions times f and the robust form have mean ``restrictions`` and twice that as variance, so the mean over
+    groups is about normal; the shares tell how many groups reject at 5 %."""
+    forms = {"f": F.col("restrictions") * F.col("f"), "robust": F.col("robust")}
+    means = tests.groupBy("block").agg(
+        F.count(F.lit(1)).alias("groups"), F.max("restrictions").alias("restrictions"),
+        *[F.avg((F.col(f"{k}_p") < 0.05).cast("double")).alias(f"share_{k}") for k in forms], *[F.avg(w).alias(f"z_{k}") for k, w in forms.items()],
     )
-    zbar = lambda w: F.sqrt(F.col("stations") / (2 * F.col("q"))) * (F.col(w) - F.col("q"))
-    s = s.withColumn("zbar_f", zbar("wf")).withColumn("zbar_hc1", zbar("wh"))
-    for k in ("f", "hc1"):
-        s = s.withColumn(f"p_{k}", 2 * distributions.normal_cdf(-F.abs(f"zbar_{k}")))
-    return s.select("block", "stations", "q", "reject_f_pct", "reject_hc1_pct", "zbar_f", "p_f", "zbar_hc1", "p_hc1")
+    scaled = means.withColumns({f"z_{k}": (F.col(f"z_{k}") - F.col("restrictions")) / F.sqrt(2 * F.col("restrictions") / F.col("groups")) for k in forms})
+    return scaled.withColumns({f"p_{k}": 2 * distributions.normal_cdf(-F.abs(f"z_{k}")) for k in forms})
 
 
 def autocorrelations(panel: DataFrame, column: str, most: int) -> DataFrame:

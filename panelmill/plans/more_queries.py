@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..operators import design, inference, panel, partitions, penalty, spatial, statespace
+from ..operators import design, inference, leastsquares, panel, partitions, penalty, spatial, statespace
 from . import panel_queries as base
 
 LAGS = 4
@@ -55,15 +55,46 @@ def lag_design(spark, d):
 
 
 def _tests(spark, d):
-    return design.station_tests(design.lag_design(_cases(spark, d), 1), "y", ["own_1", "nb_1"], {"nb": ["nb_1"]})
+    return leastsquares.block_tests(design.lag_design(_cases(spark, d), 1), "loc", "y", ["own_1", "nb_1"], {"nb": ["nb_1"]})
 
 
 def station_tests(spark, d):
-    return _tests(spark, d).select("loc", "block", "q", "n", "k", F.round("f", 4).alias("f"), F.round("w_hc1", 4).alias("w_hc1"))
+    return _tests(spark, d).select("loc", "block", "restrictions", "cells", "rank", F.round("f", 4).alias("f"), F.round("robust", 4).alias("robust"))
 
 
 def causality_summary(spark, d):
-    return design.panel_causality(_tests(spark, d)).select("block", "stations", "q", F.round("zbar_f", 4).alias("zbar_f"), F.round("zbar_hc1", 4).alias("zbar_hc1"))
+    return design.mean_wald(_tests(spark, d)).select("block", "groups", "restrictions", F.round("z_f", 4).alias("z_f"), F.round("z_robust", 4).alias("z_robust"))
+
+
+#: Hypotheses on four lags of the own and of the neighbour's series, and on the neighbour's later lags.
+BLOCKS = {"own": [f"own_{k}" for k in range(1, LAGS + 1)], "nb": [f"nb_{k}" for k in range(1, LAGS + 1)], "nb_late": ["nb_3", "nb_4"], "both_late": ["own_3", "own_4", "nb_3", "nb_4"]}
+
+
+def _lag_tests(spark, d):
+    return leastsquares.block_tests(design.lag_design(_cases(spark, d), LAGS), "loc", "y", BLOCKS["own"] + BLOCKS["nb"], BLOCKS)
+
+
+def lag_tests(spark, d):
+    """F statistic of four blocks of lags for every location."""
+    return _lag_tests(spark, d).select("loc", "block", "restrictions", "cells", "rank", F.round("f", 4).alias("f"))
+
+
+def lag_causality(spark, d):
+    """The mean statistic of each block over the locations."""
+    return design.mean_wald(_lag_tests(spark, d)).select("block", "groups", "restrictions", F.round("z_f", 4).alias("z_f"))
+
+
+def unit_root_tests(spark, d):
+    """Augmented Dickey-Fuller test of every location's series."""
+    return leastsquares.unit_root(base.grid(spark, d), "z").select("loc", "n", "lags", F.round("t", 4).alias("t"), "reject")
+
+
+def stacked_tests(spark, d):
+    """Joint tests of two blocks of coefficients by group, and of all groups at once, around the mean of the draws."""
+    c = _coefficients(spark, d)
+    est = c.groupBy("g", "parameter").agg(F.avg("value").alias("value"))
+    asked = spark.createDataFrame([("nb", "nb_1"), ("nb", "nb_2"), ("own", "own_1"), ("own", "own_2"), ("all_four", "nb_1"), ("all_four", "nb_2"), ("all_four", "own_1"), ("all_four", "own_2")], "block string, parameter string")
+    return leastsquares.stacked_wald(est, c, asked).select("block", "regime", "q", F.round(F.log("statistic"), 2).alias("log_statistic"), "used")
 
 
 def partial_autocorrelations(spark, d):
@@ -233,7 +264,7 @@ def series(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ridge_fit, elastic_net, soft_threshold, em_iteration, case_frame, lag_design, station_tests, causality_summary, partial_autocorrelations, unchanged_share, long_run_multipliers,
+        ridge_fit, elastic_net, soft_threshold, em_iteration, case_frame, lag_design, station_tests, causality_summary, lag_tests, lag_causality, unit_root_tests, stacked_tests, partial_autocorrelations, unchanged_share, long_run_multipliers,
         named_parameters, stacked_cells, kernel_columns, location_scores, penalised_objective, regime_completion, inherited_regimes, parameter_counts, aligned_labels, extended_criteria,
         selection_by_criteria, recovery_metrics, design_cells, ordered_models, cv_folds, cross_validation, series,
     )

@@ -15,6 +15,17 @@ def _ridge(p: str) -> str:
     return f"((1 + {p}) * (1 + {p}) - c * c - a * (a * (1 + {p}) - b * c) + b * (a * c - b * (1 + {p})))"
 
 
+def _sweep(m: str, k: str, p: int | str) -> str:
+    """The p x p matrix m, a list row by row, swept on column k."""
+    i, j, d = f"((x - 1) // {p} + 1)", f"((x - 1) % {p} + 1)", f"{m}[({k} - 1) * {p} + {k}]"
+    row, column = f"{m}[({k} - 1) * {p} + {j}]", f"{m}[({i} - 1) * {p} + {k}]"
+    return f"list_transform(range(1, {p} * {p} + 1), lambda x: CASE WHEN {i} = {k} AND {j} = {k} THEN -1 / {d} WHEN {i} = {k} THEN {row} / {d} WHEN {j} = {k} THEN {column} / {d} ELSE {m}[x] - {column} * {row} / {d} END)"
+
+
+def _products(columns: list[str]) -> str:
+    return "[" + ", ".join(f"CAST(sum({a} * {b}) AS DOUBLE)" for a in columns for b in columns) + "]"
+
+
 _DESIGN = f"""{_CELLS}, {_PLACES},
 nn AS (SELECT i AS loc, j AS other FROM (SELECT a.loc AS i, b.loc AS j, row_number() OVER (PARTITION BY a.loc ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.loc) AS r FROM places a JOIN places b ON a.loc <> b.loc) WHERE r = 1),
 cases AS (SELECT nn.loc, other, g.t, g.z AS y, h.z AS x, row_number() OVER (PARTITION BY nn.loc ORDER BY g.t) AS nr, g.t < 4 AS presample FROM nn JOIN grid g ON g.loc = nn.loc JOIN grid h ON h.loc = nn.other AND h.t = g.t)"""
@@ -48,7 +59,40 @@ lf AS (SELECT loc, (row_number() OVER (ORDER BY (loc * 7919) % 1000003, loc) - 1
 fl AS (SELECT g.loc, g.t, lf, greatest(1, CAST(ceil((g.t - a) * 5 / CAST(ends.z - a AS DOUBLE)) AS INTEGER)) AS tf, (row_number() OVER (ORDER BY (g.loc * 7919 + g.t * 104729) % 1000003, g.loc, g.t) - 1) % 5 + 1 AS cf FROM grid g JOIN lf ON lf.loc = g.loc, ends),
 fo AS (SELECT fl.*, CAST(j AS INTEGER) AS fold FROM fl, range(1, 6) r(j))"""
 
+_LAGGED = ["one", *[f"own_{k}" for k in range(1, 5)], *[f"nb_{k}" for k in range(1, 5)], "y"]
+#: Block: columns of its own; the others are swept first.
+_BLOCKS = {"own": [2, 3, 4, 5], "nb": [6, 7, 8, 9], "nb_late": [8, 9], "both_late": [4, 5, 8, 9]}
+_LAG_TESTS = f"""{_DESIGN}, l AS (SELECT loc, t, y, presample, 1.0::DOUBLE AS one, {', '.join(f'lag(y, {k}) OVER w AS own_{k}, lag(x, {k}) OVER w AS nb_{k}' for k in range(1, 5))} FROM cases WINDOW w AS (PARTITION BY loc ORDER BY t)),
+ok AS (SELECT * FROM l WHERE NOT presample AND {' AND '.join(f'{c} IS NOT NULL' for c in _LAGGED)}),
+mats AS (SELECT loc, count(*) AS n, {_products(_LAGGED)} AS m FROM ok GROUP BY loc),
+blocks(block, ord, q) AS (VALUES {', '.join(f"('{b}', {[*[i for i in range(1, 10) if i not in own], *own]}, {len(own)})" for b, own in _BLOCKS.items())}),
+sw AS (SELECT loc, block, ord, q, n, 0 AS step, m, CAST(NULL AS DOUBLE) AS without FROM mats, blocks WHERE n > 9
+  UNION ALL SELECT loc, block, ord, q, n, step + 1, {_sweep('m', 'ord[step + 1]', 10)}, CASE WHEN step = 9 - q THEN m[100] ELSE without END FROM sw WHERE step < 9),
+tests AS (SELECT loc, block, q, n, (without - m[100]) / q / (m[100] / (n - 9)) AS f FROM sw WHERE step = 9)"""
+_ROOT = ["one", "before", *[f"d{k}" for k in range(1, 9)], "d"]
+
 ORACLES: dict[str, str] = {
+    "lag_tests": f"WITH RECURSIVE {_LAG_TESTS} SELECT loc, block, CAST(q AS INTEGER) AS restrictions, CAST(n AS INTEGER) AS cells, CAST(9 AS INTEGER) AS rank, round(f, 4) AS f FROM tests",
+    "lag_causality": f"WITH RECURSIVE {_LAG_TESTS} SELECT block, count(*) AS groups, CAST(any_value(q) AS INTEGER) AS restrictions, round((avg(q * f) - any_value(q)) / sqrt(2.0::DOUBLE * any_value(q) / count(*)), 4) AS z_f FROM tests GROUP BY block",
+    "unit_root_tests": f"""WITH RECURSIVE {_CELLS}, z AS (SELECT loc, t, z, lag(z) OVER (PARTITION BY loc ORDER BY t) AS before FROM grid WHERE z IS NOT NULL),
+l AS (SELECT loc, 1.0::DOUBLE AS one, before, z - before AS d, {', '.join(f'lag(z - before, {k}) OVER (PARTITION BY loc ORDER BY t) AS d{k}' for k in range(1, 9))} FROM z),
+mats AS (SELECT loc, count(*) AS n, {_products(_ROOT)} AS m FROM l WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _ROOT)} GROUP BY loc),
+sw AS (SELECT loc, n, 0 AS step, m FROM mats WHERE n > 10 UNION ALL SELECT loc, n, step + 1, {_sweep('m', '(step + 1)', 11)} FROM sw WHERE step < 10),
+best AS (SELECT *, step - 2 AS lags, row_number() OVER (PARTITION BY loc ORDER BY n * ln(m[121] / n) + step * ln(n), step) AS r FROM sw WHERE step > 2),
+tt AS (SELECT loc, n, lags, m[22] / sqrt(-m[13] * m[121] / (n - step)) AS t FROM best WHERE r = 1)
+SELECT loc, n, CAST(lags AS INTEGER) AS lags, round(t, 4) AS t, t < CASE WHEN n < 25 THEN -3.0 WHEN n < 50 THEN -2.93 WHEN n < 100 THEN -2.89 WHEN n < 250 THEN -2.88 WHEN n < 500 THEN -2.87 ELSE -2.86 END AS reject FROM tt""",
+    "stacked_tests": f"""WITH RECURSIVE {_COEF}, u AS (UNPIVOT c0 ON nb_1, nb_2, own_1, own_2 INTO NAME parameter VALUE value),
+hyp(block, parameter) AS (VALUES ('nb', 'nb_1'), ('nb', 'nb_2'), ('own', 'own_1'), ('own', 'own_2'), ('all_four', 'nb_1'), ('all_four', 'nb_2'), ('all_four', 'own_1'), ('all_four', 'own_2')),
+r AS (SELECT b, block, unnest([CAST(g AS VARCHAR), 'all']) AS regime, printf('%05d|%s', g, parameter) AS name, value FROM u JOIN hyp USING (parameter)),
+names AS (SELECT block, regime, name, row_number() OVER (PARTITION BY block, regime ORDER BY name) AS i, count(*) OVER (PARTITION BY block, regime) AS q, e FROM (SELECT block, regime, name, avg(value) AS e FROM r GROUP BY ALL)),
+whole AS (SELECT block, regime, b FROM (SELECT block, regime, b, count(*) AS n FROM r GROUP BY ALL) JOIN (SELECT DISTINCT block, regime, q FROM names) USING (block, regime) WHERE n = q),
+used AS (SELECT block, regime, count(*) AS used FROM whole GROUP BY ALL),
+x AS (SELECT r.block, r.regime, r.b, i, q, value FROM r JOIN whole USING (block, regime, b) JOIN names USING (block, regime, name)),
+cov AS (SELECT a.block, a.regime, any_value(a.q) AS q, a.i, c.i AS j, covar_samp(a.value, c.value) AS v FROM x a JOIN x c USING (block, regime, b) GROUP BY a.block, a.regime, a.i, c.i),
+edge AS (SELECT block, regime, q, i, j, v FROM cov UNION ALL SELECT block, regime, q, i, q + 1, e FROM names UNION ALL SELECT block, regime, q, q + 1, i, e FROM names UNION ALL SELECT DISTINCT block, regime, q, q + 1, q + 1, 0 FROM names),
+mats AS (SELECT block, regime, any_value(q) AS q, list(v ORDER BY i, j) AS m FROM edge GROUP BY ALL),
+sw AS (SELECT block, regime, q, 0 AS step, m FROM mats UNION ALL SELECT block, regime, q, step + 1, {_sweep('m', '(step + 1)', '(q + 1)')} FROM sw WHERE step < q)
+SELECT block, regime, CAST(q AS INTEGER) AS q, CASE WHEN used > q THEN round(ln(-m[(q + 1) * (q + 1)]), 2) END AS log_statistic, CAST(used AS INTEGER) AS used FROM sw JOIN used USING (block, regime) WHERE step = q""",
     "ridge_fit": f"""WITH {_NORMAL}, x AS (SELECT *, {_ridge('0.3')} AS det, 1.3::DOUBLE AS q FROM r),
 inv AS (SELECT *, (q * q - c * c) / det AS i00, (b * c - a * q) / det AS i01, (a * c - b * q) / det AS i02, (q - b * b) / det AS i11, (a * b - c) / det AS i12, (q - a * a) / det AS i22 FROM x)
 SELECT model, round((i00 * w0 + i01 * w1 + i02 * w2) / s0, 5) AS b0, round((i01 * w0 + i11 * w1 + i12 * w2) / s1, 5) AS b1, round((i02 * w0 + i12 * w1 + i22 * w2) / s2, 5) AS b2, round(3 - 0.3 * (i11 + i22), 5) AS df, round(lref, 5) AS lambda_ref FROM inv""",
@@ -68,8 +112,8 @@ SELECT be.model, round(b0, 5) AS b0, round(b1, 5) AS b1, round((syy - b1 * sxy)
 FROM be JOIN lat ON lat.model = be.model JOIN sm ON sm.model = be.model AND sm.t = -1 JOIN last ON last.model = be.model JOIN f ON f.model = be.model AND f.t = last.t""",
     "case_frame": f"WITH {_DESIGN} SELECT loc, other, t, y, x, CAST(nr AS INTEGER) AS nr, presample FROM cases",
     "lag_design": f"WITH {_DESIGN}, l AS (SELECT loc, t, y, presample, {', '.join(f'lag(y, {k}) OVER w AS own_{k}, lag(x, {k}) OVER w AS nb_{k}' for k in range(1, 5))} FROM cases WINDOW w AS (PARTITION BY loc ORDER BY t)) SELECT * EXCLUDE (presample) FROM l WHERE NOT presample",
-    "station_tests": f"WITH {_STATION} SELECT loc, 'nb' AS block, CAST(1 AS INTEGER) AS q, CAST(n AS INTEGER) AS n, CAST(3 AS INTEGER) AS k, round(f, 4) AS f, round(w, 4) AS w_hc1 FROM tests",
-    "causality_summary": f"WITH {_STATION} SELECT 'nb' AS block, count(*) AS stations, CAST(1 AS INTEGER) AS q, round(sqrt(count(*) / 2::DOUBLE) * (avg(f) - 1), 4) AS zbar_f, round(sqrt(count(*) / 2::DOUBLE) * (avg(w) - 1), 4) AS zbar_hc1 FROM tests",
+    "station_tests": f"WITH {_STATION} SELECT loc, 'nb' AS block, CAST(1 AS INTEGER) AS restrictions, CAST(n AS INTEGER) AS cells, CAST(3 AS INTEGER) AS rank, round(f, 4) AS f, round(w, 4) AS robust FROM tests",
+    "causality_summary": f"WITH {_STATION} SELECT 'nb' AS block, count(*) AS groups, CAST(1 AS INTEGER) AS restrictions, round(sqrt(count(*) / 2::DOUBLE) * (avg(f) - 1), 4) AS z_f, round(sqrt(count(*) / 2::DOUBLE) * (avg(w) - 1), 4) AS z_robust FROM tests",
     "partial_autocorrelations": f"""WITH {_CELLS}, c AS (SELECT loc, t, z - avg(z) OVER (PARTITION BY loc) AS u FROM grid WHERE z IS NOT NULL),
 l AS (SELECT loc, u, lag(u, 1) OVER w AS u1, lag(u, 2) OVER w AS u2, lag(u, 3) OVER w AS u3 FROM c WINDOW w AS (PARTITION BY loc ORDER BY t)),
 r AS (SELECT loc, count(*) AS n, sum(u * u1) / sum(u * u) AS r1, sum(u * u2) / sum(u * u) AS r2, sum(u * u3) / sum(u * u) AS r3 FROM l GROUP BY loc),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_operators import as_frames, simulated
 
 from panelmill.functions import distributions
-from panelmill.operators import design, inference, partitions, penalty, statespace
+from panelmill.operators import design, inference, leastsquares, partitions, penalty, statespace
 from panelmill.plans import spatial_models
 
 
@@ -70,15 +70,15 @@ def test_tests_by_location(spark):
     a, b = rng.normal(size=(2, 50))
     y = 0.5 * a + 0.8 * b + rng.normal(size=50)
     df = spark.createDataFrame([(1, t, float(y[t]), float(a[t]), float(b[t]), float(2 * a[t])) for t in range(50)], "loc long, t int, y double, own_1 double, nb_1 double, copy double")
-    r = design.station_tests(df, "y", ["own_1", "nb_1", "copy"], {"nb": ["nb_1"], "gone": ["copy"]}).collect()
+    r = leastsquares.block_tests(df, "loc", "y", ["own_1", "nb_1", "copy"], {"nb": ["nb_1"], "gone": ["copy"]}).collect()
     x = np.column_stack((np.ones(50), a, b))
     inv = np.linalg.inv(x.T @ x)
     beta = inv @ x.T @ y
     e = y - x @ beta
-    assert len(r) == 1 and r[0].k == 3 and math.isclose(r[0].f, beta[2] ** 2 / inv[2, 2] / (e @ e / 47), rel_tol=1e-8)
-    assert r[0].p_f < 0.01 and r[0].p_hc1 < 0.01
-    s = design.panel_causality(spark.createDataFrame(r)).first()
-    assert s.stations == 1 and math.isclose(s.zbar_f, math.sqrt(0.5) * (r[0].f - 1), rel_tol=1e-9) and s.reject_f_pct == 100
+    assert len(r) == 1 and r[0]["rank"] == 3 and math.isclose(r[0].f, beta[2] ** 2 / inv[2, 2] / (e @ e / 47), rel_tol=1e-8)
+    assert r[0].f_p < 0.01 and r[0].robust_p < 0.01
+    s = design.mean_wald(spark.createDataFrame(r)).first()
+    assert s.groups == 1 and math.isclose(s.z_f, math.sqrt(0.5) * (r[0].f - 1), rel_tol=1e-9) and s.share_f == 1
 
 
 def test_tails():
