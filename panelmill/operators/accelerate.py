@@ -26,7 +26,8 @@ def squared(step: Step, x: np.ndarray, tol: float, most: int) -> tuple[np.ndarra
 
     The length of an extrapolation is the ratio of the first step to the change of the second, from 1
     to a bound that grows by 4 when it binds; it is taken only if the merit does not fall, else the two
-    plain steps count and the bound shrinks by 4."""
+    plain steps count, and the bound shrinks by 4 if it was this length.  It ends by the merit alone; the point it
+    returns is the one whose merit is known, one step before the newest."""
     bound, calls = 1.0, 0
     while True:
         one, m0 = step(x)
@@ -41,7 +42,8 @@ def squared(step: Step, x: np.ndarray, tol: float, most: int) -> tuple[np.ndarra
         r, v = one - x, two - 2 * one + x
         size = np.linalg.norm(v)
         length = min(max(np.linalg.norm(r) / size if size > 0 else 1.0, 1.0), bound)
-        if length == bound:
+        bound_by = length == bound
+        if bound_by:
             bound *= 4
         x = two
         if abs(length - 1) > 0.01:
@@ -53,5 +55,5 @@ def squared(step: Step, x: np.ndarray, tol: float, most: int) -> tuple[np.ndarra
             calls += 1
             if np.isfinite(far).all() and merit >= m0 - 1e-6:
                 x = far
-            else:
-                bound = max(1.0, bound / 4)
+            elif bound_by:
+                bound = max(1.0, bound / 16)  # it has just grown

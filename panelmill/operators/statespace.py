@@ -163,8 +163,27 @@ def smooth_on_sums(n, sz, sx, szz, szx, sxx, p: dict) -> dict:
     return {"m": ms, "c": cs, "gain": gain, "loglik": float(ll)}
 
 
-def _em_on_sums(n, sz, sx, szz, szx, sxx, p: dict, tol: float, most: int, accelerate: bool) -> tuple[dict, float, int, bool]:
-    """em_step until the loglik changes by less than tol: (parameters, their loglik, steps, converged)."""
+def augmented_on_sums(n, sz, sx, szz, szx, sxx, p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(M, v): minus twice the observed loglik is, but for a constant, a quadratic form in (b0, b1, m0) that is least where
+    M (b0, b1, m0) = v.  The filter is linear in its data, so it runs on four columns at once, the responses, a one, the
+    covariate and the effect of the state's start, and sums the products of their innovations."""
+    mean, var, total = np.array([0.0, 0.0, 0.0, -1.0]), p["c0"], np.zeros((4, 4))
+    for t in range(len(n)):
+        a, r = p["g"] * mean, p["g"] ** 2 * var + p["w"]
+        spread = p["v"] + n[t] * r
+        s = np.array([sz[t], n[t], sx[t], 0.0])
+        q = np.array([[szz[t], sz[t], szx[t], 0], [sz[t], n[t], sx[t], 0], [szx[t], sx[t], sxx[t], 0], [0, 0, 0, 0]])
+        e = s - n[t] * a
+        total += (q - np.outer(a, s) - np.outer(s, a) + n[t] * np.outer(a, a) - r / spread * np.outer(e, e)) / p["v"]
+        mean, var = a + r / spread * e, r * p["v"] / spread
+    return total[1:, 1:], total[1:, 0]
+
+
+def _em_on_sums(n, sz, sx, szz, szx, sxx, p: dict, tol: float, most: int, accelerate: bool, conditional: bool = False) -> tuple[dict, float, int, bool]:
+    """em_step until the loglik changes by less than tol: (parameters, their loglik, steps, converged).
+
+    ``conditional``: variances and the state's coefficient by the EM step with the coefficients given; then the coefficients
+    and the state's start by the observed loglik itself.  Its steps never lower the loglik either, and need far fewer in the end."""
     steps, logs = len(n), ("v", "w")
     names = ("b0", "b1", "v", "g", "w", "m0")
     pack = lambda q: np.array([np.log(q[c]) if c in logs else q[c] for c in names])
@@ -181,13 +200,21 @@ def _em_on_sums(n, sz, sx, szz, szx, sxx, p: dict, tol: float, most: int, accele
         slope = sxy / spread_x if fits else 0.0
         level = (y - slope * sx.sum()) / cells if fits else 0.0  # 0, as in em_step, where x does not vary
         new_g = s10 / s00
+        if conditional:
+            q = unpack(u)
+            b0, b1 = q["b0"], q["b1"]
+            rest = (szz + b0**2 * n + b1**2 * sxx - 2 * b0 * sz - 2 * b1 * szx + 2 * b0 * b1 * sx - 2 * state * (sz - b0 * n - b1 * sx) + n * state**2).sum()
+            q |= {"v": max((rest + (n * cs[1:]).sum()) / cells, 1e-10), "g": new_g, "w": max((s11 - new_g * s10) / steps, 1e-10)}
+            form, right = augmented_on_sums(n, sz, sx, szz, szx, sxx, q)
+            b0, b1, m0 = np.linalg.lstsq(form, right, rcond=None)[0]
+            return pack(q | {"b0": b0, "b1": b1, "m0": m0}), ll
         return pack({"b0": level, "b1": slope, "v": max((syy - slope * sxy) / cells + (n * cs[1:]).sum() / cells, 1e-10), "g": new_g, "w": max((s11 - new_g * s10) / steps, 1e-10), "m0": ms[0]}), ll
 
     u, ll, calls, done = (squared if accelerate else plain)(step, pack(p), tol, most)
     return unpack(u), ll, calls, done
 
 
-def fit_on_sums(panel: DataFrame, models: DataFrame, tol: float = 1e-3, most: int = 500, accelerate: bool = False) -> DataFrame:
+def fit_on_sums(panel: DataFrame, models: DataFrame, tol: float = 1e-3, most: int = 500, accelerate: bool = False, conditional: bool = False) -> DataFrame:
     """models(model, ..., loglik, steps, converged): EM of each model until its loglik changes by
     less than tol.  Cells are summed once, by model and time step; a model's task has one row
     per time step, however many locations there are."""
@@ -197,8 +224,92 @@ def fit_on_sums(panel: DataFrame, models: DataFrame, tol: float = 1e-3, most: in
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         start = {c: float(pdf[c].iloc[0]) for c in PARAMETERS}
-        p, ll, steps, done = _em_on_sums(*(pdf[c].to_numpy() for c in spec), start, tol, most, accelerate)
+        p, ll, steps, done = _em_on_sums(*(pdf[c].to_numpy() for c in spec), start, tol, most, accelerate, conditional)
         return pd.DataFrame([{"model": key[0], **p, "loglik": ll, "steps": steps, "converged": done}])
 
     joined = cell_sums(panel).join(F.broadcast(models.select("model", *PARAMETERS)), "model")
     return joined.groupBy("model").applyInPandas(run, f"model string, {kept}, loglik double, steps int, converged boolean")
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+#: Columns of the augmented filter, and the pairs of them whose products are summed.
+AUGMENTED = ("z", "one", "x", "m0")
+PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
+
+
+def augmented(panel: DataFrame, models: DataFrame) -> DataFrame:
+    """model and the sums q_<a>_<b> of the products of the innovations of the columns AUGMENTED: the quadratic form of
+    the observed loglik in (b0, b1, m0), as one fold over each model's time steps."""
+    rows = cell_sums(panel).groupBy("model").agg(F.sort_array(F.collect_list(F.struct("t", "n", "sz", "sx", "szz", "szx", "sxx"))).alias("xs")).join(F.broadcast(models.select("model", "v", "g", "w", "c0")), "model")
+    zero = F.lit(0.0)
+    start = F.struct(F.array(zero, zero, zero, F.lit(-1.0)).alias("mean"), F.col("c0").alias("var"), F.array(*[zero] * len(PAIRS)).alias("q"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n, v = x["n"], F.col("v")
+        s = (x["sz"], n, x["sx"], zero)
+        q = {(0, 0): x["szz"], (0, 1): x["sz"], (0, 2): x["szx"], (1, 1): n, (1, 2): x["sx"], (2, 2): x["sxx"]}
+        ahead = F.struct(F.transform(acc["mean"], lambda m: F.col("g") * m).alias("a"), (F.col("g") * F.col("g") * acc["var"] + F.col("w")).alias("r"))
+
+        def second(y: Column) -> Column:
+            e = F.array(*[s[i] - n * y["a"][i] for i in range(4)])
+            return _let(F.struct(y["a"].alias("a"), y["r"].alias("r"), e.alias("e"), (v + n * y["r"]).alias("spread")), third)
+
+        def third(y: Column) -> Column:
+            a, e, gain = y["a"], y["e"], y["r"] / y["spread"]
+            add = [(q.get((i, j), zero) - a[i] * s[j] - a[j] * s[i] + n * a[i] * a[j] - gain * e[i] * e[j]) / v for i, j in PAIRS]
+            return F.struct(F.array(*[a[i] + gain * e[i] for i in range(4)]).alias("mean"), (y["r"] * v / y["spread"]).alias("var"), F.array(*[acc["q"][k] + x_ for k, x_ in enumerate(add)]).alias("q"))
+
+        return _let(ahead, second)
+
+    out = rows.withColumn("f", F.aggregate("xs", start, step))
+    return out.select("model", *[F.col("f.q")[k].alias(f"q_{AUGMENTED[i]}_{AUGMENTED[j]}") for k, (i, j) in enumerate(PAIRS)])
+
+
+def two_states(panel: DataFrame, models: DataFrame) -> DataFrame:
+    """model, loglik, path array<t, m1, m2, c11, c12, c22>: filter of a level and a coefficient of x that both change in time.
+
+    models(model, b0, b1, v, g, w, g2, w2, m0, c0): the states' coefficients g and g2, their variances w and w2, the level's
+    start m0 and both starts' variance c0.  A step enters by sums over its cells; the fold's state is a
+    vector and a matrix."""
+    par = ("b0", "b1", "v", "g", "w", "g2", "w2", "m0", "c0")
+    rows = cell_sums(panel).groupBy("model").agg(F.sort_array(F.collect_list(F.struct("t", "n", "sz", "sx", "szz", "szx", "sxx"))).alias("xs")).join(F.broadcast(models.select("model", *par)), "model")
+    b0, b1, v, g, h = (F.col(c) for c in ("b0", "b1", "v", "g", "g2"))
+    kept = ("m1", "m2", "c11", "c12", "c22")
+    path = "array<struct<t:int,m1:double,m2:double,c11:double,c12:double,c22:double>>"
+    zero = F.lit(0.0)
+    start = F.struct(F.col("m0").alias("m1"), zero.alias("m2"), F.col("c0").alias("c11"), zero.alias("c12"), F.col("c0").alias("c22"), zero.alias("ll"), F.array().cast(path).alias("path"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n, sx, sxx = x["n"], x["sx"], x["sxx"]
+        one = F.struct(
+            (g * acc["m1"]).alias("a1"), (h * acc["m2"]).alias("a2"), (g * g * acc["c11"] + F.col("w")).alias("r11"), (g * h * acc["c12"]).alias("r12"), (h * h * acc["c22"] + F.col("w2")).alias("r22"),
+            (x["sz"] - b0 * n - b1 * sx).alias("s"), (x["szx"] - b0 * sx - b1 * sxx).alias("xs"),
+            (x["szz"] - 2 * b0 * x["sz"] - 2 * b1 * x["szx"] + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx).alias("q"),
+        )
+
+        def second(y: Column) -> Column:
+            a1, a2 = y["a1"], y["a2"]
+            d = {"d11": 1 + (y["r11"] * n + y["r12"] * sx) / v, "d12": (y["r11"] * sx + y["r12"] * sxx) / v, "d21": (y["r12"] * n + y["r22"] * sx) / v, "d22": 1 + (y["r12"] * sx + y["r22"] * sxx) / v}
+            e = {"u1": y["s"] - n * a1 - sx * a2, "u2": y["xs"] - sx * a1 - sxx * a2, "ee": y["q"] - 2 * (a1 * y["s"] + a2 * y["xs"]) + a1 * a1 * n + 2 * a1 * a2 * sx + a2 * a2 * sxx}
+            return _let(F.struct(y.alias("y"), *[c.alias(k) for k, c in (d | e).items()]), third)
+
+        def third(k: Column) -> Column:
+            y, det = k["y"], k["d11"] * k["d22"] - k["d12"] * k["d21"]
+            c = {"c11": (k["d22"] * y["r11"] - k["d12"] * y["r12"]) / det, "c12": (k["d22"] * y["r12"] - k["d12"] * y["r22"]) / det, "c22": (k["d11"] * y["r22"] - k["d21"] * y["r12"]) / det}
+            return _let(F.struct(k.alias("k"), det.alias("det"), *[x_.alias(i) for i, x_ in c.items()]), last)
+
+        def last(o: Column) -> Column:
+            k, y, u1, u2 = o["k"], o["k"]["y"], o["k"]["u1"], o["k"]["u2"]
+            new = {"m1": y["a1"] + (o["c11"] * u1 + o["c12"] * u2) / v, "m2": y["a2"] + (o["c12"] * u1 + o["c22"] * u2) / v, "c11": o["c11"], "c12": o["c12"], "c22": o["c22"]}
+            ll = acc["ll"] - 0.5 * (n * LOG_2PI + n * F.log(v) + F.log(o["det"]) + (k["ee"] - (u1 * u1 * o["c11"] + 2 * u1 * u2 * o["c12"] + u2 * u2 * o["c22"]) / v) / v)
+            row = F.struct(x["t"].cast("int").alias("t"), *[new[c].alias(c) for c in kept])
+            return F.struct(*[new[c].alias(c) for c in kept], ll.alias("ll"), F.concat(acc["path"], F.array(row)).alias("path"))
+
+        return _let(one, second)
+
+    out = rows.withColumn("f", F.aggregate("xs", start, step))
+    return out.select("model", F.col("f.ll").alias("loglik"), F.col("f.path").alias("path"))

@@ -40,6 +40,25 @@ def em_iteration(spark, d):
     return new.join(ll, "model").select("model", *[F.round(c, 5).alias(c) for c in ("b0", "b1", "v", "g", "w", "m0")], F.round("loglik", 3).alias("loglik"))
 
 
+def augmented_filter(spark, d):
+    """The quadratic form of the observed likelihood of every nation's model in its coefficients and start."""
+    a = statespace.augmented(base.model_panel(spark, d), base.models(spark, d))
+    return a.select("model", *[F.round(c, 4).alias(c) for c in a.columns if c != "model"])
+
+
+def two_state_filter(spark, d):
+    """Filtered level and coefficient of the discount for every nation."""
+    m = base.models(spark, d).withColumns({"g2": F.lit(0.9), "w2": F.lit(20.0)})
+    f = statespace.two_states(base.model_panel(spark, d), m)
+    return f.select("model", F.round("loglik", 3).alias("loglik"), F.explode("path").alias("p")).select("model", "loglik", "p.t", *[F.round(f"p.{c}", 4).alias(c) for c in ("m1", "m2", "c11", "c12", "c22")])
+
+
+def conditional_fit(spark, d):
+    """Fit of all nations' models by conditional steps on the observed likelihood."""
+    p = base.model_panel(spark, d).select("model", "loc", "t", "z", "x")
+    return statespace.fit_on_sums(p, statespace.start_values(p), base.EM_TOL, base.EM_MOST, accelerate=True, conditional=True)
+
+
 def _cases(spark, d):
     p = base.places(spark, d)
     pairs = spatial.nearest(p, p, 1).select(F.col("i").alias("loc"), F.col("j").alias("other"))
@@ -264,7 +283,7 @@ def series(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ridge_fit, elastic_net, soft_threshold, em_iteration, case_frame, lag_design, station_tests, causality_summary, lag_tests, lag_causality, unit_root_tests, stacked_tests, partial_autocorrelations, unchanged_share, long_run_multipliers,
+        ridge_fit, elastic_net, soft_threshold, em_iteration, augmented_filter, two_state_filter, conditional_fit, case_frame, lag_design, station_tests, causality_summary, lag_tests, lag_causality, unit_root_tests, stacked_tests, partial_autocorrelations, unchanged_share, long_run_multipliers,
         named_parameters, stacked_cells, kernel_columns, location_scores, penalised_objective, regime_completion, inherited_regimes, parameter_counts, aligned_labels, extended_criteria,
         selection_by_criteria, recovery_metrics, design_cells, ordered_models, cv_folds, cross_validation, series,
     )

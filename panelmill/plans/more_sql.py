@@ -59,6 +59,12 @@ lf AS (SELECT loc, (row_number() OVER (ORDER BY (loc * 7919) % 1000003, loc) - 1
 fl AS (SELECT g.loc, g.t, lf, greatest(1, CAST(ceil((g.t - a) * 5 / CAST(ends.z - a AS DOUBLE)) AS INTEGER)) AS tf, (row_number() OVER (ORDER BY (g.loc * 7919 + g.t * 104729) % 1000003, g.loc, g.t) - 1) % 5 + 1 AS cf FROM grid g JOIN lf ON lf.loc = g.loc, ends),
 fo AS (SELECT fl.*, CAST(j AS INTEGER) AS fold FROM fl, range(1, 6) r(j))"""
 
+_CSUMS = f"""{_MPANEL}, {_MODELS},
+cs AS (SELECT p.model, p.t, count(z) AS n, coalesce(sum(z), 0) AS sz, coalesce(sum(CASE WHEN z IS NOT NULL THEN x END), 0) AS sx, coalesce(sum(z * z), 0) AS szz, coalesce(sum(z * x), 0) AS szx, coalesce(sum(CASE WHEN z IS NOT NULL THEN x * x END), 0) AS sxx FROM mpanel p GROUP BY 1, 2)"""
+_AUG = ("z", "one", "x", "m0")
+_AUG_S = {"z": "sz", "one": "n", "x": "sx", "m0": "0"}
+_AUG_Q = {("z", "z"): "szz", ("z", "one"): "sz", ("z", "x"): "szx", ("one", "one"): "n", ("one", "x"): "sx", ("x", "x"): "sxx"}
+_AUG_PAIRS = [(a, b) for i, a in enumerate(_AUG) for b in _AUG[i:]]
 _LAGGED = ["one", *[f"own_{k}" for k in range(1, 5)], *[f"nb_{k}" for k in range(1, 5)], "y"]
 #: Block: columns of its own; the others are swept first.
 _BLOCKS = {"own": [2, 3, 4, 5], "nb": [6, 7, 8, 9], "nb_late": [8, 9], "both_late": [4, 5, 8, 9]}
@@ -72,6 +78,24 @@ tests AS (SELECT loc, block, q, n, (without - m[100]) / q / (m[100] / (n - 9)) A
 _ROOT = ["one", "before", *[f"d{k}" for k in range(1, 9)], "d"]
 
 ORACLES: dict[str, str] = {
+    "augmented_filter": f"""WITH RECURSIVE {_CSUMS},
+f AS (SELECT model, CAST(-1 AS INTEGER) AS t, 0.0::DOUBLE AS a_z, 0.0::DOUBLE AS a_one, 0.0::DOUBLE AS a_x, -1.0::DOUBLE AS a_m0, c0 AS c, {', '.join(f'0.0::DOUBLE AS q_{a}_{b}' for a, b in _AUG_PAIRS)} FROM models
+  UNION ALL
+  SELECT model, t, {', '.join(f'a_{a} + r / (v + n * r) * ({_AUG_S[a]} - n * a_{a})' for a in _AUG)}, r * v / (v + n * r),
+    {', '.join(f"q_{a}_{b} + ({_AUG_Q.get((a, b), '0')} - a_{a} * {_AUG_S[b]} - a_{b} * {_AUG_S[a]} + n * a_{a} * a_{b} - r / (v + n * r) * ({_AUG_S[a]} - n * a_{a}) * ({_AUG_S[b]} - n * a_{b})) / v" for a, b in _AUG_PAIRS)}
+  FROM (SELECT cs.*, {', '.join(f'g * f.a_{a} AS a_{a}' for a in _AUG)}, g * g * f.c + w AS r, v, {', '.join(f'f.q_{a}_{b}' for a, b in _AUG_PAIRS)} FROM f JOIN cs ON cs.model = f.model AND cs.t = f.t + 1 JOIN models k ON k.model = f.model))
+SELECT model, {', '.join(f'round(q_{a}_{b}, 4) AS q_{a}_{b}' for a, b in _AUG_PAIRS)} FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY t DESC) AS last FROM f) WHERE last = 1 AND t >= 0""",
+    "two_state_filter": f"""WITH RECURSIVE {_CSUMS}, k AS (SELECT *, 0.9::DOUBLE AS g2, 20.0::DOUBLE AS w2 FROM models),
+f AS (SELECT model, CAST(-1 AS INTEGER) AS t, m0 AS m1, 0.0::DOUBLE AS m2, c0 AS c11, 0.0::DOUBLE AS c12, c0 AS c22, 0.0::DOUBLE AS ll FROM k
+  UNION ALL
+  SELECT model, t, a1 + (p11 * u1 + p12 * u2) / v, a2 + (p12 * u1 + p22 * u2) / v, p11, p12, p22,
+    ll - 0.5 * (n * 1.8378770664093453::DOUBLE + n * ln(v) + ln(det) + (ee - (u1 * u1 * p11 + 2 * u1 * u2 * p12 + u2 * u2 * p22) / v) / v)
+  FROM (SELECT *, (d22 * r11 - d12 * r12) / det AS p11, (d22 * r12 - d12 * r22) / det AS p12, (d11 * r22 - d21 * r12) / det AS p22 FROM (SELECT *, d11 * d22 - d12 * d21 AS det FROM (SELECT *, 1 + (r11 * n + r12 * sx) / v AS d11, (r11 * sx + r12 * sxx) / v AS d12, (r12 * n + r22 * sx) / v AS d21, 1 + (r12 * sx + r22 * sxx) / v AS d22,
+      s - n * a1 - sx * a2 AS u1, xs - sx * a1 - sxx * a2 AS u2, q - 2 * (a1 * s + a2 * xs) + a1 * a1 * n + 2 * a1 * a2 * sx + a2 * a2 * sxx AS ee
+    FROM (SELECT cs.*, v, f.ll, k.g * f.m1 AS a1, g2 * f.m2 AS a2, k.g * k.g * f.c11 + w AS r11, k.g * g2 * f.c12 AS r12, g2 * g2 * f.c22 + w2 AS r22, sz - b0 * n - b1 * sx AS s, szx - b0 * sx - b1 * sxx AS xs,
+        szz - 2 * b0 * sz - 2 * b1 * szx + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx AS q
+      FROM f JOIN cs ON cs.model = f.model AND cs.t = f.t + 1 JOIN k ON k.model = f.model)))))
+SELECT f.model, round(e.ll, 3) AS loglik, f.t, {', '.join(f'round(f.{c}, 4) AS {c}' for c in ('m1', 'm2', 'c11', 'c12', 'c22'))} FROM f JOIN (SELECT model, max_by(ll, t) AS ll FROM f GROUP BY model) e USING (model) WHERE f.t >= 0""",
     "lag_tests": f"WITH RECURSIVE {_LAG_TESTS} SELECT loc, block, CAST(q AS INTEGER) AS restrictions, CAST(n AS INTEGER) AS cells, CAST(9 AS INTEGER) AS rank, round(f, 4) AS f FROM tests",
     "lag_causality": f"WITH RECURSIVE {_LAG_TESTS} SELECT block, count(*) AS groups, CAST(any_value(q) AS INTEGER) AS restrictions, round((avg(q * f) - any_value(q)) / sqrt(2.0::DOUBLE * any_value(q) / count(*)), 4) AS z_f FROM tests GROUP BY block",
     "unit_root_tests": f"""WITH RECURSIVE {_CELLS}, z AS (SELECT loc, t, z, lag(z) OVER (PARTITION BY loc ORDER BY t) AS before FROM grid WHERE z IS NOT NULL),

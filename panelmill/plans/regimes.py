@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..operators import spatial, statespace
+from ..operators import clusterwise, spatial, statespace
 from ..sources.store import cut_lineage
 
 #: Parameters of a regime's model: two coefficients, two variances, the state's coefficient and start.
@@ -39,14 +39,9 @@ def scores(panel: DataFrame, models: DataFrame, states: DataFrame) -> DataFrame:
     return panel.where("z IS NOT NULL").join(m, "t").groupBy("config", "loc", "g").agg(F.sum(ll).alias("ll"))
 
 
-def new_labels(scored: DataFrame, labels: DataFrame, edges: DataFrame, configs: DataFrame) -> DataFrame:
-    """Simultaneous update: the regime with the largest score plus weight times agreeing neighbours.
-
-    The weight is phi times a scale that is fixed for a configuration: the median over
-    locations of the spread of their scores, by the mean number of neighbours."""
-    spread = scored.groupBy("config", "loc").agg((F.max("ll") - F.min("ll")).alias("s")).groupBy("config").agg(F.median("s").alias("scale"))
-    degree = edges.groupBy("i").agg(F.count(F.lit(1)).alias("n")).agg(F.greatest(F.avg("n"), F.lit(1.0)).alias("degree"))
-    weight = configs.join(spread, "config").join(F.broadcast(degree)).select("config", (F.col("phi") * F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0) / F.col("degree")).alias("weight"))
+def new_labels(scored: DataFrame, labels: DataFrame, edges: DataFrame, weight: DataFrame) -> DataFrame:
+    """Simultaneous update: the regime with the largest score plus weight times agreeing neighbours;
+    weight(config, weight) stays as the first sweep's scores gave it."""
     votes = edges.join(labels.withColumnRenamed("loc", "j"), "j").groupBy("config", F.col("i").alias("loc"), "g").agg(F.count(F.lit(1)).alias("agree"))
     total = scored.join(votes, ["config", "loc", "g"], "left").join(F.broadcast(weight), "config")
     total = total.withColumn("value", F.col("ll") + F.col("weight") * F.coalesce("agree", F.lit(0)))
@@ -65,7 +60,7 @@ def fit_grid(panel: DataFrame, places: DataFrame, ks: list[int], phis: list[floa
     edges = cut_lineage(spatial.neighbour_graph(places, neighbours))
     panel = cut_lineage(panel.select("loc", "t", "z", "x"))
     labels, models = cut_lineage(start_labels(panel, configs)), None
-    older = labels
+    older, weight = labels, None
     for _ in range(sweeps):
         cells = cut_lineage(keyed(panel, labels))
         first = statespace.start_values(cells)
@@ -74,7 +69,11 @@ def fit_grid(panel: DataFrame, places: DataFrame, ks: list[int], phis: list[floa
             first = first.join(models.select("model"), "model", "left_anti").unionByName(models.join(first.select("model"), "model", "left_semi"))
         models = cut_lineage(statespace.fit_on_sums(cells, first, tol, em_steps, accelerate=True))
         states = statespace.smoothed(statespace.filtered(statespace.step_sums(cells, models)))
-        after = cut_lineage(new_labels(scores(panel, models, states), labels, edges, configs))
+        scored = scores(panel, models, states)
+        if weight is None:
+            scored = cut_lineage(scored)
+            weight = cut_lineage(clusterwise.penalty_weights(scored, edges, configs))
+        after = cut_lineage(new_labels(scored, labels, edges, weight))
         both = after.join(labels.withColumnRenamed("g", "old"), ["config", "loc"]).join(older.withColumnRenamed("g", "older"), ["config", "loc"])
         counts = both.groupBy("config").agg(F.count(F.when(F.col("g") != F.col("old"), 1)).alias("moved"), F.count(F.when(F.col("g") != F.col("older"), 1)).alias("since"))
         moves = cut_lineage(counts)
