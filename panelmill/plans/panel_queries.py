@@ -251,7 +251,7 @@ def totals(spark, d):
 
 def resume_tasks(spark, d):
     tasks = _t(spark, d, "part").select(F.col("p_partkey").alias("k"))
-    done = _t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k"))
+    done = _t(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("k"))
     return store.unfinished(tasks, done, ["k"])
 
 

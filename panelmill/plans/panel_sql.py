@@ -94,7 +94,7 @@ SELECT model, round(b0, 4) AS b0, round(b1, 4) AS b1, round(0.6 * v, 4) AS v, ro
 SELECT i AS loc, g, n AS agreeing FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, g) AS r FROM n) WHERE r = 1""",
     "wide_pivot": "SELECT user_id, " + ", ".join(f"count(CASE WHEN event_type = '{e}' THEN 1 END) AS {e}" for e in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id",
     "totals": "SELECT coalesce(o_orderstatus, 'all') AS status, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders GROUP BY ROLLUP (o_orderstatus)",
-    "resume_tasks": "SELECT p_partkey AS k FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
+    "resume_tasks": "SELECT p_partkey AS k FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)",
     "monte_carlo": "SELECT event_type, round(avg(value), 5) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS se, count(value) AS m, round(quantile_cont(value, 0.5), 5) AS median FROM events GROUP BY event_type",
     "top_brand": "SELECT p_type, p_brand AS brand, round(n / CAST(total AS DOUBLE), 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) AS r, sum(n) OVER (PARTITION BY p_type) AS total FROM (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2)) WHERE r = 1",
     "complete_groups": """WITH n AS (SELECT l_orderkey AS k, count(*) AS lines FROM lineitem GROUP BY 1), o AS (SELECT o_orderstatus, lines FROM orders JOIN n ON o_orderkey = k),
