@@ -84,11 +84,12 @@ def _bootstrap(spark, d):
     fitted = {r["g"]: {c: r[c] for c in clusterwise.PARAMETERS} for r in models.where("loglik IS NOT NULL").collect()}  # one row for each group
     own = labels.select("loc", "g")
     rows = cut_lineage(clusterwise.series(panel, own))
-    return models, clusterwise.bootstrap(rows, edges, colours, fitted, own, start, K, PHI, base.DRAWS, most=20)
+    return models, clusterwise.bootstrap(rows, edges, colours, fitted, own, start, K, PHI, base.DRAWS, most=5)
 
 
 def clustered_bootstrap(spark, d):
-    """Summary of the draws of every group's parameters, refitted with their labels and aligned; draws that failed are
+    """Summary of the draws of every group's parameters, refitted with their labels and aligned, five iterations at most as
+    each draw has its best visited partition; draws that failed are
     counted in ``failed``."""
     models, (draws, _, info) = _bootstrap(spark, d)
     stack = ", ".join(f"'{c}', {c}" for c in clusterwise.PARAMETERS if c != "c0")
