@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import cut_lineage
 from .accelerate import plain, squared
 from .penalty import penalised, solve
 from .statespace import smooth_on_sums
@@ -226,7 +227,9 @@ def fit(panel: DataFrame, response: str, design: list[str], settings: list[Setti
             row |= {"failure": f"{type(e).__name__}: {e}"}
         return pd.DataFrame({c.split()[0]: pd.Series([row.get(c.split()[0])], dtype=object) for c in SCHEMA.split(", ")})
 
-    return rows.groupBy("model", "setting").applyInPandas(run, SCHEMA)
+    # named, as the few bytes of a fit would be put together into one task, though each takes seconds
+    tasks = panel.sparkSession.sparkContext.defaultParallelism * 3
+    return rows.repartition(tasks, "model", "setting").groupBy("model", "setting").applyInPandas(run, SCHEMA)
 
 
 def completed(panel: DataFrame, fits: DataFrame, response: str, design: list[str]) -> DataFrame:
@@ -246,7 +249,7 @@ def path(fits: DataFrame, others: int = 5) -> DataFrame:
     each = fits.groupBy("setting", "alpha", "lam").agg(
         F.count(F.lit(1)).alias("models"), F.count(F.when(~ok, 1)).alias("failed"), F.sum("loglik").alias("loglik"), F.sum(F.when(ok, F.col("df") + others)).alias("df"), F.sum(F.when(ok, F.col("cells"))).alias("cells")
     )
-    each = each.withColumn("bic", -2 * F.col("loglik") + F.log("cells") * F.col("df"))
+    each = cut_lineage(each.withColumn("bic", -2 * F.col("loglik") + F.log("cells") * F.col("df")))
     first = each.agg(F.min(F.struct("failed", F.coalesce("bic", F.lit(float("inf"))), "setting")).alias("f")).select(F.col("f.setting").alias("chosen"))
     return each.join(F.broadcast(first)).select("setting", "alpha", "lam", "models", "failed", "loglik", "df", "bic", (F.col("setting") == F.col("chosen")).alias("best"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..operators import design, inference, leastsquares, panel, partitions, penalty, spatial, statespace
+from ..operators import design, inference, leastsquares, panel, partitions, penalised_fit, penalty, spatial, statespace
 from . import panel_queries as base
 
 LAGS = 4
@@ -59,6 +59,36 @@ def conditional_fit(spark, d):
     return statespace.fit_on_sums(p, statespace.start_values(p), base.EM_TOL, base.EM_MOST, accelerate=True, conditional=True)
 
 
+#: Strengths and kinds of penalties that the fits below go through.
+SETTINGS = [penalised_fit.Settings(alpha=a, lam=s, by=by) for a, s, by in ((0.0, 0.0, "common"), (0.0, 0.1, "common"), (0.0, 0.1, "size"), (0.5, 0.05, "common"), (1.0, 0.2, "common"), (1.0, 0.2, "size"))]
+
+
+def penalised_step(spark, d):
+    """One EM step of all nations' models from fixed parameters, without a penalty, with a ridge, and with one by size."""
+    p = base.model_panel(spark, d).withColumn("one", F.lit(1.0))
+    start = base.models(spark, d).withColumn("beta", F.array("b0", "b1"))
+    f = penalised_fit.fit(p, "z", ["one", "x"], SETTINGS[:3], start, steps=1)
+    return f.select("model", "setting", F.round("lam_used", 6).alias("lam_used"), "locations", "cells", F.round(F.col("beta")[0], 5).alias("b0"), F.round(F.col("beta")[1], 5).alias("b1"), *[F.round(c, 5).alias(c) for c in ("df", "v", "g", "w", "m0")], F.round("merit", 3).alias("merit"))
+
+
+DESIGN = ["one", "x", "year"]
+
+
+def _penalised(spark, d):
+    p = base.model_panel(spark, d).withColumns({"one": F.lit(1.0), "year": F.col("t") / 12.0})
+    return penalised_fit.fit(p, "z", DESIGN, SETTINGS)
+
+
+def penalised_fits(spark, d):
+    """EM of every nation's model under six penalties; fell counts steps that lowered the penalised likelihood."""
+    return _penalised(spark, d).drop("t", "state")
+
+
+def penalty_path(spark, d):
+    """The six penalties over all models, and the one with the least BIC."""
+    return penalised_fit.path(_penalised(spark, d))
+
+
 def _cases(spark, d):
     p = base.places(spark, d)
     pairs = spatial.nearest(p, p, 1).select(F.col("i").alias("loc"), F.col("j").alias("other"))
@@ -283,7 +313,7 @@ def series(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ridge_fit, elastic_net, soft_threshold, em_iteration, augmented_filter, two_state_filter, conditional_fit, case_frame, lag_design, station_tests, causality_summary, lag_tests, lag_causality, unit_root_tests, stacked_tests, partial_autocorrelations, unchanged_share, long_run_multipliers,
+        ridge_fit, elastic_net, soft_threshold, em_iteration, augmented_filter, two_state_filter, conditional_fit, penalised_step, penalised_fits, penalty_path, case_frame, lag_design, station_tests, causality_summary, lag_tests, lag_causality, unit_root_tests, stacked_tests, partial_autocorrelations, unchanged_share, long_run_multipliers,
         named_parameters, stacked_cells, kernel_columns, location_scores, penalised_objective, regime_completion, inherited_regimes, parameter_counts, aligned_labels, extended_criteria,
         selection_by_criteria, recovery_metrics, design_cells, ordered_models, cv_folds, cross_validation, series,
     )

@@ -134,6 +134,19 @@ cl AS (SELECT p.model, z - s.m AS y, x, s.c FROM mpanel p JOIN s ON s.model = p.
 be AS (SELECT model, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, avg(c) AS spread, count(*) AS cells FROM cl GROUP BY model)
 SELECT be.model, round(b0, 5) AS b0, round(b1, 5) AS b1, round((syy - b1 * sxy) / cells + spread, 5) AS v, round(s10 / s00, 5) AS g, round((s11 - s10 / s00 * s10) / n, 5) AS w, round(sm.m, 5) AS m0, round(f.ll, 3) AS loglik
 FROM be JOIN lat ON lat.model = be.model JOIN sm ON sm.model = be.model AND sm.t = -1 JOIN last ON last.model = be.model JOIN f ON f.model = be.model AND f.t = last.t""",
+    "penalised_step": f"""WITH RECURSIVE {_FILTER}, one AS (SELECT s.model, s.m, s.c FROM s WHERE s.t = 0),
+sm AS (SELECT model, t, m, c FROM s UNION ALL SELECT k.model, -1, k.m0 + k.c0 * k.g / (k.g * k.g * k.c0 + k.w) * (o.m - k.g * k.m0), k.c0 + (k.c0 * k.g / (k.g * k.g * k.c0 + k.w)) ** 2 * (o.c - k.g * k.g * k.c0 - k.w) FROM one o JOIN models k ON k.model = o.model),
+lat AS (SELECT a.model, sum(b.m * b.m + b.c) AS s11, sum(b.m * a.m + f.c * k.g / (k.g * k.g * f.c + k.w) * b.c) AS s10, sum(a.m * a.m + a.c) AS s00, count(*) AS n FROM sm a JOIN sm b ON b.model = a.model AND b.t = a.t + 1 JOIN f ON f.model = a.model AND f.t = a.t JOIN models k ON k.model = a.model GROUP BY a.model),
+cl AS (SELECT p.model, z - s.m AS y, x, s.c FROM mpanel p JOIN s ON s.model = p.model AND s.t = p.t WHERE z IS NOT NULL AND x IS NOT NULL),
+sz AS (SELECT model, count(DISTINCT loc) AS locations FROM mpanel GROUP BY model),
+st AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, FALSE), (1, 0.1::DOUBLE, FALSE), (2, 0.1::DOUBLE, TRUE)) v(setting, lam, by_size)),
+pr AS (SELECT model, locations, setting, lam * CASE WHEN by_size THEN (SELECT avg(locations) FROM sz) / locations ELSE 1 END AS lam FROM sz, st),
+q AS (SELECT model, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, avg(c) AS spread FROM cl GROUP BY model),
+be AS (SELECT q.*, locations, setting, lam, (sxy - sx * sy / n) / (sxx - sx * sx / n + lam * sxx) AS b1, 1 + (sxx - sx * sx / n) / (sxx - sx * sx / n + lam * sxx) AS df FROM q JOIN pr USING (model)),
+bb AS (SELECT *, (sy - b1 * sx) / n AS b0 FROM be),
+rs AS (SELECT bb.model, bb.setting, sum((y - b0 - b1 * x) * (y - b0 - b1 * x)) AS rss FROM bb JOIN cl ON cl.model = bb.model GROUP BY 1, 2)
+SELECT bb.model, CAST(bb.setting AS INTEGER) AS setting, round(lam, 6) AS lam_used, locations, CAST(bb.n AS BIGINT) AS cells, round(bb.b0, 5) AS b0, round(bb.b1, 5) AS b1, round(df, 5) AS df, round(rss / bb.n + spread, 5) AS v, round(s10 / s00, 5) AS g, round((s11 - s10 / s00 * s10) / lat.n, 5) AS w, round(sm.m, 5) AS m0, round(f.ll - lam / 2 * sxx / k.v * k.b1 * k.b1, 3) AS merit
+FROM bb JOIN rs ON rs.model = bb.model AND rs.setting = bb.setting JOIN lat ON lat.model = bb.model JOIN sm ON sm.model = bb.model AND sm.t = -1 JOIN last ON last.model = bb.model JOIN f ON f.model = bb.model AND f.t = last.t JOIN models k ON k.model = bb.model""",
     "case_frame": f"WITH {_DESIGN} SELECT loc, other, t, y, x, CAST(nr AS INTEGER) AS nr, presample FROM cases",
     "lag_design": f"WITH {_DESIGN}, l AS (SELECT loc, t, y, presample, {', '.join(f'lag(y, {k}) OVER w AS own_{k}, lag(x, {k}) OVER w AS nb_{k}' for k in range(1, 5))} FROM cases WINDOW w AS (PARTITION BY loc ORDER BY t)) SELECT * EXCLUDE (presample) FROM l WHERE NOT presample",
     "station_tests": f"WITH {_STATION} SELECT loc, 'nb' AS block, CAST(1 AS INTEGER) AS restrictions, CAST(n AS INTEGER) AS cells, CAST(3 AS INTEGER) AS rank, round(f, 4) AS f, round(w, 4) AS robust FROM tests",
