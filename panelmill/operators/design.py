@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import distributions
+from .panel import pulses
 
 
 def unstacked(rows: DataFrame, n: int) -> DataFrame:
@@ -30,13 +31,37 @@ def lag_design(cases: DataFrame, lags: int) -> DataFrame:
     return cases.select("loc", "t", "y", "presample", *cols).where("NOT presample").drop("presample")
 
 
-def mean_wald(tests: DataFrame) -> DataFrame:
-    """block, groups, restrictions, share_f, share_robust, z_f, z_robust and their two-sided p: causality in a panel.
+def pulse_columns(times: DataFrame, events: DataFrame, names: list[str]) -> DataFrame:
+    """t and pulse_<name>, pulse_<name>_next of every event: 1 in the event's step and in the next one, else 0.
+
+    times(t, day), events(event, day); columns that are 0 throughout are left out."""
+    marks = pulses(times, events)
+    on = lambda e, c: F.coalesce(F.max(F.when(F.col("event") == e, F.col(c))), F.lit(0)).cast("double")
+    wide = times.select("t").join(F.broadcast(marks), "t", "left").groupBy("t").agg(*[on(e, c).alias(f"pulse_{e}{end}") for e in names for c, end in (("first", ""), ("second", "_next"))])
+    used = wide.agg(*[F.max(c).alias(c) for c in wide.columns if c != "t"]).first().asDict()
+    return wide.select("t", *[c for c, most in used.items() if most])
+
+
+def block_design(cases: DataFrame, by: list[str], sources: dict[str, str], lags: dict[str, list[int]], keep: list[str]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """(design, columns of each block): lags of several series along t within ``by``, from the first step after the presample on
+    that has them all.
+
+    ``sources`` names the series of a block, ``lags`` its lags (none: the block is left out), ``keep`` further columns."""
+    order = W.Window.partitionBy(*by).orderBy("t")
+    blocks = {b: [f"{b}_l{k}" for k in ks] for b, ks in lags.items() if ks}
+    cols = [F.lag(sources[b], k).over(order).alias(f"{b}_l{k}") for b in blocks for k in lags[b]]
+    most = max((k for ks in lags.values() for k in ks), default=0)
+    rows = cases.select(*by, "t", "presample", *keep, *cols, F.row_number().over(order).alias("nr"))
+    return rows.where((F.col("nr") > most) & ~F.col("presample")).drop("presample", "nr"), blocks
+
+
+def mean_wald(tests: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, block, groups, restrictions, share_f, share_robust, z_f, z_robust and their two-sided p: causality in a panel.
 
     Without causality, restrictions times f and the robust form have mean ``restrictions`` and twice that as variance, so the mean over
     groups is about normal; the shares tell how many groups reject at 5 %."""
     forms = {"f": F.col("restrictions") * F.col("f"), "robust": F.col("robust")}
-    means = tests.groupBy("block").agg(
+    means = tests.groupBy(*(by or []), "block").agg(
         F.count(F.lit(1)).alias("groups"), F.max("restrictions").alias("restrictions"),
         *[F.avg((F.col(f"{k}_p") < 0.05).cast("double")).alias(f"share_{k}") for k in forms], *[F.avg(w).alias(f"z_{k}") for k, w in forms.items()],
     )

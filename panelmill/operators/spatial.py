@@ -84,6 +84,35 @@ def nearest_of_group(places: DataFrame, group: DataFrame, key: str, digits: int
     return best.select("loc", F.col("b.j").alias("nearest"), F.round("b.h", digits).alias("dist"))
 
 
+def nearest_allowed(left: DataFrame, right: DataFrame, key: str, digits: int = 3, width: float | None = None) -> DataFrame:
+    """key, loc, nearest, dist: of each left place the nearest right one with its key and another ``tag``; ties to the smaller.
+
+    left and right(key, loc, x, y, tag): a null tag differs from every other, a place is not its own nearest, and a row
+    without key or place, or without any allowed partner, has no row.  Only cells of one key meet, and a place whose
+    nearest may lie outside searches again with wider cells, so that groups are never paired whole."""
+    cols = [key, "loc", "x", "y", "tag"]
+    todo, right = left.select(*cols).dropna(subset=cols[:4]).distinct(), right.select(*cols).dropna(subset=cols[:4]).distinct()
+    box = right.unionByName(todo).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    n = right.count()
+    span = 1.0 if box[0] is None else max(box[1] - box[0], box[3] - box[2]) or 1.0
+    width, out = width or span * max(1e-6, (1 / max(n, 1)) ** 0.5), None
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    while True:
+        mine = todo.select(key, F.col("loc").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("tag").alias("mine"), *_cells(width), F.explode(steps).alias("s"))
+        mine = mine.withColumns({"cx": F.col("cx") + F.col("s.a"), "cy": F.col("cy") + F.col("s.b")})
+        theirs = right.select(key, F.col("loc").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), "tag", *_cells(width))
+        allowed = (F.col("i") != F.col("j")) & F.coalesce(F.col("mine") != F.col("tag"), F.lit(True))
+        met = mine.join(theirs, [key, "cx", "cy"]).where(allowed)
+        got = cut_lineage(met.groupBy(key, "i").agg(F.min(F.struct(euclidean(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("h"), "j")).alias("b")).select(key, "i", "b.h", "b.j"))
+        done = got if width > span else got.where(F.col("h") <= width)
+        out = done if out is None else out.unionByName(done)
+        if width <= span:
+            todo = cut_lineage(todo.join(done.select(key, F.col("i").alias("loc")), [key, "loc"], "left_anti"))
+        if width > span or todo.isEmpty():
+            return out.select(key, F.col("i").alias("loc"), F.col("j").alias("nearest"), F.round("h", digits).alias("dist"))
+        width *= 4
+
+
 def decay_limits(pairs: DataFrame) -> DataFrame:
     """Log limits of the decay of exp(-theta h): from the largest and the smallest positive distance."""
     h = pairs.where("h > 0").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))

@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from panelmill.plans import cluster_queries, cluster_sql, more_queries, more_sql, panel_queries, panel_sql
+from panelmill.plans import application, application_sql, cluster_queries, cluster_sql, more_queries, more_sql, panel_queries, panel_sql
 
-QUERIES, ORACLES = panel_queries.QUERIES | more_queries.QUERIES | cluster_queries.QUERIES, panel_sql.ORACLES | more_sql.ORACLES | cluster_sql.ORACLES
+QUERIES, ORACLES = panel_queries.QUERIES | more_queries.QUERIES | cluster_queries.QUERIES | application.QUERIES, panel_sql.ORACLES | more_sql.ORACLES | cluster_sql.ORACLES | application_sql.ORACLES
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
