@@ -7,7 +7,8 @@ neighbours of all new words at once by undoing merges from the latest to the ear
 (``compatible``).  Only words with an incompatible pair are merged step by step.
 
 A vocabulary file of the ``tokenizers`` library with an end-of-word suffix is read; its
-normaliser (NFC, white space, lower case), word pattern, byte alphabet and special
+normaliser (NFC, white space, lower case; for texts with marks or characters that tables
+of Unicode may place otherwise, the library's own normaliser and word pattern), word pattern, byte alphabet and special
 tokens are followed.  Its decoding, without a decoder, joins tokens by a blank.
 
 Null texts count as empty, and an empty text has no ids and decodes to the empty text.
@@ -28,13 +29,32 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from .common import slices
 
 #: The word pattern of the vocabulary file, and the same for texts without odd characters.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 EXACT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 PLAIN = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\w\s]|_)+")
 ODD = re.compile("[^\x00-\x1b\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-˿]")
+
+
+def unsettled() -> re.Pattern:
+    """Characters that tables of Unicode may place otherwise: marks, code points without a character yet, and all beyond U+FFFF."""
+    ranges, first = [], None
+    for c in range(0x300, 0x10001):
+        on = c < 0x10000 and unicodedata.category(chr(c)) in ("Cn", "Mn", "Mc", "Me")
+        if on and first is None:
+            first = c
+        elif not on and first is not None:
+            ranges.append(f"{chr(first)}-{chr(c - 1)}")
+            first = None
+    return re.compile("[" + "".join(ranges) + "\U00010000-\U0010ffff]")
+
+
+UNSETTLED = unsettled()
 #: Words of a worker's cache; a full cache is emptied, which changes no result.
 CACHE_WORDS = 400_000
 #: Stands for the end of a word in the matcher; no token has it.
@@ -89,6 +109,8 @@ class Codec:
         self.matcher.make_automaton()
         self.is_last = np.zeros(n, dtype=bool)
         self.is_last[[i for t, i in self.vocab.items() if self.suffix and t.endswith(self.suffix)]] = True
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.splitter = Split(Regex(WORDS), behavior="removed", invert=True)
         self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, bytes] = {}
 
@@ -108,6 +130,8 @@ class Codec:
         if text.isascii():
             pattern = EXACT if ODD.search(text) else PLAIN
             return pattern.findall(text.lower())
+        if UNSETTLED.search(text):  # classes and orders of the library's own tables
+            return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         low = text.replace("Σ", "σ").lower()
