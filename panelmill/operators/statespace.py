@@ -19,6 +19,8 @@ from .accelerate import plain, squared
 #: Parameters of a model, as columns of a table models(model, ...).
 PARAMETERS = ("b0", "b1", "v", "g", "w", "m0", "c0")
 LOG_2PI = 1.8378770664093453
+#: What a path keeps of a step.
+ROW = "struct<t:int,m:double,c:double>"
 
 
 def step_sums(panel: DataFrame, models: DataFrame) -> DataFrame:
@@ -28,6 +30,22 @@ def step_sums(panel: DataFrame, models: DataFrame) -> DataFrame:
     return joined.groupBy("model", "t", *PARAMETERS).agg(F.count("z").alias("n"), F.coalesce(F.sum(r), F.lit(0.0)).alias("s"), F.coalesce(F.sum(r * r), F.lit(0.0)).alias("q"))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def folded(xs: Column, start: Column, step, row, kept: str, block: int = 32) -> Column:
+    """struct<state, path> of a fold over an array: ``step(state, x)`` is the next state and ``row(state, x)``, of the type
+    ``kept``, what the path keeps of it.  Rows are put together by blocks and blocks into the path, so that a
+    row does not copy all that came before it."""
+    none = F.array().cast(f"array<{kept}>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / block).cast("int")), lambda i: F.slice(xs, i * block + 1, block))
+    one = lambda a, x: _let(step(a["state"], x), lambda new: F.struct(new.alias("state"), F.concat(a["path"], F.array(row(new, x))).alias("path")))
+    whole = lambda a, xs: _let(F.aggregate(xs, F.struct(a["state"].alias("state"), none.alias("path")), one), lambda r: F.struct(r["state"].alias("state"), F.concat(a["path"], r["path"]).alias("path")))
+    return F.aggregate(blocks, F.struct(start.alias("state"), none.alias("path")), whole)
+
+
 def _filter_step(a: Column, x: Column, p) -> Column:
     m, c = p("g") * a["m"], p("g") * p("g") * a["c"] + p("w")
     n, v = x["n"].cast("double"), p("v")
@@ -42,34 +60,31 @@ def _filter_step(a: Column, x: Column, p) -> Column:
 def filtered(sums: DataFrame) -> DataFrame:
     """model, loglik, path array<t, m, c>: forward means, variances and the log-likelihood."""
     rows = sums.groupBy("model", *PARAMETERS).agg(F.sort_array(F.collect_list(F.struct("t", "n", "s", "q"))).alias("xs"))
-    empty = F.array().cast("array<struct<t:int,m:double,c:double>>")
-    start = F.struct(F.col("m0").alias("m"), F.col("c0").alias("c"), F.lit(0.0).alias("ll"), empty.alias("path"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = _filter_step(a, x, F.col)
-        return F.struct(new["m"].alias("m"), new["c"].alias("c"), new["ll"].alias("ll"), F.concat(a["path"], F.array(F.struct(x["t"].cast("int").alias("t"), new["m"].alias("m"), new["c"].alias("c")))).alias("path"))
-
-    out = rows.withColumn("f", F.aggregate("xs", start, step))
-    return out.select("model", *PARAMETERS, F.col("f.ll").alias("loglik"), F.col("f.path").alias("path"))
+    start = F.struct(F.col("m0").alias("m"), F.col("c0").alias("c"), F.lit(0.0).alias("ll"))
+    keep = lambda a, x: F.struct(x["t"].cast("int").alias("t"), a["m"].alias("m"), a["c"].alias("c"))
+    out = rows.withColumn("f", folded(F.col("xs"), start, lambda a, x: _filter_step(a, x, F.col), keep, ROW))
+    return out.select("model", *PARAMETERS, F.col("f.state.ll").alias("loglik"), F.col("f.path").alias("path"))
 
 
 def smoothed(filtered_rows: DataFrame) -> DataFrame:
     """model, t, m, c: means and variances given all time steps, by a fold from the end."""
-    empty = F.array().cast("array<struct<t:int,m:double,c:double>>")
     last = F.element_at("path", -1)
-    start = F.struct(last["m"].alias("m"), last["c"].alias("c"), F.array(last).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         g, ahead = F.col("g"), F.col("g") * F.col("g") * x["c"] + F.col("w")
         b = x["c"] * g / ahead
-        m, c = x["m"] + b * (a["m"] - g * x["m"]), x["c"] + b * b * (a["c"] - ahead)
-        return F.struct(m.alias("m"), c.alias("c"), F.concat(a["out"], F.array(F.struct(x["t"].alias("t"), m.alias("m"), c.alias("c")))).alias("out"))
+        return F.struct((x["m"] + b * (a["m"] - g * x["m"])).alias("m"), (x["c"] + b * b * (a["c"] - ahead)).alias("c"))
 
-    before = F.reverse(F.slice("path", 1, F.size("path") - 1))
-    out = F.aggregate(F.when(F.size("path") > 1, before).otherwise(empty), start, step, lambda a: a["out"])
+    keep = lambda a, x: F.struct(x["t"].alias("t"), a["m"].alias("m"), a["c"].alias("c"))
+    out = F.concat(F.array(last), folded(_before_last(), F.struct(last["m"].alias("m"), last["c"].alias("c")), step, keep, ROW)["path"])
     return filtered_rows.select("model", F.explode(out).alias("o")).select("model", "o.t", "o.m", "o.c")
 
 
+def _before_last() -> Column:
+    """Rows of the path before its last, latest first."""
+    return F.reverse(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))))
+
+
 def signal(panel: DataFrame, models: DataFrame, states: DataFrame) -> DataFrame:
     """panel with fit = b0 + b1 x + state, and filled: z where observed, else fit."""
     joined = panel.join(F.broadcast(models.select("model", "b0", "b1")), "model").join(states.select("model", "t", "m"), ["model", "t"])
@@ -231,11 +246,6 @@ def fit_on_sums(panel: DataFrame, models: DataFrame, tol: float = 1e-3, most: in
     return joined.groupBy("model").applyInPandas(run, f"model string, {kept}, loglik double, steps int, converged boolean")
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.transform(F.array(value), then)[0]
-
-
 #: Columns of the augmented filter, and the pairs of them whose products are summed.
 AUGMENTED = ("z", "one", "x", "m0")
 PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
@@ -269,8 +279,17 @@ def augmented(panel: DataFrame, models: DataFrame) -> DataFrame:
     return out.select("model", *[F.col("f.q")[k].alias(f"q_{AUGMENTED[i]}_{AUGMENTED[j]}") for k, (i, j) in enumerate(PAIRS)])
 
 
+#: Moments of two states, and what a path keeps of them.
+TWO = ("m1", "m2", "c11", "c12", "c22")
+TWO_ROW = "struct<t:int," + ",".join(f"{c}:double" for c in TWO) + ">"
+
+
+def _two_row(a: Column, x: Column) -> Column:
+    return F.struct(x["t"].cast("int").alias("t"), *[a[c].alias(c) for c in TWO])
+
+
 def two_states(panel: DataFrame, models: DataFrame) -> DataFrame:
-    """model, loglik, path array<t, m1, m2, c11, c12, c22>: filter of a level and a coefficient of x that both change in time.
+    """model, g, w, g2, w2, loglik, path array<t, m1, m2, c11, c12, c22>: filter of a level and a coefficient of x that both change in time.
 
     models(model, b0, b1, v, g, w, g2, w2, m0, c0): the states' coefficients g and g2, their variances w and w2, the level's
     start m0 and both starts' variance c0.  A step enters by sums over its cells; the fold's state is a
@@ -278,10 +297,8 @@ def two_states(panel: DataFrame, models: DataFrame) -> DataFrame:
     par = ("b0", "b1", "v", "g", "w", "g2", "w2", "m0", "c0")
     rows = cell_sums(panel).groupBy("model").agg(F.sort_array(F.collect_list(F.struct("t", "n", "sz", "sx", "szz", "szx", "sxx"))).alias("xs")).join(F.broadcast(models.select("model", *par)), "model")
     b0, b1, v, g, h = (F.col(c) for c in ("b0", "b1", "v", "g", "g2"))
-    kept = ("m1", "m2", "c11", "c12", "c22")
-    path = "array<struct<t:int,m1:double,m2:double,c11:double,c12:double,c22:double>>"
     zero = F.lit(0.0)
-    start = F.struct(F.col("m0").alias("m1"), zero.alias("m2"), F.col("c0").alias("c11"), zero.alias("c12"), F.col("c0").alias("c22"), zero.alias("ll"), F.array().cast(path).alias("path"))
+    start = F.struct(F.col("m0").alias("m1"), zero.alias("m2"), F.col("c0").alias("c11"), zero.alias("c12"), F.col("c0").alias("c22"), zero.alias("ll"))
 
     def step(acc: Column, x: Column) -> Column:
         n, sx, sxx = x["n"], x["sx"], x["sxx"]
@@ -306,10 +323,36 @@ def two_states(panel: DataFrame, models: DataFrame) -> DataFrame:
             k, y, u1, u2 = o["k"], o["k"]["y"], o["k"]["u1"], o["k"]["u2"]
             new = {"m1": y["a1"] + (o["c11"] * u1 + o["c12"] * u2) / v, "m2": y["a2"] + (o["c12"] * u1 + o["c22"] * u2) / v, "c11": o["c11"], "c12": o["c12"], "c22": o["c22"]}
             ll = acc["ll"] - 0.5 * (n * LOG_2PI + n * F.log(v) + F.log(o["det"]) + (k["ee"] - (u1 * u1 * o["c11"] + 2 * u1 * u2 * o["c12"] + u2 * u2 * o["c22"]) / v) / v)
-            row = F.struct(x["t"].cast("int").alias("t"), *[new[c].alias(c) for c in kept])
-            return F.struct(*[new[c].alias(c) for c in kept], ll.alias("ll"), F.concat(acc["path"], F.array(row)).alias("path"))
+            return F.struct(*[new[c].alias(c) for c in TWO], ll.alias("ll"))
 
         return _let(one, second)
 
-    out = rows.withColumn("f", F.aggregate("xs", start, step))
-    return out.select("model", F.col("f.ll").alias("loglik"), F.col("f.path").alias("path"))
+    out = rows.withColumn("f", folded(F.col("xs"), start, step, _two_row, TWO_ROW))
+    return out.select("model", "g", "w", "g2", "w2", F.col("f.state.ll").alias("loglik"), F.col("f.path").alias("path"))
+
+
+def two_smoothed(filtered_rows: DataFrame) -> DataFrame:
+    """model, t, m1, m2, c11, c12, c22 given all time steps, from the rows of ``two_states``, by a fold from the end.
+
+    Every step multiplies the later step's surprise by the gain C G' R^-1, where R is the covariance of the next
+    state before it was observed; it is written out for two states with a diagonal G."""
+    last, g, h = F.element_at("path", -1), F.col("g"), F.col("g2")
+
+    def step(a: Column, x: Column) -> Column:
+        ahead = F.struct((g * g * x["c11"] + F.col("w")).alias("r11"), (g * h * x["c12"]).alias("r12"), (h * h * x["c22"] + F.col("w2")).alias("r22"))
+
+        def second(r: Column) -> Column:
+            det = r["r11"] * r["r22"] - r["r12"] * r["r12"]
+            gain = [(g * x[i] * r["r22"] - h * x[j] * r["r12"]) / det for i, j in (("c11", "c12"), ("c12", "c22"))], [(h * x[j] * r["r11"] - g * x[i] * r["r12"]) / det for i, j in (("c11", "c12"), ("c12", "c22"))]
+            off = {"e1": a["m1"] - g * x["m1"], "e2": a["m2"] - h * x["m2"], "d11": a["c11"] - r["r11"], "d12": a["c12"] - r["r12"], "d22": a["c22"] - r["r22"]}
+            return _let(F.struct(F.array(*gain[0]).alias("one"), F.array(*gain[1]).alias("two"), *[c.alias(k) for k, c in off.items()]), last_part)
+
+        def last_part(o: Column) -> Column:
+            part = lambda i, j: o["one"][i] * o["one"][j] * o["d11"] + (o["one"][i] * o["two"][j] + o["two"][i] * o["one"][j]) * o["d12"] + o["two"][i] * o["two"][j] * o["d22"]
+            new = [x[f"m{i + 1}"] + o["one"][i] * o["e1"] + o["two"][i] * o["e2"] for i in (0, 1)] + [x["c11"] + part(0, 0), x["c12"] + part(0, 1), x["c22"] + part(1, 1)]
+            return F.struct(*[c.alias(k) for k, c in zip(TWO, new)])
+
+        return _let(ahead, second)
+
+    out = F.concat(F.array(last), folded(_before_last(), F.struct(*[last[c].alias(c) for c in TWO]), step, _two_row, TWO_ROW)["path"])
+    return filtered_rows.select("model", F.explode(out).alias("o")).select("model", "o.t", *[f"o.{c}" for c in TWO])

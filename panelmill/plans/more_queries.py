@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..operators import design, inference, leastsquares, panel, partitions, penalised_fit, penalty, spatial, statespace
+from ..operators import design, inference, leastsquares, multistate, panel, partitions, penalised_fit, penalty, spatial, statespace
 from . import panel_queries as base
 
 LAGS = 4
@@ -46,11 +46,44 @@ def augmented_filter(spark, d):
     return a.select("model", *[F.round(c, 4).alias(c) for c in a.columns if c != "model"])
 
 
+def _two_state_rows(spark, d):
+    m = base.models(spark, d).withColumns({"g2": F.lit(0.9), "w2": F.lit(20.0)})
+    return statespace.two_states(base.model_panel(spark, d), m)
+
+
 def two_state_filter(spark, d):
     """Filtered level and coefficient of the discount for every nation."""
-    m = base.models(spark, d).withColumns({"g2": F.lit(0.9), "w2": F.lit(20.0)})
-    f = statespace.two_states(base.model_panel(spark, d), m)
-    return f.select("model", F.round("loglik", 3).alias("loglik"), F.explode("path").alias("p")).select("model", "loglik", "p.t", *[F.round(f"p.{c}", 4).alias(c) for c in ("m1", "m2", "c11", "c12", "c22")])
+    f = _two_state_rows(spark, d)
+    return f.select("model", F.round("loglik", 3).alias("loglik"), F.explode("path").alias("p")).select("model", "loglik", "p.t", *[F.round(f"p.{c}", 4).alias(c) for c in statespace.TWO])
+
+
+def two_state_smoother(spark, d):
+    """Level and coefficient of the discount for every nation, given all months."""
+    return statespace.two_smoothed(_two_state_rows(spark, d)).select("model", "t", *[F.round(c, 4).alias(c) for c in statespace.TWO])
+
+
+def _two_state_models(models):
+    """models(model, b0, b1, v, g, w, m0, c0) with a second state, in arrays."""
+    zero = F.lit(0.0)
+    return models.select("model", F.array("b0", "b1").alias("beta"), "v", F.array("g", zero, zero, F.lit(0.9)).alias("g"), F.array("w", zero, zero, F.lit(20.0)).alias("w"), F.array("m0", zero).alias("m0"), F.array("c0", zero, zero, "c0").alias("c0"))
+
+
+def _two_state_panel(spark, d):
+    return base.model_panel(spark, d).select("model", "t", "z", "x", F.lit(1.0).alias("one"))
+
+
+def two_state_em_step(spark, d):
+    """One EM step of every nation's model of a level and a coefficient that change in time, from fixed parameters."""
+    f = multistate.one_step(_two_state_panel(spark, d), "z", ["one", "x"], ["one", "x"], _two_state_models(base.models(spark, d)))
+    flat = {"b0": F.col("beta")[0], "b1": F.col("beta")[1], "v": F.col("v"), "g1": F.col("g")[0], "g2": F.col("g")[3], "w1": F.col("w")[0], "w2": F.col("w")[3], "m1": F.col("m0")[0], "m2": F.col("m0")[1]}
+    return f.select("model", F.round("loglik", 3).alias("loglik"), *[F.round(c, 4).alias(k) for k, c in flat.items()])
+
+
+def two_state_fit(spark, d):
+    """Every nation's model of two states, with free matrices, fitted to its tolerance."""
+    p = base.model_panel(spark, d)
+    start = _two_state_models(statespace.start_values(p))
+    return multistate.fit(_two_state_panel(spark, d), "z", ["one", "x"], ["one", "x"], start, base.EM_TOL, base.EM_MOST, diagonal=False)
 
 
 def conditional_fit(spark, d):
@@ -313,7 +346,7 @@ def series(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ridge_fit, elastic_net, soft_threshold, em_iteration, augmented_filter, two_state_filter, conditional_fit, penalised_step, penalised_fits, penalty_path, case_frame, lag_design, station_tests, causality_summary, lag_tests, lag_causality, unit_root_tests, stacked_tests, partial_autocorrelations, unchanged_share, long_run_multipliers,
+        ridge_fit, elastic_net, soft_threshold, em_iteration, augmented_filter, two_state_filter, two_state_smoother, two_state_em_step, two_state_fit, conditional_fit, penalised_step, penalised_fits, penalty_path, case_frame, lag_design, station_tests, causality_summary, lag_tests, lag_causality, unit_root_tests, stacked_tests, partial_autocorrelations, unchanged_share, long_run_multipliers,
         named_parameters, stacked_cells, kernel_columns, location_scores, penalised_objective, regime_completion, inherited_regimes, parameter_counts, aligned_labels, extended_criteria,
         selection_by_criteria, recovery_metrics, design_cells, ordered_models, cv_folds, cross_validation, series,
     )

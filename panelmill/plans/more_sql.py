@@ -77,15 +77,8 @@ sw AS (SELECT loc, block, ord, q, n, 0 AS step, m, CAST(NULL AS DOUBLE) AS witho
 tests AS (SELECT loc, block, q, n, (without - m[100]) / q / (m[100] / (n - 9)) AS f FROM sw WHERE step = 9)"""
 _ROOT = ["one", "before", *[f"d{k}" for k in range(1, 9)], "d"]
 
-ORACLES: dict[str, str] = {
-    "augmented_filter": f"""WITH RECURSIVE {_CSUMS},
-f AS (SELECT model, CAST(-1 AS INTEGER) AS t, 0.0::DOUBLE AS a_z, 0.0::DOUBLE AS a_one, 0.0::DOUBLE AS a_x, -1.0::DOUBLE AS a_m0, c0 AS c, {', '.join(f'0.0::DOUBLE AS q_{a}_{b}' for a, b in _AUG_PAIRS)} FROM models
-  UNION ALL
-  SELECT model, t, {', '.join(f'a_{a} + r / (v + n * r) * ({_AUG_S[a]} - n * a_{a})' for a in _AUG)}, r * v / (v + n * r),
-    {', '.join(f"q_{a}_{b} + ({_AUG_Q.get((a, b), '0')} - a_{a} * {_AUG_S[b]} - a_{b} * {_AUG_S[a]} + n * a_{a} * a_{b} - r / (v + n * r) * ({_AUG_S[a]} - n * a_{a}) * ({_AUG_S[b]} - n * a_{b})) / v" for a, b in _AUG_PAIRS)}
-  FROM (SELECT cs.*, {', '.join(f'g * f.a_{a} AS a_{a}' for a in _AUG)}, g * g * f.c + w AS r, v, {', '.join(f'f.q_{a}_{b}' for a, b in _AUG_PAIRS)} FROM f JOIN cs ON cs.model = f.model AND cs.t = f.t + 1 JOIN models k ON k.model = f.model))
-SELECT model, {', '.join(f'round(q_{a}_{b}, 4) AS q_{a}_{b}' for a, b in _AUG_PAIRS)} FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY t DESC) AS last FROM f) WHERE last = 1 AND t >= 0""",
-    "two_state_filter": f"""WITH RECURSIVE {_CSUMS}, k AS (SELECT *, 0.9::DOUBLE AS g2, 20.0::DOUBLE AS w2 FROM models),
+#: Filter of two states by model and step, and (s) its smoother back to the start, with the covariances l of a step with the next one.
+_TWO = f"""WITH RECURSIVE {_CSUMS}, k AS (SELECT *, 0.9::DOUBLE AS g2, 20.0::DOUBLE AS w2 FROM models),
 f AS (SELECT model, CAST(-1 AS INTEGER) AS t, m0 AS m1, 0.0::DOUBLE AS m2, c0 AS c11, 0.0::DOUBLE AS c12, c0 AS c22, 0.0::DOUBLE AS ll FROM k
   UNION ALL
   SELECT model, t, a1 + (p11 * u1 + p12 * u2) / v, a2 + (p12 * u1 + p22 * u2) / v, p11, p12, p22,
@@ -94,8 +87,38 @@ f AS (SELECT model, CAST(-1 AS INTEGER) AS t, m0 AS m1, 0.0::DOUBLE AS m2, c0 AS
       s - n * a1 - sx * a2 AS u1, xs - sx * a1 - sxx * a2 AS u2, q - 2 * (a1 * s + a2 * xs) + a1 * a1 * n + 2 * a1 * a2 * sx + a2 * a2 * sxx AS ee
     FROM (SELECT cs.*, v, f.ll, k.g * f.m1 AS a1, g2 * f.m2 AS a2, k.g * k.g * f.c11 + w AS r11, k.g * g2 * f.c12 AS r12, g2 * g2 * f.c22 + w2 AS r22, sz - b0 * n - b1 * sx AS s, szx - b0 * sx - b1 * sxx AS xs,
         szz - 2 * b0 * sz - 2 * b1 * szx + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx AS q
-      FROM f JOIN cs ON cs.model = f.model AND cs.t = f.t + 1 JOIN k ON k.model = f.model)))))
+      FROM f JOIN cs ON cs.model = f.model AND cs.t = f.t + 1 JOIN k ON k.model = f.model)))))"""
+_TWO_BACK = f"""{_TWO},
+s AS (SELECT model, t, m1, m2, c11, c12, c22, 0.0::DOUBLE AS l11, 0.0::DOUBLE AS l22 FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY t DESC) AS r FROM f) WHERE r = 1
+  UNION ALL
+  SELECT model, t, m1 + b11 * e1 + b12 * e2, m2 + b21 * e1 + b22 * e2, c11 + b11 * b11 * d11 + 2 * b11 * b12 * d12 + b12 * b12 * d22, c12 + b11 * b21 * d11 + (b11 * b22 + b12 * b21) * d12 + b12 * b22 * d22,
+    c22 + b21 * b21 * d11 + 2 * b21 * b22 * d12 + b22 * b22 * d22, n11 * b11 + n12 * b12, n12 * b21 + n22 * b22
+  FROM (SELECT *, (g * c11 * r22 - g2 * c12 * r12) / det AS b11, (g2 * c12 * r11 - g * c11 * r12) / det AS b12, (g * c12 * r22 - g2 * c22 * r12) / det AS b21, (g2 * c22 * r11 - g * c12 * r12) / det AS b22,
+      n1 - g * m1 AS e1, n2 - g2 * m2 AS e2, n11 - r11 AS d11, n12 - r12 AS d12, n22 - r22 AS d22
+    FROM (SELECT *, r11 * r22 - r12 * r12 AS det
+      FROM (SELECT f.*, s.m1 AS n1, s.m2 AS n2, s.c11 AS n11, s.c12 AS n12, s.c22 AS n22, g, g2, g * g * f.c11 + w AS r11, g * g2 * f.c12 AS r12, g2 * g2 * f.c22 + w2 AS r22
+        FROM s JOIN f ON f.model = s.model AND f.t = s.t - 1 JOIN k ON k.model = f.model))))"""
+
+ORACLES: dict[str, str] = {
+    "augmented_filter": f"""WITH RECURSIVE {_CSUMS},
+f AS (SELECT model, CAST(-1 AS INTEGER) AS t, 0.0::DOUBLE AS a_z, 0.0::DOUBLE AS a_one, 0.0::DOUBLE AS a_x, -1.0::DOUBLE AS a_m0, c0 AS c, {', '.join(f'0.0::DOUBLE AS q_{a}_{b}' for a, b in _AUG_PAIRS)} FROM models
+  UNION ALL
+  SELECT model, t, {', '.join(f'a_{a} + r / (v + n * r) * ({_AUG_S[a]} - n * a_{a})' for a in _AUG)}, r * v / (v + n * r),
+    {', '.join(f"q_{a}_{b} + ({_AUG_Q.get((a, b), '0')} - a_{a} * {_AUG_S[b]} - a_{b} * {_AUG_S[a]} + n * a_{a} * a_{b} - r / (v + n * r) * ({_AUG_S[a]} - n * a_{a}) * ({_AUG_S[b]} - n * a_{b})) / v" for a, b in _AUG_PAIRS)}
+  FROM (SELECT cs.*, {', '.join(f'g * f.a_{a} AS a_{a}' for a in _AUG)}, g * g * f.c + w AS r, v, {', '.join(f'f.q_{a}_{b}' for a, b in _AUG_PAIRS)} FROM f JOIN cs ON cs.model = f.model AND cs.t = f.t + 1 JOIN models k ON k.model = f.model))
+SELECT model, {', '.join(f'round(q_{a}_{b}, 4) AS q_{a}_{b}' for a, b in _AUG_PAIRS)} FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY t DESC) AS last FROM f) WHERE last = 1 AND t >= 0""",
+    "two_state_filter": f"""{_TWO}
 SELECT f.model, round(e.ll, 3) AS loglik, f.t, {', '.join(f'round(f.{c}, 4) AS {c}' for c in ('m1', 'm2', 'c11', 'c12', 'c22'))} FROM f JOIN (SELECT model, max_by(ll, t) AS ll FROM f GROUP BY model) e USING (model) WHERE f.t >= 0""",
+    "two_state_smoother": f"{_TWO_BACK} SELECT model, t, {', '.join(f'round({c}, 4) AS {c}' for c in ('m1', 'm2', 'c11', 'c12', 'c22'))} FROM s WHERE t >= 0",
+    "two_state_em_step": f"""{_TWO_BACK},
+lat AS (SELECT a.model, count(*) AS steps, {', '.join(f'sum(a.m{i} * a.m{i} + a.c{i}{i}) AS s11_{i}, sum(a.m{i} * b.m{i} + b.l{i}{i}) AS s10_{i}, sum(b.m{i} * b.m{i} + b.c{i}{i}) AS s00_{i}' for i in (1, 2))} FROM s a JOIN s b ON b.model = a.model AND b.t = a.t - 1 GROUP BY a.model),
+o AS (SELECT s.model, sum(n) AS n, sum(sx) AS sx, sum(sxx) AS sxx, sum(sz - n * m1 - sx * m2) AS y, sum(szx - sx * m1 - sxx * m2) AS yx FROM s JOIN cs ON cs.model = s.model AND cs.t = s.t GROUP BY s.model),
+be AS (SELECT model, n, (y * sxx - yx * sx) / (n * sxx - sx * sx) AS b0, (n * yx - sx * y) / (n * sxx - sx * sx) AS b1 FROM o),
+vv AS (SELECT s.model, sum(szz - 2 * (b0 + m1) * sz - 2 * (b1 + m2) * szx + (b0 + m1) * (b0 + m1) * cs.n + 2 * (b0 + m1) * (b1 + m2) * sx + (b1 + m2) * (b1 + m2) * sxx + cs.n * c11 + 2 * sx * c12 + sxx * c22) / any_value(be.n) AS v
+  FROM s JOIN cs ON cs.model = s.model AND cs.t = s.t JOIN be ON be.model = s.model GROUP BY s.model)
+SELECT k.model, round(e.ll, 3) AS loglik, round(be.b0, 4) AS b0, round(be.b1, 4) AS b1, round(vv.v, 4) AS v, round(s10_1 / s00_1, 4) AS g1, round(s10_2 / s00_2, 4) AS g2,
+  round((s11_1 - 2 * g * s10_1 + g * g * s00_1) / steps, 4) AS w1, round((s11_2 - 2 * g2 * s10_2 + g2 * g2 * s00_2) / steps, 4) AS w2, round(s.m1, 4) AS m1, round(s.m2, 4) AS m2
+FROM k JOIN (SELECT model, max_by(ll, t) AS ll FROM f GROUP BY model) e ON e.model = k.model JOIN lat ON lat.model = k.model JOIN be ON be.model = k.model JOIN vv ON vv.model = k.model JOIN s ON s.model = k.model AND s.t = -1""",
     "lag_tests": f"WITH RECURSIVE {_LAG_TESTS} SELECT loc, block, CAST(q AS INTEGER) AS restrictions, CAST(n AS INTEGER) AS cells, CAST(9 AS INTEGER) AS rank, round(f, 4) AS f FROM tests",
     "lag_causality": f"WITH RECURSIVE {_LAG_TESTS} SELECT block, count(*) AS groups, CAST(any_value(q) AS INTEGER) AS restrictions, round((avg(q * f) - any_value(q)) / sqrt(2.0::DOUBLE * any_value(q) / count(*)), 4) AS z_f FROM tests GROUP BY block",
     "unit_root_tests": f"""WITH RECURSIVE {_CELLS}, z AS (SELECT loc, t, z, lag(z) OVER (PARTITION BY loc ORDER BY t) AS before FROM grid WHERE z IS NOT NULL),
