@@ -125,7 +125,10 @@ def _tasks(panel: DataFrame, columns: list[str], models: DataFrame, run, schema:
         sums = sums.sort_values("t")
         return run(key[0], par.iloc[0], sums["n"].to_numpy(), _square(np.stack(sums["q"].to_numpy()), k), sums["t"].to_numpy())[names]
 
-    return step_products(panel, columns).groupBy("model").cogroup(models.groupBy("model")).applyInPandas(one, schema)
+    # numbered, as the few bytes of the sums would be put together into one task, though each model takes seconds
+    tasks = panel.sparkSession.sparkContext.defaultParallelism * 3
+    sums, models = step_products(panel, columns).repartition(tasks, "model"), models.repartition(tasks, "model")
+    return sums.groupBy("model").cogroup(models.groupBy("model")).applyInPandas(one, schema)
 
 
 _MODEL = "model string, beta array<double>, v double, g array<double>, w array<double>, m0 array<double>, c0 array<double>"

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..operators import design, inference, leastsquares, multistate, panel, partitions, penalised_fit, penalty, spatial, statespace
+from ..operators.covariances import Correlation
 from . import panel_queries as base
+from . import spatial_models
 
 LAGS = 4
 
@@ -86,6 +89,15 @@ def two_state_fit(spark, d):
     return multistate.fit(_two_state_panel(spark, d), "z", ["one", "x"], ["one", "x"], start, base.EM_TOL, base.EM_MOST, diagonal=False)
 
 
+#: A user's own correlation function; its derivative is taken by differences.
+MATERN = Correlation(lambda h, theta: (1 + theta * h) * np.exp(-theta * h))
+
+
+def user_correlation_fit(spark, d):
+    """Every nation's model with spatially correlated errors under a user's correlation function."""
+    return spatial_models.fit_models(base._nation_models(spark, d), base.places(spark, d), base.EM_TOL, base.EM_MOST, MATERN)
+
+
 def conditional_fit(spark, d):
     """Fit of all nations' models by conditional steps on the observed likelihood."""
     p = base.model_panel(spark, d).select("model", "loc", "t", "z", "x")
@@ -346,7 +358,7 @@ def series(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ridge_fit, elastic_net, soft_threshold, em_iteration, augmented_filter, two_state_filter, two_state_smoother, two_state_em_step, two_state_fit, conditional_fit, penalised_step, penalised_fits, penalty_path, case_frame, lag_design, station_tests, causality_summary, lag_tests, lag_causality, unit_root_tests, stacked_tests, partial_autocorrelations, unchanged_share, long_run_multipliers,
+        ridge_fit, elastic_net, soft_threshold, em_iteration, augmented_filter, two_state_filter, two_state_smoother, two_state_em_step, two_state_fit, user_correlation_fit, conditional_fit, penalised_step, penalised_fits, penalty_path, case_frame, lag_design, station_tests, causality_summary, lag_tests, lag_causality, unit_root_tests, stacked_tests, partial_autocorrelations, unchanged_share, long_run_multipliers,
         named_parameters, stacked_cells, kernel_columns, location_scores, penalised_objective, regime_completion, inherited_regimes, parameter_counts, aligned_labels, extended_criteria,
         selection_by_criteria, recovery_metrics, design_cells, ordered_models, cv_folds, cross_validation, series,
     )
