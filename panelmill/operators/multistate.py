@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import cut_lineage
 from .accelerate import plain, squared
 
 LOG_2PI = 1.8378770664093453
@@ -114,9 +115,34 @@ def _given(row: pd.Series, k: int) -> dict:
     return p | {c: p[c].reshape(k, k) for c in ("g", "w", "c0")}
 
 
-def _tasks(panel: DataFrame, columns: list[str], models: DataFrame, run, schema: str) -> DataFrame:
+def faults(models: DataFrame, coefficients: int, states: int) -> DataFrame:
+    """model, faults: the parameters (in the order of the columns) that no model with so many coefficients and states can have:
+    null, of another size, not finite, or a variance that is not above 0; an empty array if there are none."""
+    sizes = {"beta": coefficients, "g": states * states, "w": states * states, "m0": states, "c0": states * states}
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    fine = {"v": finite(F.col("v")) & (F.col("v") > 0)}
+    for c, n in sizes.items():
+        fine[c] = F.col(c).isNotNull() & (F.size(c) == n) & F.forall(c, finite)
+    for c in ("w", "c0"):
+        for i in range(states):
+            fine[c] = fine[c] & (F.get(F.col(c), F.lit(i * (states + 1))) > 0)
+    marks = [F.when(F.coalesce(fine[c], F.lit(False)), F.lit(None)).otherwise(F.lit(c)) for c in ("beta", "v", "g", "w", "m0", "c0")]
+    return models.select("model", F.array_compact(F.array(*marks)).alias("faults"))
+
+
+def checked(models: DataFrame, coefficients: int, states: int) -> DataFrame:
+    """models, computed once, or a ValueError that names up to five models with faults, or repeated ones."""
+    kept = cut_lineage(models)
+    bad = faults(kept, coefficients, states).where("size(faults) > 0").unionByName(kept.groupBy("model").count().where("count > 1").select("model", F.array(F.lit("repeated")).alias("faults")))
+    found = bad.orderBy("model").take(5)
+    if found:
+        raise ValueError("parameters that no model can have: " + "; ".join(f"{r['model']}: {', '.join(r['faults'])}" for r in found))
+    return kept
+
+
+def _tasks(panel: DataFrame, columns: list[str], coefficients: int, states: int, models: DataFrame, run, schema: str) -> DataFrame:
     """run(model, its row of models, n, q, t) of every model that has one, each in a task of its own."""
-    k = len(columns)
+    k, models = len(columns), checked(models, coefficients, states)
 
     def one(key: tuple, sums: pd.DataFrame, par: pd.DataFrame) -> pd.DataFrame:
         names = [c.strip().split(" ")[0] for c in schema.split(", ")]
@@ -153,7 +179,7 @@ def fit(panel: DataFrame, response: str, design: list[str], loads: list[str], mo
         p = _unpacked(u, d, k, p["c0"], diagonal)
         return pd.DataFrame([{"model": model, "v": p["v"], **{c: p[c].ravel() for c in PARAMETERS}, "loglik": ll, "steps": calls, "converged": done}])
 
-    return _tasks(panel, [response, *design, *loads], models, run, _MODEL + ", loglik double, steps int, converged boolean")
+    return _tasks(panel, [response, *design, *loads], len(design), len(loads), models, run, _MODEL + ", loglik double, steps int, converged boolean")
 
 
 def states(panel: DataFrame, response: str, design: list[str], loads: list[str], models: DataFrame) -> DataFrame:
@@ -163,7 +189,7 @@ def states(panel: DataFrame, response: str, design: list[str], loads: list[str],
         s = smooth(n, q, _given(row, len(loads)))
         return pd.DataFrame({"model": model, "t": t, "m": list(s["m"][1:]), "c": [c.ravel() for c in s["c"][1:]]})
 
-    return _tasks(panel, [response, *design, *loads], models, run, "model string, t int, m array<double>, c array<double>")
+    return _tasks(panel, [response, *design, *loads], len(design), len(loads), models, run, "model string, t int, m array<double>, c array<double>")
 
 
 def one_step(panel: DataFrame, response: str, design: list[str], loads: list[str], models: DataFrame, diagonal: bool = True) -> DataFrame:
@@ -173,4 +199,4 @@ def one_step(panel: DataFrame, response: str, design: list[str], loads: list[str
         p, ll = em_step(n, q, _given(row, len(loads)), diagonal)
         return pd.DataFrame([{"model": model, "v": p["v"], **{c: np.ravel(p[c]) for c in PARAMETERS}, "loglik": ll}])
 
-    return _tasks(panel, [response, *design, *loads], models, run, _MODEL + ", loglik double")
+    return _tasks(panel, [response, *design, *loads], len(design), len(loads), models, run, _MODEL + ", loglik double")

@@ -89,6 +89,17 @@ def two_state_fit(spark, d):
     return multistate.fit(_two_state_panel(spark, d), "z", ["one", "x"], ["one", "x"], start, base.EM_TOL, base.EM_MOST, diagonal=False)
 
 
+def parameter_checks(spark, d):
+    """Which parameters of the nations' models, by the method of moments, no model can have: the variance of the state, as that
+    of the months' means less their share of the cells' variance, comes out below 0 for some."""
+    p = base.model_panel(spark, d).where("z IS NOT NULL")
+    steps = p.groupBy("model", "t").agg(F.avg("z").alias("mean"), F.count("z").alias("n")).groupBy("model").agg(F.var_samp("mean").alias("between"), F.avg("n").alias("n"))
+    m = p.groupBy("model").agg(F.avg("z").alias("b0"), F.var_samp("z").alias("v")).join(steps, "model")
+    zero = F.lit(0.0)
+    m = m.select("model", F.array("b0").alias("beta"), "v", F.array(F.lit(0.5)).alias("g"), F.array(F.round(F.col("between") - F.col("v") / F.col("n"), 6)).alias("w"), F.array(zero).alias("m0"), F.array(F.lit(1.0)).alias("c0"))
+    return multistate.faults(m, 1, 1).select("model", F.array_join("faults", ",").alias("faults"))
+
+
 #: A user's own correlation function; its derivative is taken by differences.
 MATERN = Correlation(lambda h, theta: (1 + theta * h) * np.exp(-theta * h))
 
@@ -358,7 +369,7 @@ def series(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ridge_fit, elastic_net, soft_threshold, em_iteration, augmented_filter, two_state_filter, two_state_smoother, two_state_em_step, two_state_fit, user_correlation_fit, conditional_fit, penalised_step, penalised_fits, penalty_path, case_frame, lag_design, station_tests, causality_summary, lag_tests, lag_causality, unit_root_tests, stacked_tests, partial_autocorrelations, unchanged_share, long_run_multipliers,
+        ridge_fit, elastic_net, soft_threshold, em_iteration, augmented_filter, two_state_filter, two_state_smoother, two_state_em_step, two_state_fit, parameter_checks, user_correlation_fit, conditional_fit, penalised_step, penalised_fits, penalty_path, case_frame, lag_design, station_tests, causality_summary, lag_tests, lag_causality, unit_root_tests, stacked_tests, partial_autocorrelations, unchanged_share, long_run_multipliers,
         named_parameters, stacked_cells, kernel_columns, location_scores, penalised_objective, regime_completion, inherited_regimes, parameter_counts, aligned_labels, extended_criteria,
         selection_by_criteria, recovery_metrics, design_cells, ordered_models, cv_folds, cross_validation, series,
     )

@@ -119,6 +119,9 @@ vv AS (SELECT s.model, sum(szz - 2 * (b0 + m1) * sz - 2 * (b1 + m2) * szx + (b0
 SELECT k.model, round(e.ll, 3) AS loglik, round(be.b0, 4) AS b0, round(be.b1, 4) AS b1, round(vv.v, 4) AS v, round(s10_1 / s00_1, 4) AS g1, round(s10_2 / s00_2, 4) AS g2,
   round((s11_1 - 2 * g * s10_1 + g * g * s00_1) / steps, 4) AS w1, round((s11_2 - 2 * g2 * s10_2 + g2 * g2 * s00_2) / steps, 4) AS w2, round(s.m1, 4) AS m1, round(s.m2, 4) AS m2
 FROM k JOIN (SELECT model, max_by(ll, t) AS ll FROM f GROUP BY model) e ON e.model = k.model JOIN lat ON lat.model = k.model JOIN be ON be.model = k.model JOIN vv ON vv.model = k.model JOIN s ON s.model = k.model AND s.t = -1""",
+    "parameter_checks": f"""WITH {_MPANEL}, o AS (SELECT * FROM mpanel WHERE z IS NOT NULL), st AS (SELECT model, t, avg(z) AS mean, count(*) AS n FROM o GROUP BY 1, 2),
+b AS (SELECT model, var_samp(mean) AS between_, avg(n) AS n FROM st GROUP BY 1), m AS (SELECT model, var_samp(z) AS v FROM o GROUP BY 1)
+SELECT model, concat_ws(',', CASE WHEN v > 0 THEN NULL ELSE 'v' END, CASE WHEN round(between_ - v / n, 6) > 0 THEN NULL ELSE 'w' END) AS faults FROM m JOIN b USING (model)""",
     "lag_tests": f"WITH RECURSIVE {_LAG_TESTS} SELECT loc, block, CAST(q AS INTEGER) AS restrictions, CAST(n AS INTEGER) AS cells, CAST(9 AS INTEGER) AS rank, round(f, 4) AS f FROM tests",
     "lag_causality": f"WITH RECURSIVE {_LAG_TESTS} SELECT block, count(*) AS groups, CAST(any_value(q) AS INTEGER) AS restrictions, round((avg(q * f) - any_value(q)) / sqrt(2.0::DOUBLE * any_value(q) / count(*)), 4) AS z_f FROM tests GROUP BY block",
     "unit_root_tests": f"""WITH RECURSIVE {_CELLS}, z AS (SELECT loc, t, z, lag(z) OVER (PARTITION BY loc ORDER BY t) AS before FROM grid WHERE z IS NOT NULL),

@@ -125,3 +125,15 @@ def test_fold_keeps_order_over_blocks(spark):
         out = ss.folded(xs, F.struct(F.lit(0).alias("s")), lambda a, x: F.struct((a["s"] + x).alias("s")), lambda a, x: F.struct(x.alias("x"), a["s"].alias("s")), "struct<x:int,s:int>")
         r = spark.range(1).select(out.alias("o")).first()["o"]
         assert [(p.x, p.s) for p in r["path"]] == [(i, i * (i + 1) // 2) for i in range(1, n + 1)] and r["state"]["s"] == n * (n + 1) // 2
+
+
+def test_faults_are_named(spark, cells):
+    v = row(DIAGONAL)
+    change = lambda name, at, value: (name, *[value if i == at else c for i, c in enumerate(v) if i])
+    models = spark.createDataFrame([v, change("a", 2, 0.0), change("b", 3, [0.5]), change("c", 4, [1.0, 0.0, 0.0, -1.0]), change("d", 5, None), change("e", 1, [float("nan"), 1.0]), change("f", 6, [1.0, None, 0.0, 1.0]), change("g", 2, None)], multistate._MODEL)
+    got = {r.model: r.faults for r in multistate.faults(models, 2, 2).collect()}
+    assert got == {"m": [], "a": ["v"], "b": ["g"], "c": ["w"], "d": ["m0"], "e": ["beta"], "f": ["c0"], "g": ["v"]}
+    args = (panel_of(spark, *cells), "z", ["one", "x"], ["one", "x"])
+    for bad, text in ((models, "a: v"), (models.where("model = 'm'").unionByName(models.where("model = 'm'")), "m: repeated")):
+        with pytest.raises(ValueError, match=text):
+            multistate.fit(*args, bad)
