@@ -23,6 +23,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -109,9 +110,17 @@ class Codec:
         self.matcher.make_automaton()
         self.is_last = np.zeros(n, dtype=bool)
         self.is_last[[i for t, i in self.vocab.items() if self.suffix and t.endswith(self.suffix)]] = True
+        # characters that a token takes of a word and its end, and the tokens of single characters
+        self.span = np.zeros(n, dtype=np.int64)
+        for t, i in self.vocab.items():
+            self.span[i] = len(t) - len(self.suffix) + 1 if self.is_last[i] else len(t)
+        self.letter, self.ending = np.full(512, -1, np.int64), np.full(512, -1, np.int64)
+        for c in alphabet:
+            self.letter[ord(c)], self.ending[ord(c)] = self.vocab[c], self.vocab[c + self.suffix]
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.splitter = Split(Regex(WORDS), behavior="removed", invert=True)
         self.ids_of: dict[str, bytes] = {}
+        self.chunk_ids: dict[str, bytes] = {}
         self.text_of: dict[str, bytes] = {}
 
     # words of a text
@@ -127,21 +136,28 @@ class Codec:
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
-        if text.isascii():
-            pattern = EXACT if ODD.search(text) else PLAIN
-            return pattern.findall(text.lower())
-        if UNSETTLED.search(text):  # classes and orders of the library's own tables
+        low = self.lowered(text)
+        if low is None:  # classes and orders of the library's own tables
             return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        return (EXACT if ODD.search(low) else PLAIN).findall(low)
+
+    def lowered(self, text: str) -> str | None:
+        """The text in NFC and lower case; None if it has unsettled characters."""
+        if text.isascii():
+            return text.lower()
+        if UNSETTLED.search(text):
+            return None
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        low = text.replace("Σ", "σ").lower()
-        return (EXACT if ODD.search(low) else PLAIN).findall(low)
+        return text.replace("Σ", "σ").lower()
 
     # encoding of words
 
-    def greedy(self, word: str) -> list[int]:
-        """Longest tokens from the left; right only if the last one ends the word."""
-        return [i for _, i in self.matcher.iter_long(word + LAST)]
+    def greedy(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest tokens from the left of all words, and the word of each; right only if they cover the word and its end."""
+        found = np.fromiter(chain.from_iterable(self.matcher.iter_long(LAST.join(words) + LAST)), dtype=np.int64).reshape(-1, 2)
+        behind = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+        return found[:, 1], np.searchsorted(behind, found[:, 0], side="right")
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE leaves each pair (a, b) of tokens as it is.
@@ -172,38 +188,45 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == keys) & (x >= 0) & (y >= 0), self.pair_ranks[at], self.never)
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Exact merging of many words at once: in each the lowest rank first, the leftmost of equals."""
-        out: list[list[int]] = [[]] * len(words)
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words at once: in each the lowest rank first, the leftmost of equals.
+
+        Gives the ids of all words in their order, and the word of each."""
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         order = np.argsort(lens, kind="stable")
+        ids, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         at = 0
         while at < len(order):  # words of like length together, of a bounded number of characters
             widest = int(lens[order[at]]) + 8
             part = order[at : at + max(1, MERGE_CELLS // widest)]
             part = part[lens[part] <= widest]
             at += len(part)
-            for i, ids in zip(part.tolist(), self._merge([words[i] for i in part.tolist()])):
-                out[i] = ids
-        return out
-
-    def _merge(self, words: list[str]) -> list[list[int]]:
-        vocab, suffix = self.vocab, self.suffix
-        width = max(map(len, words))
+            for got, owner in self._merge([words[i] for i in part.tolist()]):
+                ids.append(got)
+                owners.append(part[owner])
+        flat, owner = np.concatenate(ids), np.concatenate(owners)
+        by = np.argsort(owner, kind="stable")
+        return flat[by], owner[by]
+
+    def _merge(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        width = int(lens.max())
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
+        letters, last = self.letter[codes], np.cumsum(lens) - 1
+        letters[last] = self.ending[codes[last]]
+        columns = np.arange(width)
         ids = np.full((len(words), width + 1), -1, dtype=np.int64)
-        for i, w in enumerate(words):
-            ids[i, : len(w)] = [*[vocab[c] for c in w[:-1]], vocab[w[-1] + suffix]]
+        ids[:, :-1][columns[None, :] < lens[:, None]] = letters
         ranks = self.pair_rank(ids[:, :-1], ids[:, 1:])
-        result: list[list[int]] = [[]] * len(words)
         live = np.arange(len(words))
-        columns = np.arange(width)
         while len(live):
             best = ranks.argmin(axis=1)
             lowest = ranks[np.arange(len(live)), best]
             done = lowest == self.never
             if done.any():
-                for i, row in zip(live[done].tolist(), ids[done]):
-                    result[i] = row[row >= 0].tolist()
+                ended = ids[done]
+                has = ended >= 0
+                yield ended[has], np.repeat(live[done], has.sum(axis=1))
                 go = ~done
                 live, ids, ranks, best, lowest = live[go], ids[go], ranks[go], best[go], lowest[go]
                 if not len(live):
@@ -219,33 +242,31 @@ class Codec:
             before = best > 0
             r, b = row[before], best[before]
             ranks[r, b - 1] = self.pair_rank(ids[r, b - 1], ids[r, b])
-        return result
 
     def learn(self, words: set[str]) -> None:
         """Put the encodings of new words into the cache."""
         if len(self.ids_of) > CACHE_WORDS:
             self.ids_of.clear()
             self.text_of.clear()
+            self.chunk_ids.clear()
         shown = self.shown
         plain = [w for w in words if w not in self.special]
         letters = [w if w.isascii() and w.isprintable() and " " not in w else "".join([shown[c] for c in w.encode("utf-8").decode("latin-1")]) for w in plain]
-        cuts = [self.greedy(w) for w in letters]
-        flat = np.fromiter((t for c in cuts for t in c), dtype=np.int64)
-        sizes = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
-        if len(flat):
-            owner = np.repeat(np.arange(len(cuts)), sizes)
+        if plain:
+            flat, owner = self.greedy(letters)
             inner = np.flatnonzero(owner[1:] == owner[:-1])
             pairs, back = np.unique(flat[inner] * self.n + flat[inner + 1], return_inverse=True)
             good = self.compatible(pairs // self.n, pairs % self.n)[back]
-            open_ = np.flatnonzero(~self.is_last[flat[np.cumsum(sizes) - 1]])
-            wrong = np.unique(np.concatenate((owner[inner[~good]], open_))).tolist()
-            for i, ids in zip(wrong, self.merge([letters[i] for i in wrong])):
-                cuts[i] = ids
-        body = np.fromiter((t for c in cuts for t in c), dtype="<u4").tobytes()
-        at = 0
-        for w, c in zip(plain, cuts):
-            self.ids_of[w] = body[at : at + 4 * len(c)]
-            at += 4 * len(c)
+            wrong = np.bincount(owner, weights=self.span[flat], minlength=len(plain)) != np.fromiter(map(len, letters), dtype=np.int64, count=len(plain)) + 1
+            wrong[owner[inner[~good]]] = True
+            again = np.flatnonzero(wrong)
+            right = ~wrong[owner]
+            merged, of = self.merge([letters[i] for i in again.tolist()])
+            flat, owner = np.concatenate((flat[right], merged)), np.concatenate((owner[right], again[of]))
+            by = np.argsort(owner, kind="stable")
+            body = flat[by].astype("<u4").tobytes()
+            end = (4 * np.cumsum(np.bincount(owner, minlength=len(plain)))).tolist()
+            self.ids_of.update(zip(plain, [body[a:b] for a, b in zip([0, *end], end)]))
         for w in words:
             if w in self.special:
                 self.ids_of[w] = np.array([self.special[w]], dtype="<u4").tobytes()
@@ -270,6 +291,42 @@ class Codec:
         if new:
             self.learn(new)
 
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers.
+
+        No word holds white space, so the ids of a text are those of its chunks between white space,
+        which have a cache of their own; texts with odd characters or special tokens go by their words."""
+        if len(self.chunk_ids) > CACHE_WORDS:
+            self.chunk_ids.clear()
+        get = self.chunk_ids.get
+        out, by_word, by_chunk, new = [b""] * len(texts), [], [], set()
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            low = None if any(t in text for t in self.special) else self.lowered(text)
+            if low is None or ODD.search(low):
+                by_word.append((i, self.words(text)))
+                continue
+            chunks = low.split()
+            ids = list(map(get, chunks))
+            if None in ids:
+                new.update([c for c, x in zip(chunks, ids) if x is None])
+                by_chunk.append((i, chunks, ids))
+            else:
+                out[i] = b"".join(ids)
+        single = [c for c in new if c.isalpha()]
+        mixed = [c for c in new if not c.isalpha()]
+        parts = [PLAIN.findall(c) for c in mixed]
+        self.encode_words([single, *parts, *(words for _, words in by_word)])
+        ids_of = self.ids_of.__getitem__
+        self.chunk_ids.update(zip(single, map(ids_of, single)))
+        self.chunk_ids.update(zip(mixed, [b"".join(map(ids_of, p)) for p in parts]))
+        for i, chunks, ids in by_chunk:
+            out[i] = b"".join([get(c) if x is None else x for c, x in zip(chunks, ids)])
+        for i, words in by_word:
+            out[i] = b"".join(map(ids_of, words))
+        return out
+
     def encode(self, text: str | None) -> np.ndarray:
         words = self.words(text or "")
         self.encode_words([words])
@@ -304,6 +361,13 @@ def encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[pa.RecordBatch,
         yield part, [b"".join(map(get, words)) for words in docs], docs
 
 
+def encoded_ids(batch: pa.RecordBatch, path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of a batch's rows and the ids of each text as little-endian 32-bit integers."""
+    c = codec(path)
+    for part in slices(batch):
+        yield part, c.encode_texts(part.column("text").to_pylist())
+
+
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoded, forget
+from .bpe import encoded_ids, forget
 from .common import give_back, materialize, partitions_of
 from .sharding import numbered
 
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, ids, _ in encoded(batch, path):
+            for part, ids in encoded_ids(batch, path):
                 ids = [x + tail for x in ids]
                 n = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
                 k = -(-n // capacity)

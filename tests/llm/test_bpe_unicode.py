@@ -3,6 +3,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -39,3 +40,16 @@ def test_orders_of_marks_and_mixtures(both):
     pool = [chr(c) for c in range(0x700)] * 2 + [chr(c) for c in range(0x2000, 0x2100)] + marks
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
     assert differing(both, texts + ["<|endoftext|>é̖<|startoftext|>", "́", "́" * 5000]) == []
+
+
+def test_texts_by_chunks(both, monkeypatch):
+    codec, library = Codec(public_tokenizers.path("word_bpe_49k.json")), both[1]
+    rng = random.Random(11)
+    pool = [*"abcdefghijklmnopqrstuvwxyzéÉçÀß.,;:!?'\"-_()#0189", *"   \n\t", "\xa0", "\x1f", "\x85", "½", "²", "’", "Σ", "́", "'s", "'LL", "the", "tion", "<|endoftext|>", "\x01", "\U0001f600"]
+    texts = [None, "", " ", "\n\n"] + ["".join(rng.choices(pool, k=rng.randint(1, 60))) for _ in range(3000)] + ["ab" * 3000 + ", " + "x" * 5000]
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    monkeypatch.setattr("panelmill.llm.bpe.CACHE_WORDS", 500)  # emptied between and within runs
+    monkeypatch.setattr("panelmill.llm.bpe.MERGE_CELLS", 1 << 8)
+    for k in (1, 7, 400, len(texts)):
+        got = [b for i in range(0, len(texts), k) for b in codec.encode_texts(texts[i : i + k])]
+        assert [np.frombuffer(b, dtype="<u4").tolist() for b in got] == want
