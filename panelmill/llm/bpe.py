@@ -22,7 +22,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -56,7 +56,7 @@ def unsettled() -> re.Pattern:
 
 
 UNSETTLED = unsettled()
-#: Words of a worker's cache; a full cache is emptied, which changes no result.
+#: Words of a worker's cache; a full cache is emptied but for the words at hand, which changes no result.
 CACHE_WORDS = 400_000
 #: Stands for the end of a word in the matcher; no token has it.
 LAST = "\x01"
@@ -72,6 +72,45 @@ def byte_alphabet() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+#: Classes of the characters that texts without odd characters have, by PLAIN.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+CLASSES = np.array([SPACE if c.isspace() else DIGIT if re.match(r"\d", c) else LETTER if re.match(r"[^\W_]", c) else OTHER for c in map(chr, range(0x300))], dtype=np.uint8)
+
+
+def plain_words(texts: list[str]) -> tuple[list[str], pa.Array, np.ndarray]:
+    """The words that PLAIN finds in lower-case texts without odd characters: the distinct ones,
+    which of them each word is, and how many words there are up to the end of each text.
+
+    A word ends where the class of characters changes; a digit stands alone, and an apostrophe that
+    begins a word takes the ending after it."""
+    codes = np.frombuffer("".join([t + "\n" for t in texts]).encode("utf-16-le"), dtype="<u2")
+    if not len(codes):
+        return [], pa.array([], pa.int32()), np.zeros(0, np.int64)
+    kind = CLASSES[codes]
+    begins = np.empty(len(kind), dtype=bool)
+    begins[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    # an apostrophe that begins a word; the line feed after each text leaves a place behind any ending
+    quote = np.flatnonzero(codes == ord("'"))
+    quote = quote[begins[quote]]
+    for ending in ("s", "t", "re", "ve", "m", "ll", "d"):
+        here = quote[np.all([codes[np.minimum(quote + 1 + k, len(codes) - 1)] == ord(c) for k, c in enumerate(ending)], axis=0)]
+        begins[here + 1] = False
+        begins[here + 1 + len(ending)] = True
+    begins |= kind == DIGIT
+    filled = kind != SPACE
+    begins &= filled
+    spans = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+    upto = np.searchsorted(np.flatnonzero(begins), spans)
+    # without the white space, each word ends where the next one begins
+    kept = codes[filled]
+    starts = np.append(np.flatnonzero(begins[filled]), len(kept)) * 2
+    each = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(kept)]).dictionary_encode()
+    _, ends, known = each.dictionary.buffers()
+    ends, known = (np.frombuffer(ends, dtype=np.int64)[: len(each.dictionary) + 1] // 2).tolist(), str(known, "utf-16-le")
+    return [known[a:b] for a, b in zip(ends, ends[1:])], each.indices, upto
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -85,7 +124,8 @@ class Codec:
         self.tokens: dict[int, str] = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         alphabet = byte_alphabet()
-        self.shown = {chr(b): c for b, c in enumerate(alphabet)}
+        # no word has a line feed, so it stands for the end of a word
+        self.alphabet = np.array([ord(LAST) if b == 10 else ord(c) for b, c in enumerate(alphabet)], dtype="<u2")
         n = max(self.tokens) + 1
         self.n = n
         self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
@@ -120,7 +160,6 @@ class Codec:
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.splitter = Split(Regex(WORDS), behavior="removed", invert=True)
         self.ids_of: dict[str, bytes] = {}
-        self.chunk_ids: dict[str, bytes] = {}
         self.text_of: dict[str, bytes] = {}
 
     # words of a text
@@ -153,10 +192,14 @@ class Codec:
 
     # encoding of words
 
-    def greedy(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def spelled(self, words: list[str]) -> tuple[str, np.ndarray]:
+        """The words in the byte alphabet, each with its end behind it, and where each ends."""
+        codes = self.alphabet[np.frombuffer("".join([w + "\n" for w in words]).encode("utf-8"), dtype=np.uint8)]
+        return str(codes.tobytes(), "utf-16-le"), np.flatnonzero(codes == ord(LAST)) + 1
+
+    def greedy(self, letters: str, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Longest tokens from the left of all words, and the word of each; right only if they cover the word and its end."""
-        found = np.fromiter(chain.from_iterable(self.matcher.iter_long(LAST.join(words) + LAST)), dtype=np.int64).reshape(-1, 2)
-        behind = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+        found = np.fromiter(chain.from_iterable(self.matcher.iter_long(letters)), dtype=np.int64).reshape(-1, 2)
         return found[:, 1], np.searchsorted(behind, found[:, 0], side="right")
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -245,23 +288,18 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Put the encodings of new words into the cache."""
-        if len(self.ids_of) > CACHE_WORDS:
-            self.ids_of.clear()
-            self.text_of.clear()
-            self.chunk_ids.clear()
-        shown = self.shown
         plain = [w for w in words if w not in self.special]
-        letters = [w if w.isascii() and w.isprintable() and " " not in w else "".join([shown[c] for c in w.encode("utf-8").decode("latin-1")]) for w in plain]
         if plain:
-            flat, owner = self.greedy(letters)
+            letters, behind = self.spelled(plain)
+            flat, owner = self.greedy(letters, behind)
             inner = np.flatnonzero(owner[1:] == owner[:-1])
             pairs, back = np.unique(flat[inner] * self.n + flat[inner + 1], return_inverse=True)
             good = self.compatible(pairs // self.n, pairs % self.n)[back]
-            wrong = np.bincount(owner, weights=self.span[flat], minlength=len(plain)) != np.fromiter(map(len, letters), dtype=np.int64, count=len(plain)) + 1
+            wrong = np.bincount(owner, weights=self.span[flat], minlength=len(plain)) != np.diff(behind, prepend=0)
             wrong[owner[inner[~good]]] = True
             again = np.flatnonzero(wrong)
             right = ~wrong[owner]
-            merged, of = self.merge([letters[i] for i in again.tolist()])
+            merged, of = self.merge([letters[a : b - 1] for a, b in zip(np.concatenate(([0], behind))[again].tolist(), behind[again].tolist())])
             flat, owner = np.concatenate((flat[right], merged)), np.concatenate((owner[right], again[of]))
             by = np.argsort(owner, kind="stable")
             body = flat[by].astype("<u4").tobytes()
@@ -280,49 +318,44 @@ class Codec:
             self.text_of[word] = found
         return found
 
-    def encode_words(self, docs: list[list[str]]) -> None:
-        """Make sure that the cache has all words of these documents."""
+    def encode_words(self, docs: list[list[str]], known: Iterable[str] = ()) -> None:
+        """Make sure that the cache has all words of these documents; of known words it keeps those that it has."""
         distinct: set[str] = set()
         for words in docs:
             distinct.update(words)
         new = distinct.difference(self.ids_of)
         if new and len(self.ids_of) > CACHE_WORDS:
-            new = distinct  # learn() empties the cache
+            self.ids_of = {w: self.ids_of[w] for w in distinct.union(known) if w in self.ids_of}
+            self.text_of.clear()
         if new:
             self.learn(new)
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers.
 
-        No word holds white space, so the ids of a text are those of its chunks between white space,
-        which have a cache of their own; texts with odd characters or special tokens go by their words."""
-        if len(self.chunk_ids) > CACHE_WORDS:
-            self.chunk_ids.clear()
-        get = self.chunk_ids.get
-        out, by_word, by_chunk, new = [b""] * len(texts), [], [], set()
+        Plain texts are cut into words together (``plain_words``), and each distinct word is looked up
+        once; texts with odd characters or special tokens are cut one by one."""
+        out, by_word, at, plain = [b""] * len(texts), [], [], []
         for i, text in enumerate(texts):
             if not text:
                 continue
             low = None if any(t in text for t in self.special) else self.lowered(text)
             if low is None or ODD.search(low):
                 by_word.append((i, self.words(text)))
-                continue
-            chunks = low.split()
-            ids = list(map(get, chunks))
-            if None in ids:
-                new.update([c for c, x in zip(chunks, ids) if x is None])
-                by_chunk.append((i, chunks, ids))
             else:
-                out[i] = b"".join(ids)
-        single = [c for c in new if c.isalpha()]
-        mixed = [c for c in new if not c.isalpha()]
-        parts = [PLAIN.findall(c) for c in mixed]
-        self.encode_words([single, *parts, *(words for _, words in by_word)])
+                at.append(i)
+                plain.append(low)
+        distinct, nth, upto = plain_words(plain)
+        found = list(map(self.ids_of.get, distinct))
+        new = [w for w, x in zip(distinct, found) if x is None]
+        self.encode_words([new, *(words for _, words in by_word)], distinct)
         ids_of = self.ids_of.__getitem__
-        self.chunk_ids.update(zip(single, map(ids_of, single)))
-        self.chunk_ids.update(zip(mixed, [b"".join(map(ids_of, p)) for p in parts]))
-        for i, chunks, ids in by_chunk:
-            out[i] = b"".join([get(c) if x is None else x for c, x in zip(chunks, ids)])
+        if new:
+            found = [ids_of(w) if x is None else x for w, x in zip(distinct, found)]
+        _, ends, ids = pa.array(found, pa.large_binary()).take(nth).buffers()
+        ends, ids = np.frombuffer(ends, dtype=np.int64)[upto].tolist(), memoryview(ids or b"")
+        for i, a, b in zip(at, [0, *ends], ends):
+            out[i] = bytes(ids[a:b])
         for i, words in by_word:
             out[i] = b"".join(map(ids_of, words))
         return out

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from panelmill.llm.bpe import UNSETTLED, Codec
+from panelmill.llm.bpe import PLAIN, UNSETTLED, Codec, plain_words
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,25 @@ def test_texts_by_chunks(both, monkeypatch):
     for k in (1, 7, 400, len(texts)):
         got = [b for i in range(0, len(texts), k) for b in codec.encode_texts(texts[i : i + k])]
         assert [np.frombuffer(b, dtype="<u4").tolist() for b in got] == want
+
+
+def test_words_of_texts_together():
+    rng = random.Random(5)
+    pool = [*"abzéßÿœ''''''stmdrevl.,_-01 \n\t\xa0", "'s", "'re", "'ll", "'ve", "\x01", "ª", "×", "˂"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 30))) for _ in range(3000)] + ["'", "x'", "'r", "'re", "'s's", ".'s", "5'd", " ", "\n"]
+    for part in (texts, [], [""], [" \n", ""], ["'l"], ["the"]):
+        distinct, nth, upto = plain_words(part)
+        assert len(set(distinct)) == len(distinct)
+        found, at = [distinct[i] for i in nth.to_pylist()], [0, *upto.tolist()]
+        assert [found[a:b] for a, b in zip(at, at[1:])] == [PLAIN.findall(t) for t in part]
+
+
+def test_full_cache_learns_no_word_at_hand_again(monkeypatch):
+    codec, learned = Codec(public_tokenizers.path("word_bpe_49k.json")), []
+    learn = codec.learn
+    monkeypatch.setattr(codec, "learn", lambda words: (learned.append(sorted(words)), learn(words)))
+    monkeypatch.setattr("panelmill.llm.bpe.CACHE_WORDS", 2)
+    first = codec.encode_texts(["alpha beta gamma"])[0]
+    both = codec.encode_texts(["alpha beta gamma delta", "alpha beta gamma"])
+    assert learned == [["alpha", "beta", "gamma"], ["delta"]]
+    assert both[1] == first and both[0].startswith(first) and len(codec.ids_of) == 4
