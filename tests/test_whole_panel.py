@@ -67,3 +67,45 @@ def test_regime_grid_takes_every_month_and_says_if_it_converged(spark):
     cells = panel_queries.observed(spark, DATA).count()
     assert len(rows) == 5 and {r.nobs for r in rows} == {float(cells)}
     assert all(isinstance(r.converged, bool) and (not r.converged or r.moved == 0) for r in rows)
+
+
+def gappy(d=40, n=30):
+    rng = np.random.default_rng(4)
+    xy = rng.normal(size=(d, 2))
+    h = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    z, x = rng.normal(0, 3, (n, d)), rng.normal(size=(n, d))
+    z[rng.uniform(size=z.shape) < 0.04] = np.nan
+    z[3, rng.uniform(size=d) < 0.45] = np.nan  # more than are solved for together
+    z[4, rng.uniform(size=d) < 0.9] = np.nan
+    z[5] = np.nan
+    return z, x, h
+
+
+def test_smoother_against_the_dense_normal_for_all_numbers_of_gaps():
+    z, x, h = gappy()
+    n, d = z.shape
+    p = spatial_models.start(z, x, h)
+    sigma, r = spatial_models.covariance(h, p), z - p["b0"] - p["b1"] * x
+    s = spatial_models.smooth(r, sigma, p)
+    e, total = spatial_models.completed(r, sigma, s)
+    var = [p["c0"]]
+    for _ in range(n):
+        var.append(p["g"] ** 2 * var[-1] + p["q"])
+    state = np.array([[p["g"] ** abs(a - b) * var[min(a, b) + 1] for a in range(n)] for b in range(n)])
+    cov = np.kron(state, np.ones((d, d))) + np.kron(np.eye(n), sigma)
+    seen, y = ~np.isnan(r.ravel()), r.ravel()[~np.isnan(r.ravel())] - p["m0"]
+    part = np.linalg.inv(cov[np.ix_(seen, seen)])
+    level = np.kron(state, np.ones((1, d)))[:, seen]
+    assert np.allclose(s["m"][1:], p["m0"] + level @ part @ y) and np.allclose(s["c"][1:], np.diag(state - level @ part @ level.T))
+    assert math.isclose(s["loglik"], -0.5 * (seen.sum() * np.log(2 * np.pi) + np.linalg.slogdet(cov[np.ix_(seen, seen)])[1] + y @ part @ y), rel_tol=1e-9)
+    errors = np.kron(np.eye(n), sigma)[:, seen]
+    mean, left = (errors @ part @ y).reshape(n, d), np.kron(np.eye(n), sigma) - errors @ part @ errors.T
+    assert np.allclose(e, mean) and np.allclose(total, mean.T @ mean + sum(left[t * d : t * d + d, t * d : t * d + d] for t in range(n)))
+
+
+def test_one_factor_serves_all_patterns_of_gaps(monkeypatch):
+    z, x, h = gappy()
+    made, factor = [], np.linalg.cholesky
+    monkeypatch.setattr(np.linalg, "cholesky", lambda a: made.append(a.shape[-1]) or factor(a))
+    spatial_models.em(z, x, h, spatial_models.start(z, x, h), 0.0, 1, accelerate=False)
+    assert len({tuple(row) for row in np.isnan(z)}) > 20 and sum(k > 20 for k in made) <= 2 * 5  # two steps of EM, three trials each
